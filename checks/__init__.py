@@ -1,0 +1,8 @@
+"""Queries over the given tables, each with the SQL that must agree."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The services used by the queries travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

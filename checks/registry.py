@@ -1,0 +1,723 @@
+"""Every query by name, with its SQL where SQL can say it."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import views as V
+from paperloom.functions import answers as A
+from paperloom.functions import prompts as P
+from paperloom.functions import text as X
+from paperloom.functions import urls as U
+from paperloom.functions.languages import LANGUAGE_NAMES, language_name
+from paperloom.operators import batches, enrich, metadata, passages, pdfs, qa, records, topics
+from paperloom.operators.select import Rule, find, find_by_priority, find_nested, attribute, text_of
+from paperloom.plans.crawl import CrawlOptions, paper_table
+from paperloom.plans.paper_qa import answer_table
+from paperloom.sources.durable import new_path
+from paperloom.sources.files import read_papers, write_papers
+from paperloom.sources.html import node_rows, parse_html
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None, needs: tuple[str, ...] = ()):
+    def register(run):
+        QUERIES[run.__name__] = Query(run, None if sql is None else V.with_views(needs, sql))
+        return run
+
+    return register
+
+
+# --- services standing in for the caller's --------------------------------
+
+
+def md5_service():
+    """Answers with the MD5 of what it is asked."""
+    return lambda text: hashlib.md5(text.encode()).hexdigest()
+
+
+def translation_service():
+    """Two segments which together are the MD5 of the text."""
+
+    def send(text: str) -> str:
+        digest = hashlib.md5(text.encode()).hexdigest()
+        return json.dumps([[[digest[:10], "a"], ["", "b"], [digest[10:], "c"]], None, "xx"])
+
+    return send
+
+
+def grouping_service():
+    """Groups the titles of a batch prompt by MD5; leaves out group 0."""
+
+    def send(prompt: str) -> str:
+        titles = re.findall(r"^Title: (.*)\nSummary: ", prompt, flags=re.MULTILINE)
+        groups = {title: hashlib.md5(title.encode()).hexdigest()[0] for title in titles}
+        named = {title: group for title, group in groups.items() if group != "0"}
+        reply = {"categories": {group: "by digest" for group in groups.values()}, "classifications": named}
+        return "Done.\n```json\n" + json.dumps(reply) + "\n```"
+
+    return send
+
+
+# --- pages -----------------------------------------------------------------
+
+H1, AD, FOOTER, LINK, ITEM = Rule("h1"), Rule("div", classes=("ad",)), Rule("footer"), Rule("a"), Rule("li")
+PAGE_RULES = records.PaperRules(title=(H1,), summary=AD, abstract=FOOTER, pdf=LINK)
+HOST = r"^https?://([^/?#:]*)"
+
+_H1 = V.sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")
+_AD = V.sql_text("""regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)""")
+_FOOTER = V.sql_text("regexp_extract(html, '<footer>([^<]*)', 1)")
+_A = V.sql_text("regexp_extract(html, '<a [^>]*>([^<]*)</a>', 1)")
+_HREF = """regexp_extract(html, '<a href="([^"]*)"', 1)"""
+_SITE = f"'{U.SITE}'"
+
+
+def _record_pages(spark, sf_dir):
+    urls = V.page_papers(spark, sf_dir).select("page_id", "url")
+    return V.pages(spark, sf_dir).drop("url").join(urls, "page_id")
+
+
+@query()
+def html_nodes(spark, sf_dir):
+    return node_rows(parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id"), "page_id").select(
+        "page_id", "pos", "end_pos", "tag", "class_attr", "text", "container"
+    )
+
+
+@query(
+    """select page_id, tag, count(*) as n
+       from (select page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[\\s>/]', 1)) as tag from pages)
+       group by page_id, tag"""
+)
+def html_tag_counts(spark, sf_dir):
+    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id")
+    tags = F.filter(F.col("nodes.tag"), lambda tag: tag.isNotNull())
+    return parsed.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""select page_id, 'h1' as rule, {_H1} as text from pages
+        union all select page_id, 'a', {_A} from pages
+        union all select page_id, 'div.ad', {_AD} from pages
+        union all select page_id, 'footer', {_FOOTER} from pages"""
+)
+def first_match(spark, sf_dir):
+    rules = {"h1": H1, "a": LINK, "div.ad": AD, "footer": FOOTER}
+    nodes = F.col("nodes")
+    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", list(rules.values()))
+    found = parsed.select(
+        "page_id", "nodes", *[find(nodes, rule).alias(f"_{place}") for place, rule in enumerate(rules.values())]
+    )
+    rows = [
+        F.struct(F.lit(name).alias("rule"), text_of(nodes, F.col(f"_{place}")).alias("text"))
+        for place, name in enumerate(rules)
+    ]
+    return found.select("page_id", F.inline(F.array(*rows)))
+
+
+@query(f"select page_id, {_H1} as title from pages")
+def title_by_priority(spark, sf_dir):
+    rules = [Rule("h1", classes=("title",)), H1, Rule("title")]
+    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", rules)
+    found = parsed.select("page_id", "nodes", find_by_priority(F.col("nodes"), rules).alias("_title"))
+    return found.select("page_id", text_of(F.col("nodes"), F.col("_title")).alias("title"))
+
+
+@query("""select page_id, regexp_extract(html, '<ul><li><a href="([^"]*)"', 1) as href from pages""")
+def nested_select(spark, sf_dir):
+    rules = [Rule("ul"), ITEM, LINK]
+    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", rules)
+    links = find_nested(F.col("nodes"), rules[0], rules[1:])
+    return parsed.select("page_id", F.explode(links).alias("link")).select(
+        "page_id", attribute(F.col("link"), "href").alias("href")
+    )
+
+
+def _listing(spark, sf_dir):
+    return V.pages(spark, sf_dir).select(
+        F.regexp_extract("url", HOST, 1).alias("search_id"), F.col("page_id").alias("page_ord"), "html"
+    )
+
+
+_LISTING_SQL = f"""
+    select search_id, cast(ord as int) as ord, concat({_SITE}, href) as url
+    from (select search_id, href, row_number() over (partition by search_id order by page_id, pos) as ord
+      from (select regexp_extract(url, '{HOST}', 1) as search_id, page_id, unnest(hrefs) as href,
+              generate_subscripts(hrefs, 1) as pos
+            from (select *, regexp_extract_all(html, '<li><a href="([^"]+)"', 1) as hrefs from pages)))
+    where ord <= 3"""
+
+
+@query(_LISTING_SQL)
+def listing_links(spark, sf_dir):
+    return records.listing_links(_listing(spark, sf_dir), 3, ITEM, [LINK])
+
+
+_RECORD_SQL = f"""
+    select p.page_id, v.url, {_H1} as title, {_AD} as llm_summary, {_FOOTER} as abstract,
+      concat({_SITE}, {_HREF}) as pdf_url, regexp_extract(v.url, '/papers/(\\d+\\.\\d+)', 1) as arxiv_id,
+      cast(null as varchar) as error
+    from pages p join page_papers v on p.page_id = v.page_id"""
+
+
+@query(_RECORD_SQL, ("page_papers",))
+def paper_records(spark, sf_dir):
+    return records.paper_records(_record_pages(spark, sf_dir), rules=PAGE_RULES)
+
+
+@query(
+    f"select title, llm_summary, abstract, pdf_url, arxiv_id, url from ({_RECORD_SQL})",
+    ("page_papers",),
+)
+def export_papers(spark, sf_dir):
+    return records.export_papers(paper_records(spark, sf_dir))
+
+
+@query(f"select page_id, concat({_SITE}, {_HREF}) as pdf_url from pages")
+def absolute_links(spark, sf_dir):
+    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", [LINK])
+    href = attribute(find(F.col("nodes"), LINK), "href")
+    return parsed.select("page_id", U.absolute_url(href).alias("pdf_url"))
+
+
+@query(
+    f"""select l.search_id, l.ord, l.url, r.title, r.llm_summary, r.abstract, r.pdf_url, r.arxiv_id,
+          case when r.url is null then 'page not found' end as error,
+          case when coalesce(r.abstract, '') = '' then '' else md5(r.abstract) end as abstract_translate
+        from ({_LISTING_SQL}) l left join (
+          select concat({_SITE}, {_HREF}) as url, {_H1} as title, {_AD} as llm_summary, {_FOOTER} as abstract,
+            concat({_SITE}, {_HREF}) as pdf_url, '' as arxiv_id
+          from pages
+          where page_id in (select min(page_id) from pages group by {_HREF})) r on l.url = r.url"""
+)
+def crawl_papers(spark, sf_dir):
+    first_link = F.concat(F.lit(U.SITE), F.regexp_extract("html", '<a href="([^"]*)"', 1))
+    options = CrawlOptions(n=3, block=ITEM, steps=(LINK,), rules=PAGE_RULES, translate=translation_service)
+    return paper_table(_listing(spark, sf_dir), V.pages(spark, sf_dir).withColumn("url", first_link), options)
+
+
+# --- records ---------------------------------------------------------------
+
+
+@query(
+    """select ord, title, abstract, cast(null as varchar) as error from doc_papers where error is null
+       union all select ord, null, null, error from doc_papers where error is not null""",
+    ("doc_papers",),
+)
+def records_with_errors(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir)
+    good = records.without_errors(papers).select("ord", "title", "abstract")
+    failed = papers.where(F.col("error").isNotNull()).select("ord", "error")
+    return records.union_records(good, failed)
+
+
+@query("select * from doc_papers where error is null", ("doc_papers",))
+def records_ok(spark, sf_dir):
+    return records.without_errors(V.doc_papers(spark, sf_dir))
+
+
+@query(
+    """select ord, search_key, lang, title, coalesce(llm_summary, '') as llm_summary,
+         coalesce(abstract, '') as abstract, error from doc_papers""",
+    ("doc_papers",),
+)
+def fill_selected(spark, sf_dir):
+    return V.doc_papers(spark, sf_dir).na.fill("", subset=["llm_summary", "abstract"])
+
+
+_CLEAN = "select cast(ord as varchar) as ord, " + ", ".join(
+    f"coalesce({name}, '') as {name}" for name in ("search_key", "lang", "title", "llm_summary", "abstract", "error")
+)
+
+
+@query(f"{_CLEAN} from doc_papers", ("doc_papers",))
+def clean_nulls(spark, sf_dir):
+    return records.clean_nulls(V.doc_papers(spark, sf_dir))
+
+
+@query("select cast(ord as varchar) as ord, search_key from doc_papers", ("doc_papers",))
+def basic_projection(spark, sf_dir):
+    return records.basic_columns(V.doc_papers(spark, sf_dir))
+
+
+@query("select title, url from page_papers", ("page_papers",))
+def basic_title_url(spark, sf_dir):
+    return records.basic_columns(V.page_papers(spark, sf_dir))
+
+
+@query(f"select ord, abstract from doc_papers where not {V.sql_blank('abstract')}", ("doc_papers",))
+def nonblank_abstracts(spark, sf_dir):
+    return V.doc_papers(spark, sf_dir).where(X.not_blank(F.col("abstract"))).select("ord", "abstract")
+
+
+@query(f"select ord, llm_summary from doc_papers where not {V.sql_blank('llm_summary')}", ("doc_papers",))
+def nonblank_summaries(spark, sf_dir):
+    return V.doc_papers(spark, sf_dir).where(X.not_blank(F.col("llm_summary"))).select("ord", "llm_summary")
+
+
+@query(
+    """select ord, substr(coalesce(llm_summary, abstract), 1, 60) as preview,
+         case when length(title) > 80 then substr(title, 1, 80) || '...' else title end as short_title
+       from doc_papers""",
+    ("doc_papers",),
+)
+def preview_text(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).withColumnRenamed("llm_summary", "abstract_translate")
+    return papers.select(
+        "ord", records.preview_text(papers).alias("preview"), X.shorten(F.col("title"), 80).alias("short_title")
+    )
+
+
+@query(
+    """select count(*) as papers, count(*) filter (where error is null) as crawled,
+         count(*) filter (where error is not null) as failed from doc_papers""",
+    ("doc_papers",),
+)
+def run_counts(spark, sf_dir):
+    return records.run_counts(V.doc_papers(spark, sf_dir))
+
+
+@query(
+    "select cast(ord as varchar) as ord, nullif(search_key, '') as search_key, lang, nullif(title, '') as title, "
+    "nullif(llm_summary, '') as llm_summary, nullif(abstract, '') as abstract, error from doc_papers",
+    ("doc_papers",),
+)
+def csv_roundtrip(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir)
+    path = write_papers(papers, new_path(spark, "papers-csv"))
+    return read_papers(spark, path, records.clean_nulls(papers).schema)
+
+
+# --- names and links -------------------------------------------------------
+
+
+@query(
+    f"select concat('{U.SEARCH_PAGE}?q=', replace(url_encode(replace(p_name, ' ', '+')), '%20', '+')) as url, p_name "
+    "from search_words",
+    ("search_words",),
+)
+def search_urls(spark, sf_dir):
+    words = V.search_words(spark, sf_dir)
+    return words.select("p_name", U.search_url(U.split_words(F.col("p_name"))).alias("url"))
+
+
+@query(
+    """select p_name, concat('papers_', replace(p_name, ' ', '_'), '.csv') as papers_file,
+         concat(p_name, '_translated_zh_cn.csv') as translated_file, concat(p_name, '_classified.csv') as classified_file,
+         concat('paper_qa_', p_name, '_20240102_030405.csv') as qa_file
+       from search_words""",
+    ("search_words",),
+)
+def output_names(spark, sf_dir):
+    name = F.col("p_name")
+    return V.search_words(spark, sf_dir).select(
+        "p_name",
+        U.papers_file_name(U.split_words(name)).alias("papers_file"),
+        U.translated_file_name(name, F.lit("zh-cn")).alias("translated_file"),
+        U.classified_file_name(name).alias("classified_file"),
+        U.qa_file_name(name, F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("qa_file"),
+    )
+
+
+@query("select ord, substr(cleaned, 1, 50) as safe_title from (select page_id as ord, cleaned from titles)", ("titles",))
+def safe_titles(spark, sf_dir):
+    papers = V.page_papers(spark, sf_dir)
+    return papers.select(F.col("page_id").alias("ord"), X.safe_title(F.col("title")).alias("safe_title"))
+
+
+@query("select page_id, url, regexp_extract(url, '/papers/(\\d+\\.\\d+)', 1) as arxiv_id from page_papers", ("page_papers",))
+def arxiv_id(spark, sf_dir):
+    return V.page_papers(spark, sf_dir).select("page_id", "url", U.arxiv_id(F.col("url")).alias("arxiv_id"))
+
+
+@query("select page_id, pdf_url from targets where fetch_url is not null", ("targets",))
+def arxiv_filter(spark, sf_dir):
+    return V.page_papers(spark, sf_dir).where(U.is_arxiv(F.col("pdf_url"))).select("page_id", "pdf_url")
+
+
+@query("select page_id, case when fetch_url is null then pdf_url else fetch_url end as pdf_url from targets", ("targets",))
+def pdf_urls(spark, sf_dir):
+    return V.page_papers(spark, sf_dir).select("page_id", U.pdf_url(F.col("pdf_url")).alias("pdf_url"))
+
+
+@query("select page_id, pdf_path from targets", ("targets",))
+def pdf_filenames(spark, sf_dir):
+    return pdfs.target_paths(V.page_papers(spark, sf_dir), V.SEARCH_WORDS).select("page_id", "pdf_path")
+
+
+_PLAN_COLUMNS = ["page_id", "pdf_url", "fetch_url", "pdf_path", "pdf_status", "pdf_conflict"]
+
+
+@query("select * from pdf_plan", ("pdf_plan",))
+def pdf_plan(spark, sf_dir):
+    papers = V.page_papers(spark, sf_dir)
+    return pdfs.pdf_plan(papers, V.SEARCH_WORDS, V.manifest(spark, sf_dir), ["page_id"]).select(_PLAN_COLUMNS)
+
+
+@query(
+    """select pdf_path, min(fetch_url) as fetch_url from targets
+       where pdf_path is not null and pdf_path not in (select pdf_path from manifest) group by pdf_path""",
+    ("targets", "manifest"),
+)
+def pdf_todo(spark, sf_dir):
+    targets = pdfs.target_paths(V.page_papers(spark, sf_dir), V.SEARCH_WORDS)
+    return pdfs.pdf_todo(targets, V.manifest(spark, sf_dir))
+
+
+@query(
+    """select pdf_path, count(*) as papers from targets
+       where pdf_path in (select pdf_path from manifest) group by pdf_path""",
+    ("targets", "manifest"),
+)
+def pdf_reused(spark, sf_dir):
+    targets = pdfs.target_paths(V.page_papers(spark, sf_dir), V.SEARCH_WORDS)
+    return pdfs.pdf_reused(targets, V.manifest(spark, sf_dir))
+
+
+@query(
+    """select count(pdf_path) as pdfs, count(*) filter (where pdf_status = 'fetch') as to_fetch,
+         count(*) filter (where pdf_status = 'reuse') as reused, count(*) as papers from pdf_plan""",
+    ("pdf_plan",),
+)
+def pdf_plan_summary(spark, sf_dir):
+    return pdfs.pdf_summary(pdf_plan(spark, sf_dir))
+
+
+_NAMES = " ".join(f"when '{code}' then '{name}'" for code, name in LANGUAGE_NAMES.items())
+
+
+@query(f"select ord, lang, case lang {_NAMES} else upper(lang) end as language from doc_papers", ("doc_papers",))
+def language_names(spark, sf_dir):
+    return V.doc_papers(spark, sf_dir).select("ord", "lang", language_name(F.col("lang")).alias("language"))
+
+
+# --- metadata --------------------------------------------------------------
+
+
+@query('select ord, title, "Year", "Citation_Count", "Metadata_Source" from waterfall', ("waterfall",))
+def metadata_waterfall(spark, sf_dir):
+    found = metadata.metadata_waterfall(V.doc_papers(spark, sf_dir), V.catalogs(spark, sf_dir))
+    return found.select("ord", "title", "Year", "Citation_Count", "Metadata_Source")
+
+
+@query(
+    """select count(*) filter (where "Metadata_Source" <> 'not_found') as found, count(*) as papers,
+         round(avg(case when "Citation_Count" > 0 then "Citation_Count" end), 6) as avg_citations from waterfall""",
+    ("waterfall",),
+)
+def metadata_summary(spark, sf_dir):
+    summary = metadata.metadata_summary(metadata_waterfall(spark, sf_dir))
+    return summary.withColumn("avg_citations", F.round("avg_citations", 6))
+
+
+def _catalog_answer(source, catalog):
+    """Catalog rows as that service would answer."""
+    if source == "semantic_scholar":
+        hit = F.struct(F.col("year"), F.col("citation_count").alias("citationCount"))
+        return F.to_json(F.struct(F.array(hit).alias("data")))
+    if source == "crossref":
+        date = F.struct(F.array(F.array(F.col("year"), F.lit(5))).alias("date-parts"))
+        hit = F.struct(date.alias("issued"))
+        return F.to_json(F.struct(F.struct(F.array(hit).alias("items")).alias("message")))
+    hit = F.struct(F.col("year").alias("publication_year"), F.col("citation_count").alias("cited_by_count"))
+    return F.to_json(F.struct(F.array(hit).alias("results")))
+
+
+@query(
+    """select ord, cast(2000 + ord % 25 as int) as year, cast(ord % 50 as bigint) as citation_count,
+         'semantic_scholar' as source from doc_papers join labels on ord = doc_id
+       union all select ord, cast(1990 + ord % 35 as int), 0, 'crossref' from doc_papers where lang in ('de', 'fr')
+       union all select ord, cast(2010 + ord % 15 as int), ord % 90, 'openalex' from doc_papers where lang = 'en'""",
+    ("doc_papers",),
+)
+def parse_metadata(spark, sf_dir):
+    parsed = [
+        catalog.select("rank", A.METADATA_PARSERS[source](_catalog_answer(source, catalog)).alias("metadata"))
+        for source, catalog in V.catalogs(spark, sf_dir).items()
+    ]
+    every = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+    return every.select(F.col("rank").alias("ord"), "metadata.*")
+
+
+# --- categories ------------------------------------------------------------
+
+
+@query(
+    """select p.ord, p.title, coalesce(c.category, 'Unclassified') as category
+       from doc_papers p left join classification c on p.title = c.title""",
+    ("doc_papers", "classification"),
+)
+def assign_category(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).select("ord", "title")
+    return batches.assign_category(papers, V.classification(spark, sf_dir))
+
+
+@query(
+    """select coalesce(c.category, 'Unclassified') as category, count(*) as papers
+       from doc_papers p left join classification c on p.title = c.title group by 1""",
+    ("doc_papers", "classification"),
+)
+def category_counts(spark, sf_dir):
+    return batches.category_counts(assign_category(spark, sf_dir))
+
+
+_WRAPPED = """select title, case length(title) % 5
+    when 0 then concat('Sure.', chr(10), '```json', chr(10), j, chr(10), '``` end')
+    when 1 then concat('Here: ', j, ' done')
+    when 2 then j
+    when 3 then concat('none: ', title)
+    else concat('```json ', j, ' ') end as answer
+  from (select title, concat('{"', title, '": "', category, '"}') as j from classification)"""
+
+
+@query(
+    f"""select title, case
+          when contains(answer, '```json') then {V.sql_strip(
+            "case when contains(rest, '```') then split_part(rest, '```', 1) else substr(rest, 1, length(rest) - 1) end"
+          )}
+          when contains(answer, '{{') and contains(answer, '}}')
+            then regexp_extract(answer, '(\\{{.*\\}})', 1, 's')
+          else answer end as json
+        from (select *, substr(answer, strpos(answer, '```json') + 7) as rest from ({_WRAPPED}))""",
+    ("classification",),
+)
+def json_slice(spark, sf_dir):
+    title = F.col("title")
+    inner = F.concat(F.lit('{"'), title, F.lit('": "'), F.col("category"), F.lit('"}'))
+    kind = F.length(title) % 5
+    answer = (
+        F.when(kind == 0, F.concat(F.lit("Sure.\n```json\n"), inner, F.lit("\n``` end")))
+        .when(kind == 1, F.concat(F.lit("Here: "), inner, F.lit(" done")))
+        .when(kind == 2, inner)
+        .when(kind == 3, F.concat(F.lit("none: "), title))
+        .otherwise(F.concat(F.lit("```json "), inner, F.lit(" ")))
+    )
+    return V.classification(spark, sf_dir).select("title", A.json_slice(answer).alias("json"))
+
+
+@query("select title, true as ok, category, 'about ' || title as description from classification", ("classification",))
+def parse_classification(spark, sf_dir):
+    title, category = F.col("title"), F.col("category")
+    reply = F.to_json(
+        F.struct(
+            F.create_map(category, F.concat(F.lit("about "), title)).alias("categories"),
+            F.create_map(title, category).alias("classifications"),
+        )
+    )
+    answer = F.concat(F.lit("Answer\n```json\n"), reply, F.lit("\n```"))
+    parsed = V.classification(spark, sf_dir).select(
+        "title", A.parse_classification(A.json_slice(answer)).alias("parsed")
+    )
+    described = batches.described_categories(parsed, "title", "parsed")
+    return described.select(
+        "title", "parsed.ok", F.try_element_at(F.col("parsed.classifications"), title).alias("category"), "description"
+    )
+
+
+@query("select doc_id, concat(text, '|', lang) as translated from documents")
+def parse_translation(spark, sf_dir):
+    segments = F.array(F.array("text", F.lit("x")), F.array(F.lit(""), F.lit("y")), F.array(F.concat(F.lit("|"), "lang")))
+    answer = F.to_json(F.array(segments))
+    return V.documents(spark, sf_dir).select("doc_id", A.parse_translation(answer, F.col("text")).alias("translated"))
+
+
+# --- batches ---------------------------------------------------------------
+
+
+def _batched(spark, sf_dir):
+    return batches.prompt_batches(V.doc_papers(spark, sf_dir), budget=2000, chunk_ords=500)
+
+
+@query("select ord, search_key as bucket, chunk, batch from batched", ("batched",))
+def prompt_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).select("ord", "bucket", "chunk", "batch")
+
+
+@query("select * from context", ("context",))
+def classification_context(spark, sf_dir):
+    return batches.batch_context(_batched(spark, sf_dir))
+
+
+@query(
+    """select *, cast(case when length(prompt) > 1000 then 2000 else 100 end as int) as max_tokens
+       from (select bucket, chunk, batch,
+         concat('Words: a, b; groups: 4', chr(10), papers_info, 'End') as prompt from context)""",
+    ("context",),
+)
+def classification_prompts(spark, sf_dir):
+    return batches.classification_prompts(
+        batches.batch_context(_batched(spark, sf_dir)), V.SEARCH_WORDS, 4, V.GROUPING
+    )
+
+
+@query(
+    f"""select ord, concat(title, ' / ', llm_summary, ' / a, b / 4') as prompt from doc_papers
+        where not {V.sql_blank("llm_summary")}""",
+    ("doc_papers",),
+)
+def paper_prompts(spark, sf_dir):
+    words = F.array(*[F.lit(word) for word in V.SEARCH_WORDS])
+    prompt = P.paper_prompt(F.col("title"), F.col("llm_summary"), words, 4, V.SINGLE)
+    return V.doc_papers(spark, sf_dir).where(X.not_blank(F.col("llm_summary"))).select("ord", prompt.alias("prompt"))
+
+
+@query(
+    """select b.ord, b.title, case when h.batch is null then ''
+         when n.title is null or substr(md5(b.title), 1, 1) = '0' then 'Unclassified'
+         else substr(md5(b.title), 1, 1) end as category
+       from batched b
+         left join (select bucket, chunk, batch from context) h
+           on b.search_key = h.bucket and b.chunk = h.chunk and b.batch = h.batch
+         left join (select distinct search_key, chunk, batch, title from batched where entry is not null) n
+           on b.search_key = n.search_key and b.chunk = n.chunk and b.batch = n.batch and b.title = n.title""",
+    ("context",),
+)
+def classify_papers(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir)
+    done = batches.classify_papers(
+        papers, grouping_service, V.SEARCH_WORDS, 4, V.GROUPING, budget=2000, chunk_ords=500
+    )
+    return done.select("ord", "title", "category")
+
+
+# --- services --------------------------------------------------------------
+
+
+@query("select ord, md5(title) as answer, cast(null as varchar) as answer_error from doc_papers", ("doc_papers",))
+def enrich_dedup(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).select("ord", "title")
+    return enrich.enrich(papers, F.col("title"), md5_service, ["ord"]).drop("title")
+
+
+@query(
+    f"""select ord, case when {V.sql_blank("abstract")} then '' else md5(abstract) end as abstract_translate
+        from doc_papers""",
+    ("doc_papers",),
+)
+def translate_column(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).select("ord", "abstract")
+    return enrich.translate_abstracts(papers, translation_service).select("ord", "abstract_translate")
+
+
+# --- questions -------------------------------------------------------------
+
+
+@query("select * from page_text", ("page_text",))
+def page_text(spark, sf_dir):
+    return qa.page_text(V.doc_pages(spark, sf_dir))
+
+
+@query(
+    """select s.doc_id, cast(least(5, s.total) as bigint) as pages_read, s.total as total_pages, length(t.content) as chars
+       from (select doc_id, count(*) as total from doc_pages group by doc_id) s join page_text t on s.doc_id = t.doc_id""",
+    ("page_text",),
+)
+def page_stats(spark, sf_dir):
+    return qa.page_stats(V.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""select item_id, cast(row_number() over (partition by item_id order by pos) as int) as q_idx, question
+        from (select item_id, {V.sql_strip("line")} as question, pos
+          from (select item_id, unnest(string_split(text, chr(10))) as line,
+            generate_subscripts(string_split(text, chr(10)), 1) as pos from benchmark))
+        where question <> ''"""
+)
+def question_list(spark, sf_dir):
+    return qa.number_questions(V.table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(
+    "select d.doc_id, q.q_idx, q.question, d.n_chars from documents d, questions q",
+    ("questions",),
+)
+def doc_question_pairs(spark, sf_dir):
+    return qa.with_questions(V.documents(spark, sf_dir).select("doc_id", "n_chars"), V.QUESTIONS)
+
+
+_PROMPT = """concat('Text:', chr(10), substr(content, 1, 8000), chr(10), 'Question: ', question, chr(10),
+    'Use {braces} as they are.')"""
+
+
+@query(
+    f"select doc_id, q_idx, question, {_PROMPT} as prompt from page_text, questions",
+    ("page_text", "questions"),
+)
+def qa_prompts(spark, sf_dir):
+    return qa.qa_prompts(qa.page_text(V.doc_pages(spark, sf_dir)), V.QUESTIONS, V.READING)
+
+
+@query(
+    "select doc_id, "
+    + ", ".join(
+        f"max({name}) filter (where q_idx = {number}) as {name}_{number}"
+        for number in range(1, len(V.QUESTIONS) + 1)
+        for name in ("question", "answer")
+    )
+    + f" from (select doc_id, q_idx, question, md5({_PROMPT}) as answer from page_text, questions) group by doc_id",
+    ("page_text", "questions"),
+)
+def qa_answers(spark, sf_dir):
+    return answer_table(V.doc_pages(spark, sf_dir), V.QUESTIONS, md5_service, template=V.READING)
+
+
+# Conversations have at most four questions.
+_WIDE = 4
+
+
+@query(
+    "select doc_id, "
+    + ", ".join(
+        f"max({name}) filter (where q_idx = {number}) as {name}_{number}"
+        for number in range(1, _WIDE + 1)
+        for name in ("question", "answer")
+    )
+    + " from qa_long group by doc_id",
+    ("qa_long",),
+)
+def qa_wide(spark, sf_dir):
+    return qa.qa_wide(V.qa_long(spark, sf_dir), _WIDE)
+
+
+@query("select doc_id, q_idx, question, answer from qa_long", ("qa_long",))
+def qa_unpivot(spark, sf_dir):
+    return qa.qa_unpivot(qa_wide(spark, sf_dir))
+
+
+@query(
+    """select doc_id, q_idx, cast(rank as int) as rank, page_no, score from (
+          select *, row_number() over (partition by doc_id, q_idx order by score desc, page_no) as rank from (
+            select t.doc_id, t.page_no, q.q_idx, round(coalesce(s.score, 0e0), 6) as score
+            from tokens t cross join (select q_idx from questions) q left join (
+              select f.doc_id, f.page_no, k.q_idx, sum(ln(1e0 + (c.n - d.df + 0.5e0) / (d.df + 0.5e0)) * f.tf * 2.2e0
+                / (f.tf + 1.2e0 * (0.25e0 + 0.75e0 * f.length / c.avg_length))) as score
+              from tf f join terms k on f.term = k.term join (select term, count(*) as df from tf group by term) d
+                on d.term = f.term cross join (select count(*) as n, avg(length) as avg_length from tokens) c
+              group by f.doc_id, f.page_no, k.q_idx) s
+            on s.doc_id = t.doc_id and s.page_no = t.page_no and s.q_idx = q.q_idx))
+        where rank <= 2""",
+    ("doc_pages", "questions", "tokens", "tf", "terms"),
+)
+def qa_passages(spark, sf_dir):
+    return passages.qa_passages(V.doc_pages(spark, sf_dir), V.QUESTIONS, top_k=2)
+
+
+@query()
+def topic_clusters(spark, sf_dir):
+    return topics.topic_clusters(V.documents(spark, sf_dir))
