@@ -22,7 +22,7 @@ from paperloom.operators.select import Rule, find, find_by_priority, find_nested
 from paperloom.plans.crawl import CrawlOptions, paper_table
 from paperloom.plans.paper_qa import answer_table
 from paperloom.sources.durable import new_path
-from paperloom.sources.files import read_papers, write_papers
+from paperloom.sources.files import read_papers, spread, write_papers
 from paperloom.sources.html import node_rows, parse_html
 
 
@@ -88,14 +88,17 @@ _HREF = """regexp_extract(html, '<a href="([^"]*)"', 1)"""
 _SITE = f"'{U.SITE}'"
 
 
+def _pages(spark, sf_dir):
+    return spread(V.pages(spark, sf_dir).select("page_id", "url", "html"), "page_id")
+
+
 def _record_pages(spark, sf_dir):
-    urls = V.page_papers(spark, sf_dir).select("page_id", "url")
-    return V.pages(spark, sf_dir).drop("url").join(urls, "page_id")
+    return _pages(spark, sf_dir).withColumn("url", V.paper_url())
 
 
 @query()
 def html_nodes(spark, sf_dir):
-    return node_rows(parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id"), "page_id").select(
+    return node_rows(parse_html(_pages(spark, sf_dir)), "page_id").select(
         "page_id", "pos", "end_pos", "tag", "class_attr", "text", "container"
     )
 
@@ -106,7 +109,7 @@ def html_nodes(spark, sf_dir):
        group by page_id, tag"""
 )
 def html_tag_counts(spark, sf_dir):
-    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id")
+    parsed = parse_html(_pages(spark, sf_dir))
     tags = F.filter(F.col("nodes.tag"), lambda tag: tag.isNotNull())
     return parsed.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -120,7 +123,7 @@ def html_tag_counts(spark, sf_dir):
 def first_match(spark, sf_dir):
     rules = {"h1": H1, "a": LINK, "div.ad": AD, "footer": FOOTER}
     nodes = F.col("nodes")
-    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", list(rules.values()))
+    parsed = parse_html(_pages(spark, sf_dir), list(rules.values()))
     found = parsed.select(
         "page_id", "nodes", *[find(nodes, rule).alias(f"_{place}") for place, rule in enumerate(rules.values())]
     )
@@ -134,7 +137,7 @@ def first_match(spark, sf_dir):
 @query(f"select page_id, {_H1} as title from pages")
 def title_by_priority(spark, sf_dir):
     rules = [Rule("h1", classes=("title",)), H1, Rule("title")]
-    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", rules)
+    parsed = parse_html(_pages(spark, sf_dir), rules)
     found = parsed.select("page_id", "nodes", find_by_priority(F.col("nodes"), rules).alias("_title"))
     return found.select("page_id", text_of(F.col("nodes"), F.col("_title")).alias("title"))
 
@@ -142,7 +145,7 @@ def title_by_priority(spark, sf_dir):
 @query("""select page_id, regexp_extract(html, '<ul><li><a href="([^"]*)"', 1) as href from pages""")
 def nested_select(spark, sf_dir):
     rules = [Rule("ul"), ITEM, LINK]
-    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", rules)
+    parsed = parse_html(_pages(spark, sf_dir), rules)
     links = find_nested(F.col("nodes"), rules[0], rules[1:])
     return parsed.select("page_id", F.explode(links).alias("link")).select(
         "page_id", attribute(F.col("link"), "href").alias("href")
@@ -150,7 +153,7 @@ def nested_select(spark, sf_dir):
 
 
 def _listing(spark, sf_dir):
-    return V.pages(spark, sf_dir).select(
+    return _pages(spark, sf_dir).select(
         F.regexp_extract("url", HOST, 1).alias("search_id"), F.col("page_id").alias("page_ord"), "html"
     )
 
@@ -191,7 +194,7 @@ def export_papers(spark, sf_dir):
 
 @query(f"select page_id, concat({_SITE}, {_HREF}) as pdf_url from pages")
 def absolute_links(spark, sf_dir):
-    parsed = parse_html(V.pages(spark, sf_dir).select("page_id", "html"), "page_id", [LINK])
+    parsed = parse_html(_pages(spark, sf_dir), [LINK])
     href = attribute(find(F.col("nodes"), LINK), "href")
     return parsed.select("page_id", U.absolute_url(href).alias("pdf_url"))
 
@@ -720,4 +723,4 @@ def qa_passages(spark, sf_dir):
 
 @query()
 def topic_clusters(spark, sf_dir):
-    return topics.topic_clusters(V.documents(spark, sf_dir))
+    return topics.topic_clusters(spread(V.documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))

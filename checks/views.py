@@ -8,11 +8,13 @@ has the same views for the SQL side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators.passages import question_terms
+from paperloom.sources.files import spread
 
 # What is asked of every document, in the words of the corpus languages.
 QUESTIONS = (
@@ -27,7 +29,9 @@ GROUPING = "Words: {keywords}; groups: {num_categories}\n{papers_info}End"
 SINGLE = "{title} / {summary} / {keywords} / {num_categories}"
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables; its footer is read once."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,9 +43,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def paper_url() -> Column:
+    return F.concat(F.lit("https://host.example/papers/2401."), (F.col("page_id") + 10000).cast("string"))
+
+
 def page_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("page_id") + 10000).cast("string")
-    url = F.concat(F.lit("https://host.example/papers/2401."), number)
+    url = paper_url()
     kind = F.col("page_id") % 6
     link = (
         F.when(kind == 0, F.concat(F.lit("https://arxiv.org/abs/2401."), number))
@@ -57,12 +65,13 @@ def page_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = F.substring_index(F.substring_index("text", "\n", 2), "\n", -1)
     return documents(spark, sf_dir).select(
         F.col("doc_id").alias("ord"),
         F.col("source").alias("search_key"),
         "lang",
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
-        F.when(F.col("lang") != "es", F.split_part("text", F.lit("\n"), F.lit(2))).alias("llm_summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.when(F.col("lang") != "es", F.when(F.col("text").contains("\n"), second).otherwise("")).alias("llm_summary"),
         F.when(F.col("source") == "src3", "  \n").when(F.col("source") != "src5", F.col("text")).alias("abstract"),
         F.when(F.col("n_chars") < 400, "404 Not Found").alias("error"),
     )
@@ -71,7 +80,7 @@ def doc_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     slices = F.expr(f"regexp_extract_all(text, '(?s).{{1,{PAGE_CHARS}}}', 0)")
     return (
-        documents(spark, sf_dir)
+        spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
         .select("doc_id", F.posexplode(slices).alias("pos", "text"))
         .select("doc_id", (F.col("pos") + 1).alias("page_no"), "text")
     )
@@ -127,7 +136,7 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("page_id") + 10000).cast("string")
-    found = pages(spark, sf_dir).where(F.col("url").startswith("http://"))
+    found = pages(spark, sf_dir).where(F.length("html") < 2000)
     return found.select(F.concat(F.lit("pdfs/a_b/2401."), number, F.lit("v2.pdf")).alias("pdf_path"))
 
 
@@ -209,7 +218,7 @@ SQL = {
         from doc_papers p join labels l on p.ord = l.doc_id group by p.title""",
     "manifest": """
         select concat('pdfs/a_b/2401.', page_id + 10000, 'v2.pdf') as pdf_path
-        from pages where starts_with(url, 'http://')""",
+        from pages where length(html) < 2000""",
     "search_words": "select distinct p_name from part",
     "titles": r"""
         select *, replace(rtrim(regexp_replace(title, '[^\p{L}\p{N} _-]', '', 'g'), ' '), ' ', '_') as cleaned

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,23 +41,36 @@ def json_slice(answer: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _json_object(text: Column) -> Column:
     """Top-level object as map of raw value text; NULL unless ``text`` is
     exactly one JSON object. The array around it makes trailing text and
     empty input show up."""
     wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>", _STRICT)
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
+    return _let(wrapped, lambda objects: F.when(F.size(objects) == 1, F.get(objects, F.lit(0))))
 
 
 def _last_wins(mapping: Column) -> Column:
     """Drop earlier entries of repeated keys."""
-    entries = F.map_entries(mapping)
 
-    def is_last(entry: Column, index: Column) -> Column:
-        later = F.slice(entries, index + 2, F.size(entries))
-        return ~F.exists(later, lambda other: other["key"] == entry["key"])
+    def keep_last(entries: Column) -> Column:
+        def is_last(entry: Column, index: Column) -> Column:
+            later = F.slice(entries, index + 2, F.size(entries))
+            return ~F.exists(later, lambda other: other["key"] == entry["key"])
+
+        return F.map_from_entries(F.filter(entries, is_last))
+
+    return _let(F.map_entries(mapping), keep_last)
+
 
-    return F.map_from_entries(F.filter(entries, is_last))
+def _string_map(raw: Column) -> Column:
+    """Object text as a map, empty for NULL; NULL if it is no object."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.when(raw.isNull(), empty).otherwise(_last_wins(F.from_json(raw, "map<string,string>", _STRICT)))
 
 
 def parse_classification(text: Column) -> Column:
@@ -64,23 +79,22 @@ def parse_classification(text: Column) -> Column:
     ``ok`` is false for broken JSON and for anything but an object in place of
     either map. An absent or null map counts as empty.
     """
-    top = _json_object(text)
-
-    def part(name: str) -> tuple[Column, Column]:
-        raw = F.try_element_at(top, F.lit(name))
-        parsed = F.from_json(raw, "map<string,string>", _STRICT)
-        empty = F.create_map().cast("map<string,string>")
-        fine = raw.isNull() | parsed.isNotNull()
-        return fine, F.when(raw.isNull(), empty).otherwise(_last_wins(parsed))
-
-    categories_fine, categories = part("categories")
-    classes_fine, classes = part("classifications")
-    ok = F.coalesce(top.isNotNull() & categories_fine & classes_fine, F.lit(False))
-    return F.struct(
-        ok.alias("ok"),
-        F.when(ok, categories).alias("categories"),
-        F.when(ok, classes).alias("classifications"),
-    )
+
+    def maps(top: Column) -> Column:
+        return F.struct(
+            F.when(top.isNotNull(), _string_map(F.try_element_at(top, F.lit("categories")))).alias("categories"),
+            F.when(top.isNotNull(), _string_map(F.try_element_at(top, F.lit("classifications")))).alias("classes"),
+        )
+
+    def checked(found: Column) -> Column:
+        ok = found["categories"].isNotNull() & found["classes"].isNotNull()
+        return F.struct(
+            ok.alias("ok"),
+            F.when(ok, found["categories"]).alias("categories"),
+            F.when(ok, found["classes"]).alias("classifications"),
+        )
+
+    return _let(_let(_json_object(text), maps), checked)
 
 
 def parse_translation(answer: Column, original: Column) -> Column:
@@ -88,18 +102,17 @@ def parse_translation(answer: Column, original: Column) -> Column:
 
     No segments gives the original back. Broken JSON gives NULL.
     """
-    top = F.from_json(answer, "array<string>", _STRICT)
-    first = F.get(top, F.lit(0))
-    segments = F.from_json(first, "array<array<string>>", _STRICT)
-    pieces = F.filter(
-        F.transform(segments, lambda segment: F.get(segment, F.lit(0))),
-        lambda piece: piece.isNotNull() & (piece != ""),
-    )
-    return (
-        F.when(top.isNull(), F.lit(None).cast("string"))
-        .when(first.isNull() | (F.size(segments) <= 0), original)
-        .otherwise(F.array_join(pieces, ""))
-    )
+
+    def joined(segments: Column) -> Column:
+        first = F.transform(segments, lambda segment: F.get(segment, F.lit(0)))
+        pieces = F.filter(first, lambda piece: piece.isNotNull() & (piece != ""))
+        return F.when(F.coalesce(F.size(segments), F.lit(0)) <= 0, original).otherwise(F.array_join(pieces, ""))
+
+    def read(top: Column) -> Column:
+        segments = F.from_json(F.get(top, F.lit(0)), "array<array<string>>", _STRICT)
+        return F.when(top.isNotNull(), _let(segments, joined))
+
+    return _let(F.from_json(answer, "array<string>", _STRICT), read)
 
 
 def _metadata(year: Column, count: Column, source: str) -> Column:
@@ -110,38 +123,42 @@ def _metadata(year: Column, count: Column, source: str) -> Column:
     )
 
 
+def _first_hit(answer: Column, schema: str, path: Sequence[str], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the first hit in the list at ``path``; NULL without a hit."""
+    found = F.from_json(answer, schema, _STRICT)
+    for name in path:
+        found = found[name]
+    return _let(F.get(found, F.lit(0)), lambda hit: F.when(hit.isNotNull(), use(hit)))
+
+
 def parse_semantic_scholar(answer: Column) -> Column:
-    """Year and citation count of the first hit; NULL without a hit."""
-    parsed = F.from_json(answer, "data array<struct<year:int,citationCount:bigint>>", _STRICT)
-    hit = F.get(parsed["data"], F.lit(0))
-    return F.when(hit.isNotNull(), _metadata(hit["year"], hit["citationCount"], SOURCES[0]))
+    """Year and citation count of the first hit."""
+    schema = "data array<struct<year:int,citationCount:bigint>>"
+    return _first_hit(
+        answer, schema, ["data"], lambda hit: _metadata(hit["year"], hit["citationCount"], SOURCES[0])
+    )
 
 
 def parse_crossref(answer: Column) -> Column:
     """First usable year among print, online and issue dates; no counts."""
-    date = "struct<`date-parts`:array<array<int>>>"
-    parsed = F.from_json(
-        answer,
-        "message struct<items:array<struct<`published-print`:%s,`published-online`:%s,issued:%s>>>"
-        % (date, date, date),
-        _STRICT,
-    )
-    hit = F.get(parsed["message"]["items"], F.lit(0))
+    kinds = ("published-print", "published-online", "issued")
+    dates = ",".join(f"`{kind}`:struct<`date-parts`:array<array<int>>>" for kind in kinds)
 
-    def year(kind: str) -> Column:
+    def year(hit: Column, kind: str) -> Column:
         first_date = F.get(hit[kind]["date-parts"], F.lit(0))
         return F.nullif(F.get(first_date, F.lit(0)), F.lit(0))
 
-    found = F.coalesce(year("published-print"), year("published-online"), year("issued"))
-    return F.when(hit.isNotNull(), _metadata(found, F.lit(0), SOURCES[1]))
+    def read(hit: Column) -> Column:
+        return _metadata(F.coalesce(*[year(hit, kind) for kind in kinds]), F.lit(0), SOURCES[1])
+
+    return _first_hit(answer, f"message struct<items:array<struct<{dates}>>>", ["message", "items"], read)
 
 
 def parse_openalex(answer: Column) -> Column:
-    parsed = F.from_json(
-        answer, "results array<struct<publication_year:int,cited_by_count:bigint>>", _STRICT
+    schema = "results array<struct<publication_year:int,cited_by_count:bigint>>"
+    return _first_hit(
+        answer, schema, ["results"], lambda hit: _metadata(hit["publication_year"], hit["cited_by_count"], SOURCES[2])
     )
-    hit = F.get(parsed["results"], F.lit(0))
-    return F.when(hit.isNotNull(), _metadata(hit["publication_year"], hit["cited_by_count"], SOURCES[2]))
 
 
 METADATA_PARSERS = {

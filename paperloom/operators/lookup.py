@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A key is split once it holds more than this share of all rows, and never below
 # this many rows. There can be at most 1 / HOT_SHARE such keys, which bounds the
-# broadcast list, and the copies made of table rows come to at most 2 / HOT_SHARE.
+# list of them, and the copies made of table rows come to at most 2 / HOT_SHARE.
 HOT_SHARE = 1e-5
 HOT_ROWS = 100_000
 
@@ -19,11 +19,13 @@ def key_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(F.xxhash64(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def hot_keys(counts: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """``(_key, _salts)``: hash of each hot key and how many parts to cut it into."""
+def hot_keys(counts: DataFrame, share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list[tuple[int, int]]:
+    """Hash of each hot key and how many parts to cut it into; at most
+    ``1 / share`` entries."""
     total = counts.agg(F.sum("_n")).scalar()
     limit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return counts.where(F.col("_n") > limit).select("_key", F.ceil(F.col("_n") / limit).alias("_salts"))
+    hot = counts.select("_key", "_n", limit.alias("_limit")).where(F.col("_n") > F.col("_limit"))
+    return [tuple(row) for row in hot.select("_key", F.ceil(F.col("_n") / F.col("_limit"))).collect()]
 
 
 def lookup(
@@ -38,23 +40,27 @@ def lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has at most one row per key.
 
-    Rows of a hot key are dealt over several salts by the hash of ``spread_by``
-    and its table row is copied once per salt; all other keys have salt 0. Spark
-    picks the join strategy from the sizes it knows. ``counts`` saves counting
-    the rows where the caller already knows (see ``key_counts``).
+    Keys are counted first, by hash, reading the key column only; ``counts``
+    saves that where the caller knows (see ``key_counts``). Without hot keys this
+    is the plain join. Otherwise rows of a hot key are dealt over several salts
+    by the hash of ``spread_by`` and its table row is copied once per salt; all
+    other keys have salt 0. Spark picks the join strategy from the sizes it knows.
     """
-    hot = F.broadcast(hot_keys(key_counts(rows, key) if counts is None else counts, share, min_rows))
+    hot = hot_keys(key_counts(rows, key) if counts is None else counts, share, min_rows)
+    if not hot:
+        return rows.join(table, key, how)
+    listed = F.broadcast(rows.sparkSession.createDataFrame(hot, "_key bigint, _salts bigint"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")), F.lit(0).cast("bigint"))
     dealt = (
         rows.withColumn("_key", F.xxhash64(key))
-        .join(hot, "_key", "left")
+        .join(listed, "_key", "left")
         .withColumn("_salt", salt)
         .drop("_key", "_salts")
     )
     last = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint")) - 1
     copied = (
         table.withColumn("_key", F.xxhash64(key))
-        .join(hot, "_key", "left")
+        .join(listed, "_key", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .drop("_key", "_salts")
     )

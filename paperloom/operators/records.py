@@ -60,7 +60,7 @@ def listing_links(
     row-number limit is applied in each input partition before the shuffle, so a
     search with very many pages sends few rows.
     """
-    parsed = parse_html(pages.where(F.col("html").isNotNull()), "page_ord", [block, *steps])
+    parsed = parse_html(pages.where(F.col("html").isNotNull()), [block, *steps])
     links = F.transform(
         find_nested(F.col("nodes"), block, steps), lambda element: attribute(element, "href")
     )
@@ -84,7 +84,7 @@ def paper_records(
     """
     nodes = F.col("nodes")
     source = pages.select(key, "url", "html")
-    parsed = parse_html(source, key, rules.all())
+    parsed = parse_html(source, rules.all())
     elements = parsed.select(
         key,
         "url",

@@ -7,6 +7,8 @@ from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.sources.durable import cut_lineage
+
 VOCABULARY = 1 << 14
 
 
@@ -22,7 +24,8 @@ def topic_clusters(
         docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     )
     counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary).fit(words)
-    counts = counter.transform(words).select(key, "counts")
+    # Kept, so that the passes below do not cut the texts into words again.
+    counts = cut_lineage(counter.transform(words).select(key, "counts"))
     weighted = IDF(inputCol="counts", outputCol="features").fit(counts).transform(counts).select(key, "features")
     model = KMeans(k=num_categories, seed=seed, predictionCol="cluster").fit(weighted)
     names = []

@@ -13,6 +13,17 @@ from paperloom.operators.records import clean_nulls
 from paperloom.schemas import PAPER_CSV
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a plain file scan over all cores if it has fewer splits.
+
+    For small files in front of costly work; a table of any size has far more
+    splits than cores and passes unchanged. Only for scans: the number of splits
+    of anything behind a shuffle is known only by running it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def pdf_listing(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, pdf_filename, length)`` of the PDF files directly in a folder.
 

@@ -153,18 +153,7 @@ def page_nodes(html: str, rules: Sequence[Rule] | None = None) -> list[dict]:
     return _PageNodes(rules).run(html)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over all cores when the input has fewer splits than that.
-
-    A table of any size has far more splits than this and passes unchanged.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df
-
-
-def parse_html(
-    pages: DataFrame, key: str, rules: Sequence[Rule] | None = None, html: str = "html"
-) -> DataFrame:
+def parse_html(pages: DataFrame, rules: Sequence[Rule] | None = None, html: str = "html") -> DataFrame:
     """``pages`` with ``html`` replaced by ``nodes``.
 
     Pages are parsed where they lie. ``rules`` says what the caller will look
@@ -187,7 +176,7 @@ def parse_html(
                 columns.append(pa.array(found, pa.list_(_ARROW_NODE)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "nodes"])
 
-    return spread(pages, key).mapInArrow(parse, schema)
+    return pages.mapInArrow(parse, schema)
 
 
 def node_rows(parsed: DataFrame, *keys: str) -> DataFrame:
