@@ -212,7 +212,7 @@ def absolute_links(spark, sf_dir):
 def crawl_papers(spark, sf_dir):
     first_link = F.concat(F.lit(U.SITE), F.regexp_extract("html", '<a href="([^"]*)"', 1))
     options = CrawlOptions(n=3, block=ITEM, steps=(LINK,), rules=PAGE_RULES, translate=translation_service)
-    return paper_table(_listing(spark, sf_dir), V.pages(spark, sf_dir).withColumn("url", first_link), options)
+    return paper_table(_listing(spark, sf_dir), _pages(spark, sf_dir).withColumn("url", first_link), options)
 
 
 # --- records ---------------------------------------------------------------

@@ -20,6 +20,7 @@ from paperloom.operators.records import (
     records_for_links,
 )
 from paperloom.operators.select import Rule
+from paperloom.sources.durable import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,11 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
 
     ``listing(search_id, page_ord, html)`` are the search pages and
     ``pages(page_id, url, html)`` the paper pages. Each stage adds columns to the
-    one before; error records pass through all of them.
+    one before; error records pass through all of them. Links and records are
+    kept, since the stages use them more than once and pages should be parsed once.
     """
-    links = listing_links(listing, options.n, options.block, options.steps, options.site)
-    papers = records_for_links(links, pages, rules=options.rules, site=options.site)
+    links = cut_lineage(listing_links(listing, options.n, options.block, options.steps, options.site))
+    papers = cut_lineage(records_for_links(links, pages, rules=options.rules, site=options.site))
     keys = ("search_id", "ord")
     if options.manifest is not None:
         papers = pdf_plan(papers, options.words, options.manifest, keys)
