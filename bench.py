@@ -11,8 +11,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from checks.compare import session  # noqa: E402
-from checks.registry import QUERIES  # noqa: E402
+from paperloom.queries.compare import session  # noqa: E402
+from paperloom.queries.registry import QUERIES  # noqa: E402
 
 HEADLINE = (
     "html_nodes html_tag_counts nested_select listing_links paper_records crawl_papers csv_roundtrip "

@@ -32,43 +32,37 @@ def qa_passages(pages: DataFrame, questions: Sequence[str], top_k: int = 1) -> D
     """
     asked = [question_terms(question) for question in questions]
     terms = sorted({term for words in asked for term in words})
+    listed = F.array(*[F.lit(term) for term in terms])
     tokens = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda token: token != "")
     cut = pages.select("doc_id", "page_no", tokens.alias("tokens"))
-    asked_for = F.filter(F.col("tokens"), lambda token: token.isin(terms))
-    kept = cut.select("doc_id", "page_no", F.size("tokens").alias("length"), asked_for.alias("found"))
-    found = F.col("found")
-    counted = cut_lineage(
-        kept.select(
-            "doc_id",
-            "page_no",
-            "length",
-            *[
-                (F.size(found) - F.size(F.array_remove(found, term))).alias(f"tf_{place}")
-                for place, term in enumerate(terms)
-            ],
-        )
+    kept = cut.select(
+        "doc_id",
+        "page_no",
+        F.size("tokens").alias("length"),
+        F.filter("tokens", lambda token: token.isin(terms)).alias("found"),
     )
+    frequency = F.transform(listed, lambda term: F.size("found") - F.size(F.array_remove("found", term)))
+    counted = cut_lineage(kept.select("doc_id", "page_no", "length", frequency.alias("tf")), "passage-counts")
     corpus = counted.agg(
         F.struct(
             F.count(F.lit(1)).cast("double").alias("pages"),
             F.avg("length").alias("avg_length"),
-            F.array(*[F.count_if(F.col(f"tf_{place}") > 0).cast("double") for place in range(len(terms))]).alias("df"),
+            F.array(*[F.count_if(F.get("tf", F.lit(place)) > 0) for place in range(len(terms))]).alias("df"),
         )
     ).scalar()
-    stated = counted.withColumn("corpus", corpus)
+    stated = counted.select("doc_id", "page_no", "length", "tf", corpus.alias("corpus"))
 
-    def term_score(place: int) -> Column:
-        df = F.get(F.col("corpus.df"), F.lit(place))
-        tf = F.col(f"tf_{place}").cast("double")
-        idf = F.log(F.lit(1.0) + (F.col("corpus.pages") - df + 0.5) / (df + 0.5))
-        norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("corpus.avg_length"))
-        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
+    def weight(tf: Column, df: Column) -> Column:
+        idf = F.log((F.col("corpus.pages") - df + 0.5) / (df + 0.5) + 1.0)
+        norm = (F.col("length") / F.col("corpus.avg_length") * B + (1 - B)) * K1
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
 
-    scores = [
-        F.round(reduce(Column.__add__, [term_score(terms.index(word)) for word in words], F.lit(0.0)), 6)
-        for words in asked
-    ]
-    scored = stated.select("doc_id", "page_no", F.posexplode(F.array(*scores)).alias("pos", "score"))
+    weighted = stated.select("doc_id", "page_no", F.zip_with("tf", "corpus.df", weight).alias("weights"))
+    scores = []
+    for words in asked:
+        parts = [F.get("weights", F.lit(terms.index(word))) for word in words]
+        scores.append(F.round(reduce(Column.__add__, parts) if parts else F.lit(0.0), 6))
+    scored = weighted.select("doc_id", "page_no", F.posexplode(F.array(*scores)).alias("pos", "score"))
     order = Window.partitionBy("doc_id", "q_idx").orderBy(F.desc("score"), "page_no")
     return (
         scored.select("doc_id", "page_no", (F.col("pos") + 1).alias("q_idx"), "score")

@@ -1,4 +1,4 @@
-"""Run queries and their SQL side by side: python -m checks.compare [sf_dir] [name ...]."""
+"""Run queries and their SQL side by side: python -m paperloom.queries.compare [sf_dir] [name ...]."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
-from checks.registry import QUERIES
+from paperloom.queries.registry import QUERIES
 
 TABLES = "pages documents labels benchmark conversations part".split()
 

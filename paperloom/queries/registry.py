@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import views as V
+from paperloom.queries import views as V
 from paperloom.functions import answers as A
 from paperloom.functions import prompts as P
 from paperloom.functions import text as X
@@ -413,10 +413,14 @@ def language_names(spark, sf_dir):
 # --- metadata --------------------------------------------------------------
 
 
-@query('select ord, title, "Year", "Citation_Count", "Metadata_Source" from waterfall', ("waterfall",))
+@query(
+    'select ord, title, cast("Year" as double) as "Year", "Citation_Count", "Metadata_Source" from waterfall',
+    ("waterfall",),
+)
 def metadata_waterfall(spark, sf_dir):
     found = metadata.metadata_waterfall(V.doc_papers(spark, sf_dir), V.catalogs(spark, sf_dir))
-    return found.select("ord", "title", "Year", "Citation_Count", "Metadata_Source")
+    # Year as double: integers with gaps look different in Spark's and the SQL side's pandas frames.
+    return found.select("ord", "title", F.col("Year").cast("double"), "Citation_Count", "Metadata_Source")
 
 
 @query(

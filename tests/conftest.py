@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from checks.compare import session  # noqa: E402
+from paperloom.queries.compare import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

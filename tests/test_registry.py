@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_module
-from checks.compare import canonical, connect
-from checks.registry import QUERIES
+from paperloom.queries.compare import canonical, connect
+from paperloom.queries.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
