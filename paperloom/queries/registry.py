@@ -433,6 +433,44 @@ def metadata_summary(spark, sf_dir):
     return summary.withColumn("avg_citations", F.round("avg_citations", 6))
 
 
+def _digest_service(place, reply):
+    """A metadata service that knows the titles whose MD5 has a low digit at ``place``."""
+
+    def service():
+        def send(title: str) -> str:
+            digits = [int(digit, 16) for digit in hashlib.md5(title.encode()).hexdigest()]
+            return json.dumps(reply(2000 + digits[0], digits[1]) if digits[place] < 6 else {})
+
+        return send
+
+    return service
+
+
+def _digit(place: int) -> str:
+    return f"(strpos('0123456789abcdef', substr(md5(title), {place + 1}, 1)) - 1)"
+
+
+@query(
+    f"""select ord, case when {_digit(2)} < 6 or {_digit(3)} < 6 or {_digit(4)} < 6
+           then cast(2000 + {_digit(0)} as double) end as "Year",
+         case when {_digit(2)} < 6 then {_digit(1)} when {_digit(3)} < 6 then 0 when {_digit(4)} < 6 then {_digit(1)}
+           else 0 end as "Citation_Count",
+         case when {_digit(2)} < 6 then 'semantic_scholar' when {_digit(3)} < 6 then 'crossref'
+           when {_digit(4)} < 6 then 'openalex' else 'not_found' end as "Metadata_Source"
+       from doc_papers""",
+    ("doc_papers",),
+)
+def metadata_services(spark, sf_dir):
+    services = {
+        "semantic_scholar": _digest_service(2, lambda y, n: {"data": [{"year": y, "citationCount": n}]}),
+        "crossref": _digest_service(3, lambda y, n: {"message": {"items": [{"issued": {"date-parts": [[y, 1]]}}]}}),
+        "openalex": _digest_service(4, lambda y, n: {"results": [{"publication_year": y, "cited_by_count": n}]}),
+    }
+    papers = V.doc_papers(spark, sf_dir).select("ord", "title")
+    found = metadata.with_metadata(papers, metadata.metadata_from_services(papers, services))
+    return found.select("ord", F.col("Year").cast("double"), "Citation_Count", "Metadata_Source")
+
+
 def _catalog_answer(source, catalog):
     """Catalog rows as that service would answer."""
     if source == "semantic_scholar":

@@ -158,9 +158,10 @@ def sql_blank(value: str) -> str:
 
 
 def sql_text(value: str) -> str:
-    """Decoded, stripped text of markup without inner tags."""
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        value = f"replace({value}, '{entity}', '{char}')"
+    """Decoded, stripped text of markup without inner tags. Cut-off titles can
+    end in an entity without its semicolon, which HTML reads all the same."""
+    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        value = f"regexp_replace({value}, '&{entity}(;|$)', '{char}', 'g')"
     return sql_strip(value)
 
 
