@@ -89,6 +89,7 @@ def paper_records(
         key,
         "url",
         "nodes",
+        "parse_error",
         find_by_priority(nodes, rules.title).alias("_title"),
         find(nodes, rules.summary).alias("_summary"),
         find(nodes, rules.abstract).alias("_abstract"),
@@ -107,7 +108,7 @@ def paper_records(
         unless_failed(text_of(nodes, F.col("_abstract"), sep)).alias("abstract"),
         unless_failed(absolute_url(attribute(F.col("_pdf"), "href"), site)).alias("pdf_url"),
         unless_failed(arxiv_id(F.col("url"))).alias("arxiv_id"),
-        F.when(failed, F.lit("no page content")).alias("error"),
+        F.when(failed, F.coalesce("parse_error", F.lit("no page content"))).alias("error"),
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as html_lib
 import html.entities as entities
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -61,6 +62,8 @@ class _PageNodes(HTMLParser):
         self.rules_by_tag: dict[str, list[Rule]] = {}
         self.nodes: list[dict] = []
         self.open: list[tuple[str, dict | None]] = []
+        self.open_tags: Counter[str] = Counter()
+        self.containers: list[str] = []
         self.kept_open = 0
         self.closed_voids: list[str] = []
         self.pieces: list[str] = []
@@ -69,7 +72,7 @@ class _PageNodes(HTMLParser):
         text = "".join(self.pieces)
         self.pieces.clear()
         if text and (self.rules is None or self.kept_open):
-            container = next((tag for tag, _ in reversed(self.open) if tag in TEXT_CONTAINERS), "")
+            container = self.containers[-1] if self.containers else ""
             at = len(self.nodes)
             self.nodes.append({"pos": at, "end_pos": at, "text": text, "container": container})
 
@@ -84,6 +87,9 @@ class _PageNodes(HTMLParser):
 
     def _pop(self) -> str:
         tag, node = self.open.pop()
+        self.open_tags[tag] -= 1
+        if tag in TEXT_CONTAINERS:
+            self.containers.pop()
         if node is not None:
             node["end_pos"] = len(self.nodes) - 1
             self.kept_open -= 1
@@ -103,6 +109,9 @@ class _PageNodes(HTMLParser):
             self.nodes.append(node)
             self.kept_open += 1
         self.open.append((tag, node))
+        self.open_tags[tag] += 1
+        if tag in TEXT_CONTAINERS:
+            self.containers.append(tag)
         if closes_itself:
             self._pop()
 
@@ -120,7 +129,7 @@ class _PageNodes(HTMLParser):
             self.closed_voids.remove(tag)
             return
         self._end_text()
-        if any(name == tag for name, _ in self.open):
+        if self.open_tags[tag]:
             while self._pop() != tag:
                 pass
 
@@ -154,27 +163,33 @@ def page_nodes(html: str, rules: Sequence[Rule] | None = None) -> list[dict]:
 
 
 def parse_html(pages: DataFrame, rules: Sequence[Rule] | None = None, html: str = "html") -> DataFrame:
-    """``pages`` with ``html`` replaced by ``nodes``.
+    """``pages`` with ``html`` replaced by ``nodes`` and ``parse_error``.
 
     Pages are parsed where they lie. ``rules`` says what the caller will look
     for, so that the rest of each page never leaves the Python worker. A page
-    with no html keeps its row with NULL nodes.
+    with no html, or none that can be read, keeps its row with NULL nodes.
     """
     carried = [field for field in pages.schema.fields if field.name != html]
     names = [field.name for field in carried]
-    schema = T.StructType([*carried, T.StructField("nodes", T.ArrayType(NODE))])
+    schema = T.StructType(
+        [*carried, T.StructField("nodes", T.ArrayType(NODE)), T.StructField("parse_error", T.StringType())]
+    )
+
+    def read(text: str | None) -> tuple[list[dict] | None, str | None]:
+        try:
+            return None if text is None else page_nodes(text, rules), None
+        except Exception as problem:  # noqa: BLE001 - one broken page must not end the job
+            return None, f"unreadable page: {problem}"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, _PAGES_PER_BATCH):
                 part = batch.slice(first, _PAGES_PER_BATCH)
-                found = [
-                    None if text is None else page_nodes(text, rules)
-                    for text in part.column(part.schema.get_field_index(html)).to_pylist()
-                ]
+                found = [read(text) for text in part.column(part.schema.get_field_index(html)).to_pylist()]
                 columns = [part.column(part.schema.get_field_index(name)) for name in names]
-                columns.append(pa.array(found, pa.list_(_ARROW_NODE)))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "nodes"])
+                columns.append(pa.array([nodes for nodes, _ in found], pa.list_(_ARROW_NODE)))
+                columns.append(pa.array([error for _, error in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "nodes", "parse_error"])
 
     return pages.mapInArrow(parse, schema)
 

@@ -141,3 +141,13 @@ def test_many_pages_any_partitioning(spark):
         frame = parse_html(pages.repartition(parts), [Rule("h1")])
         found = {row.page_id: row.nodes[1].text for row in frame.collect()}
         assert found == {number: f"t{number}" for number in range(300)}
+
+
+def test_broken_page_keeps_its_row(nodes):
+    row = nodes("<h1>a</h1><![bad[x]]>").first()
+    assert row.nodes is None and row.parse_error.startswith("unreadable page: ")
+
+
+def test_deep_nesting_is_linear():
+    found = page_nodes("<p>x" * 20000 + "</i>" * 20000 + "</p>" * 20000)
+    assert len(found) == 40000 and found[0]["end_pos"] == 39999
