@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import READING_TEMPLATE, TEXT_LIMIT, reading_prompt
-from paperloom.functions.text import not_blank, strip, truncate
+from paperloom.functions.text import label, strip, truncate
 from paperloom.operators.enrich import CALL_FAILED, Service, enrich
 
 MAX_PAGES = 5
@@ -35,6 +35,8 @@ def page_text(pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
 
     Page numbers count empty pages too. The page limit reaches the scan.
     """
+    if max_pages is not None and max_pages < 1:
+        raise ValueError("max_pages must be positive")
     read = pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)
     marked = read.select("doc_id", "page_no", _marked_page().alias("piece"))
     joined = F.expr("listagg(piece, '\\n\\n') within group (order by page_no)")
@@ -131,3 +133,11 @@ def qa_unpivot(wide: DataFrame, key: str = "doc_id") -> DataFrame:
             pairs.append(f"{number}, `{name}`, `answer_{number}`")
     stacked = wide.select(key, F.expr(f"stack({len(pairs)}, {', '.join(pairs)}) as (q_idx, question, answer)"))
     return stacked.where(F.col("question").isNotNull())
+
+
+def preview_answers(wide: DataFrame, rows: int = 2, key: str = "doc_id") -> DataFrame:
+    """Cut questions and answers of the first documents."""
+    pairs = qa_unpivot(wide.orderBy(key).limit(rows), key)
+    return pairs.select(
+        key, "q_idx", label(F.col("question"), 50).alias("question"), label(F.col("answer"), 100).alias("answer")
+    )

@@ -178,10 +178,15 @@ def preview_text(papers: DataFrame) -> Column:
 
 
 def preview(papers: DataFrame, rows: int = 2, order: str = "ord") -> DataFrame:
-    """Short form of the first rows."""
-    return (
-        papers.orderBy(order)
-        .limit(rows)
-        .select(order, label(F.col("title"), 50).alias("title"), label(preview_text(papers), 60).alias("abstract"))
-    )
-
+    """Short form of the first rows: cut title and abstract, and whichever of
+    category, year, positive citation count and PDF path the papers have."""
+    shown = {
+        "title": label(F.col("title"), 50),
+        "abstract": label(preview_text(papers), 60),
+        "category": F.col("category"),
+        "Year": F.col("Year"),
+        "Citation_Count": F.when(F.col("Citation_Count") > 0, F.col("Citation_Count")),
+        "pdf_path": F.col("pdf_path"),
+    }
+    columns = [value.alias(name) for name, value in shown.items() if name in papers.columns]
+    return papers.orderBy(order).limit(rows).select(order, *columns)

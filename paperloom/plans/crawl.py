@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -45,20 +45,26 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
 
     ``listing(search_id, page_ord, html)`` are the search pages and
     ``pages(page_id, url, html)`` the paper pages. Each stage adds columns to the
-    one before; error records pass through all of them. Links and records are
-    kept, since the stages use them more than once and pages should be parsed once.
+    one before; error records pass through all of them. What a stage starts from
+    is written down first, as stages read their input more than once and pages
+    should be parsed, and services asked, only once.
     """
-    links = cut_lineage(listing_links(listing, options.n, options.block, options.steps, options.site))
-    papers = cut_lineage(records_for_links(links, pages, rules=options.rules, site=options.site))
     keys = ("search_id", "ord")
+    links = listing_links(listing, options.n, options.block, options.steps, options.site)
+    papers = records_for_links(cut_lineage(links, "links"), pages, rules=options.rules, site=options.site)
+    stages: list[Callable[[DataFrame], DataFrame]] = []
     if options.manifest is not None:
-        papers = pdf_plan(papers, options.words, options.manifest, keys)
+        stages.append(lambda rows: pdf_plan(rows, options.words, options.manifest, keys))
     if options.translate is not None:
-        papers = translate_abstracts(papers, options.translate, keys)
+        stages.append(lambda rows: translate_abstracts(rows, options.translate, keys))
     if options.catalogs is not None:
-        papers = metadata_waterfall(papers, options.catalogs, keys)
+        stages.append(lambda rows: metadata_waterfall(rows, options.catalogs, keys))
     if options.classify is not None:
-        papers = classify_papers(
-            papers, options.classify, options.words, options.num_categories, bucket="search_id"
+        stages.append(
+            lambda rows: classify_papers(
+                rows, options.classify, options.words, options.num_categories, bucket="search_id"
+            )
         )
+    for stage in stages:
+        papers = stage(cut_lineage(papers, "papers"))
     return papers

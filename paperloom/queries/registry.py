@@ -287,6 +287,19 @@ def preview_text(spark, sf_dir):
     )
 
 
+@query(
+    """select ord, substr(coalesce(title, ''), 1, 50) || '...' as title,
+         substr(coalesce(abstract, ''), 1, 60) || '...' as abstract, cast("Year" as double) as "Year",
+         cast(nullif("Citation_Count", 0) as double) as "Citation_Count"
+       from waterfall order by ord limit 2""",
+    ("waterfall",),
+)
+def paper_preview(spark, sf_dir):
+    papers = metadata.metadata_waterfall(V.doc_papers(spark, sf_dir), V.catalogs(spark, sf_dir))
+    numbers = {name: F.col(name).cast("double") for name in ("Year", "Citation_Count")}
+    return records.preview(papers.withColumns(numbers))
+
+
 @query(
     """select count(*) as papers, count(*) filter (where error is null) as crawled,
          count(*) filter (where error is not null) as failed from doc_papers""",
@@ -740,6 +753,15 @@ def qa_wide(spark, sf_dir):
     return qa.qa_wide(V.qa_long(spark, sf_dir), _WIDE)
 
 
+@query(
+    """select doc_id, q_idx, substr(question, 1, 50) || '...' as question, substr(answer, 1, 100) || '...' as answer
+       from qa_long where doc_id in (select distinct doc_id from qa_long order by doc_id limit 2)""",
+    ("qa_long",),
+)
+def answer_preview(spark, sf_dir):
+    return qa.preview_answers(qa_wide(spark, sf_dir))
+
+
 @query("select doc_id, q_idx, question, answer from qa_long", ("qa_long",))
 def qa_unpivot(spark, sf_dir):
     return qa.qa_unpivot(qa_wide(spark, sf_dir))

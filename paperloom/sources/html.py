@@ -68,7 +68,13 @@ class _PageNodes(HTMLParser):
         self.closed_voids: list[str] = []
         self.pieces: list[str] = []
 
+    def updatepos(self, i, j):
+        """Line numbers are not needed."""
+        return j
+
     def _end_text(self) -> None:
+        if not self.pieces:
+            return
         text = "".join(self.pieces)
         self.pieces.clear()
         if text and (self.rules is None or self.kept_open):
@@ -76,14 +82,27 @@ class _PageNodes(HTMLParser):
             at = len(self.nodes)
             self.nodes.append({"pos": at, "end_pos": at, "text": text, "container": container})
 
-    def _wanted(self, tag: str, classes: list[str], attrs: dict) -> bool:
-        if self.rules is None:
-            return True
-        rules = self.rules_by_tag.get(tag)
-        if rules is None:
-            rules = [rule for rule in self.rules if rule.tag in (None, tag)]
-            self.rules_by_tag[tag] = rules
-        return any(rule.may_match(tag, classes, attrs) for rule in rules)
+    def _rules_for(self, tag: str) -> list[Rule]:
+        found = self.rules_by_tag.get(tag)
+        if found is None:
+            found = [rule for rule in self.rules if rule.tag in (None, tag)]
+            self.rules_by_tag[tag] = found
+        return found
+
+    def _node(self, tag: str, attrs: list) -> dict | None:
+        """Node of an element, None if no rule may match it."""
+        rules = None if self.rules is None else self._rules_for(tag)
+        if rules is not None and not rules:
+            return None
+        values = {name: value or "" for name, value in attrs}
+        classes = values["class"].split() if "class" in values else []
+        if rules is not None and not any(rule.may_match(tag, classes, values) for rule in rules):
+            return None
+        at = len(self.nodes)
+        return {
+            "pos": at, "end_pos": at, "tag": tag, "class_attr": " ".join(classes),
+            "classes": classes, "attrs": list(values.items()),
+        }
 
     def _pop(self) -> str:
         tag, node = self.open.pop()
@@ -97,15 +116,8 @@ class _PageNodes(HTMLParser):
 
     def _start(self, tag: str, attrs: list, closes_itself: bool) -> None:
         self._end_text()
-        values = {name: value or "" for name, value in attrs}
-        classes = values.get("class", "").split()
-        node = None
-        if self._wanted(tag, classes, values):
-            at = len(self.nodes)
-            node = {
-                "pos": at, "end_pos": at, "tag": tag, "class_attr": " ".join(classes),
-                "classes": classes, "attrs": list(values.items()),
-            }
+        node = self._node(tag, attrs)
+        if node is not None:
             self.nodes.append(node)
             self.kept_open += 1
         self.open.append((tag, node))

@@ -98,6 +98,19 @@ def test_wide_and_back(spark, cells):
     assert sorted(tuple(row) for row in back.collect()) == sorted(rows)
 
 
+def test_preview_answers(spark):
+    rows = [(doc, 1, "q" * 60, f"a{doc}") for doc in (3, 1, 2)]
+    wide = qa.qa_wide(spark.createDataFrame(rows, "doc_id long, q_idx int, question string, answer string"), 2)
+    found = sorted(tuple(row) for row in qa.preview_answers(wide).collect())
+    assert found == [(1, 1, "q" * 50 + "...", "a1..."), (2, 1, "q" * 50 + "...", "a2...")]
+
+
+@pytest.mark.parametrize("limit", [0, -1])
+def test_page_limit_must_be_positive(pages, limit):
+    with pytest.raises(ValueError):
+        qa.page_text(pages, limit)
+
+
 def test_pdf_listing(spark, tmp_path):
     for name in ("a.pdf", "B.PDF", "c.txt", "d.pdf.bak"):
         (tmp_path / name).write_bytes(b"%PDF")

@@ -122,3 +122,13 @@ def test_other_rules(spark):
     rules = PaperRules(title=(Rule("i"),), summary=Rule("b"), abstract=Rule("u"), pdf=Rule("a"))
     row = records.paper_records(pages, rules=rules).first()
     assert row[2:] == ("T", "S", "A", "", "", None)
+
+
+def test_preview_shows_what_is_there(spark):
+    papers = spark.createDataFrame(
+        [(1, "t", "a", "c", 2020, 0, "p"), (2, "u", "b", None, None, 3, None)],
+        "ord long, title string, abstract string, category string, Year int, Citation_Count long, pdf_path string",
+    )
+    assert [tuple(row) for row in records.preview(papers).collect()] == [
+        (1, "t...", "a...", "c", 2020, None, "p"), (2, "u...", "b...", None, None, 3, None)
+    ]
