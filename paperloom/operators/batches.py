@@ -12,11 +12,15 @@ from paperloom.functions.prompts import BATCH_TEMPLATE, answer_budget, batch_pro
 from paperloom.functions.text import not_blank
 from paperloom.operators.enrich import Service, ask
 from paperloom.operators.lookup import lookup
+from paperloom.sources.durable import cut_lineage
 
 # Results of papers the answer does not name or cannot be read for.
 UNCLASSIFIED = "Unclassified"
 PARSING_FAILED = "Classification parsing failed: "
 
+# Put behind the prompt of every batch but the first of a bucket.
+KNOWN_CATEGORIES = "\n\nUse these groups where they fit: "
+
 CHAR_BUDGET = 20_000
 CHUNK_ORDS = 1_000
 
@@ -67,6 +71,28 @@ def classification_prompts(
     return context.select(*BATCH_KEY, prompt.alias("prompt")).withColumn("max_tokens", answer_budget(F.col("prompt")))
 
 
+def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None = None) -> DataFrame:
+    """Answers of all batches, with one set of categories per bucket.
+
+    The first batch of each bucket is asked first; the others are told the
+    categories found there, so that batches of one search do not each invent
+    their own.
+    """
+    kept = cut_lineage(prompts, "prompts")
+    place = F.struct("chunk", "batch")
+    first = kept.groupBy("bucket").agg(F.min(place).alias("first"))
+    marked = lookup(kept, first, "bucket", ["chunk", "batch"]).withColumn("opens", place == F.col("first")).drop("first")
+    opening = ask(marked.where("opens"), "prompt", service, parallelism)
+    parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
+    found = F.array_join(F.array_sort(F.map_keys(parsed["categories"])), "; ")
+    told = lookup(
+        marked.where(~F.col("opens")), opening.select("bucket", found.alias("found")), "bucket", ["chunk", "batch"]
+    )
+    hint = F.when(F.col("found") != "", F.concat(F.lit(KNOWN_CATEGORIES), F.col("found")))
+    rest = told.withColumn("prompt", F.concat("prompt", F.coalesce(hint, F.lit("")))).drop("found")
+    return opening.unionByName(ask(rest, "prompt", service, parallelism))
+
+
 def classify_papers(
     papers: DataFrame,
     service: Service,
@@ -78,7 +104,7 @@ def classify_papers(
     bucket: str = "search_key",
     parallelism: int | None = None,
 ) -> DataFrame:
-    """Add ``category`` from one call per batch.
+    """Add ``category`` from one call per batch (see ``ask_batches``).
 
     A title the answer does not name is ``Unclassified``; an unreadable answer
     marks the papers of its own batch only; a batch with no summary at all gets
@@ -86,7 +112,7 @@ def classify_papers(
     """
     batched = prompt_batches(papers, budget, chunk_ords, bucket)
     prompts = classification_prompts(batch_context(batched), words, num_categories, template)
-    answers = ask(prompts, "prompt", service, parallelism)
+    answers = ask_batches(prompts, service, parallelism)
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     problem = F.coalesce("error", F.lit("no valid JSON"))
     # One row per chunk, so that the papers, lying by chunk already, stay where they are.

@@ -60,7 +60,7 @@ def listing_links(
     row-number limit is applied in each input partition before the shuffle, so a
     search with very many pages sends few rows.
     """
-    parsed = parse_html(pages.where(F.col("html").isNotNull()), [block, *steps])
+    parsed = parse_html(pages.where(F.col("html").isNotNull()), [block, *steps], texts=False)
     links = F.transform(
         find_nested(F.col("nodes"), block, steps), lambda element: attribute(element, "href")
     )

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import strip
 
+# Elements whose text does not count as text of what is around them.
+TEXT_CONTAINERS = ("rp", "rt", "script", "style", "template")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,6 +49,7 @@ class Rule:
         """Coarse test used while parsing; never false for a match."""
         return (
             self.tag in (None, tag)
+            and self.class_attr in (None, " ".join(classes))
             and all(name in classes for name in self.classes)
             and all(name in attrs for name in self.attrs)
         )
@@ -87,7 +91,7 @@ def text_of(nodes: Column, element: Column, sep: str = "") -> Column:
 
     Script, style, template and ruby texts belong to their own element only.
     """
-    own = F.when(element["tag"].isin("rp", "rt", "script", "style", "template"), element["tag"]).otherwise("")
+    own = F.when(element["tag"].isin(*TEXT_CONTAINERS), element["tag"]).otherwise("")
     texts = F.filter(
         inside(nodes, element), lambda node: node["text"].isNotNull() & (node["container"] == own)
     )

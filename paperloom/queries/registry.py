@@ -109,7 +109,7 @@ def html_nodes(spark, sf_dir):
        group by page_id, tag"""
 )
 def html_tag_counts(spark, sf_dir):
-    parsed = parse_html(_pages(spark, sf_dir))
+    parsed = parse_html(_pages(spark, sf_dir), texts=False)
     tags = F.filter(F.col("nodes.tag"), lambda tag: tag.isNotNull())
     return parsed.select("page_id", F.explode(tags).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -145,7 +145,7 @@ def title_by_priority(spark, sf_dir):
 @query("""select page_id, regexp_extract(html, '<ul><li><a href="([^"]*)"', 1) as href from pages""")
 def nested_select(spark, sf_dir):
     rules = [Rule("ul"), ITEM, LINK]
-    parsed = parse_html(_pages(spark, sf_dir), rules)
+    parsed = parse_html(_pages(spark, sf_dir), rules, texts=False)
     links = find_nested(F.col("nodes"), rules[0], rules[1:])
     return parsed.select("page_id", F.explode(links).alias("link")).select(
         "page_id", attribute(F.col("link"), "href").alias("href")
@@ -194,7 +194,7 @@ def export_papers(spark, sf_dir):
 
 @query(f"select page_id, concat({_SITE}, {_HREF}) as pdf_url from pages")
 def absolute_links(spark, sf_dir):
-    parsed = parse_html(_pages(spark, sf_dir), [LINK])
+    parsed = parse_html(_pages(spark, sf_dir), [LINK], texts=False)
     href = attribute(find(F.col("nodes"), LINK), "href")
     return parsed.select("page_id", U.absolute_url(href).alias("pdf_url"))
 

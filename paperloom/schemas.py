@@ -4,27 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-PAPER_FIELDS = ["url", "title", "llm_summary", "abstract", "pdf_url", "arxiv_id"]
-
-# A failed page keeps its url and gets a message in ``error``.
-PAPER_RECORD = T.StructType(
-    [T.StructField(name, T.StringType()) for name in PAPER_FIELDS]
-    + [T.StructField("error", T.StringType())]
-)
-
 # The fixed column order of an exported paper file.
 EXPORT_FIELDS = ["title", "llm_summary", "abstract", "pdf_url", "arxiv_id", "url"]
 
 PAPER_CSV = T.StructType([T.StructField(name, T.StringType()) for name in EXPORT_FIELDS])
 
-METADATA = T.StructType(
-    [
-        T.StructField("year", T.IntegerType()),
-        T.StructField("citation_count", T.LongType()),
-        T.StructField("source", T.StringType()),
-    ]
-)
-
 # One element or one piece of text of a page. Elements have ``tag``, text has
 # ``text``. ``pos`` is the index in the page's node array and ``end_pos`` the
 # index of the last node inside the element.
@@ -40,11 +24,3 @@ NODE = T.StructType(
         T.StructField("container", T.StringType()),
     ]
 )
-
-ANSWER = T.StructType(
-    [
-        T.StructField("request_key", T.StringType()),
-        T.StructField("result", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ]
-)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators.select import Rule
+from paperloom.operators.select import TEXT_CONTAINERS, Rule
 from paperloom.schemas import NODE
 
 # Elements without content.
@@ -28,8 +28,6 @@ VOID_TAGS = {
     "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source",
     "spacer", "track", "wbr",
 }
-# Elements whose text does not count as text of what is around them.
-TEXT_CONTAINERS = {"rp", "rt", "script", "style", "template"}
 
 # Pages turned into one Arrow batch; keeps the Python side small on big pages.
 _PAGES_PER_BATCH = 64
@@ -56,9 +54,10 @@ class _PageNodes(HTMLParser):
     one. Any tag or comment ends the running piece of text.
     """
 
-    def __init__(self, rules: Sequence[Rule] | None):
+    def __init__(self, rules: Sequence[Rule] | None, texts: bool):
         super().__init__(convert_charrefs=False)
         self.rules = rules
+        self.texts = texts
         self.rules_by_tag: dict[str, list[Rule]] = {}
         self.nodes: list[dict] = []
         self.open: list[tuple[str, dict | None]] = []
@@ -77,7 +76,7 @@ class _PageNodes(HTMLParser):
             return
         text = "".join(self.pieces)
         self.pieces.clear()
-        if text and (self.rules is None or self.kept_open):
+        if text and self.texts and (self.rules is None or self.kept_open):
             container = self.containers[-1] if self.containers else ""
             at = len(self.nodes)
             self.nodes.append({"pos": at, "end_pos": at, "text": text, "container": container})
@@ -168,17 +167,20 @@ class _PageNodes(HTMLParser):
         return self.nodes
 
 
-def page_nodes(html: str, rules: Sequence[Rule] | None = None) -> list[dict]:
+def page_nodes(html: str, rules: Sequence[Rule] | None = None, texts: bool = True) -> list[dict]:
     """Nodes of one page; with rules, only elements some rule may match and the
-    text inside them."""
-    return _PageNodes(rules).run(html)
+    text inside them, without texts only the elements."""
+    return _PageNodes(rules, texts).run(html)
 
 
-def parse_html(pages: DataFrame, rules: Sequence[Rule] | None = None, html: str = "html") -> DataFrame:
+def parse_html(
+    pages: DataFrame, rules: Sequence[Rule] | None = None, texts: bool = True, html: str = "html"
+) -> DataFrame:
     """``pages`` with ``html`` replaced by ``nodes`` and ``parse_error``.
 
     Pages are parsed where they lie. ``rules`` says what the caller will look
-    for, so that the rest of each page never leaves the Python worker. A page
+    for and ``texts`` whether texts are wanted, so that the rest of each page
+    never leaves the Python worker. A page
     with no html, or none that can be read, keeps its row with NULL nodes.
     """
     carried = [field for field in pages.schema.fields if field.name != html]
@@ -189,7 +191,7 @@ def parse_html(pages: DataFrame, rules: Sequence[Rule] | None = None, html: str
 
     def read(text: str | None) -> tuple[list[dict] | None, str | None]:
         try:
-            return None if text is None else page_nodes(text, rules), None
+            return None if text is None else page_nodes(text, rules, texts), None
         except Exception as problem:  # noqa: BLE001 - one broken page must not end the job
             return None, f"unreadable page: {problem}"
 

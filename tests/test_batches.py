@@ -94,3 +94,26 @@ def test_assign_category(spark):
     assert {row.ord: row.category for row in found.collect()} == {1: "y", 2: "Unclassified", 3: "Unclassified", 4: "y"}
     counts = {row.category: row.papers for row in batches.category_counts(found).collect()}
     assert counts == {"y": 2, "Unclassified": 2}
+
+
+def test_later_batches_are_told_the_categories(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(number, bucket, f"{bucket}{number}", "s") for bucket in ("k", "m") for number in range(30)]
+
+    def service():
+        import pathlib
+        import uuid
+
+        def send(prompt):
+            pathlib.Path(folder, uuid.uuid4().hex).write_text(prompt)
+            title = re.search("Title: (.*)", prompt).group(1)
+            return "oops" if title == "m0" else json.dumps({"categories": {"B": "", f"A{title}": ""}})
+
+        return send
+
+    papers = spark.createDataFrame(rows, SCHEMA)
+    batches.classify_papers(papers, service, ["w"], template=TEMPLATE, chunk_ords=10).collect()
+    prompts = {re.search("Title: (.*)", text).group(1): text for text in (f.read_text() for f in tmp_path.iterdir())}
+    assert sorted(prompts) == ["k0", "k10", "k20", "m0", "m10", "m20"]
+    told = {title: text.partition(batches.KNOWN_CATEGORIES)[2] for title, text in prompts.items()}
+    assert told == {"k0": "", "k10": "Ak0; B", "k20": "Ak0; B", "m0": "", "m10": "", "m20": ""}

@@ -151,3 +151,8 @@ def test_broken_page_keeps_its_row(nodes):
 def test_deep_nesting_is_linear():
     found = page_nodes("<p>x" * 20000 + "</i>" * 20000 + "</p>" * 20000)
     assert len(found) == 40000 and found[0]["end_pos"] == 39999
+
+
+def test_without_texts():
+    found = page_nodes("<div>a<p class='x y'>b</p></div>", texts=False)
+    assert [(node["tag"], node["pos"], node["end_pos"]) for node in found] == [("div", 0, 1), ("p", 1, 1)]
