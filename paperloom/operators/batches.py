@@ -43,7 +43,7 @@ def prompt_batches(
     order = Window.partitionBy("bucket", "chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.coalesce(F.length("entry"), F.lit(0))).over(order)
     return (
-        papers.withColumn("bucket", F.col(bucket))
+        papers.withColumn("bucket", F.coalesce(F.col(bucket).cast("string"), F.lit("")))
         .withColumn("chunk", F.floor(F.col("ord") / chunk_ords))
         .withColumn("entry", entry)
         .withColumn("batch", F.greatest(F.floor((used - 1) / budget), F.lit(0).cast("bigint")))
@@ -79,18 +79,16 @@ def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None =
     their own.
     """
     kept = cut_lineage(prompts, "prompts")
-    place = F.struct("chunk", "batch")
-    first = kept.groupBy("bucket").agg(F.min(place).alias("first"))
-    marked = lookup(kept, first, "bucket", ["chunk", "batch"]).withColumn("opens", place == F.col("first")).drop("first")
-    opening = ask(marked.where("opens"), "prompt", service, parallelism)
+    first = kept.groupBy("bucket").agg(F.min(F.struct("chunk", "batch")).alias("first")).select("bucket", "first.*")
+    opening = ask(kept.join(first, BATCH_KEY, "left_semi"), "prompt", service, parallelism)
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     found = F.array_join(F.array_sort(F.map_keys(parsed["categories"])), "; ")
-    told = lookup(
-        marked.where(~F.col("opens")), opening.select("bucket", found.alias("found")), "bucket", ["chunk", "batch"]
-    )
+    others = kept.join(first, BATCH_KEY, "left_anti")
+    told = lookup(others, opening.select("bucket", found.alias("found")), "bucket", ["chunk", "batch"])
     hint = F.when(F.col("found") != "", F.concat(F.lit(KNOWN_CATEGORIES), F.col("found")))
     rest = told.withColumn("prompt", F.concat("prompt", F.coalesce(hint, F.lit("")))).drop("found")
-    return opening.unionByName(ask(rest, "prompt", service, parallelism))
+    budgeted = rest.withColumn("max_tokens", answer_budget(F.col("prompt")))
+    return opening.unionByName(ask(budgeted, "prompt", service, parallelism))
 
 
 def classify_papers(

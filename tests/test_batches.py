@@ -87,6 +87,13 @@ def test_blank_paper_shares_the_category_of_its_title(spark):
     assert {row.category for row in done.collect()} == {"even"}
 
 
+def test_papers_without_a_search_are_one_bucket(spark):
+    papers = spark.createDataFrame([(number, None, f"t{number}", "s") for number in (4, 6, 20)], SCHEMA)
+    done = batches.classify_papers(papers, by_number, ["w"], template=TEMPLATE, chunk_ords=10)
+    assert {row.ord: row.category for row in done.collect()} == {4: "even", 6: "even", 20: "even"}
+    assert done.columns == papers.columns + ["category"] and done.where("search_key is null").count() == 3
+
+
 def test_assign_category(spark):
     papers = spark.createDataFrame([(1, "a"), (2, "A"), (3, None), (4, "a")], "ord long, title string")
     table = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "title string, category string")
