@@ -32,6 +32,8 @@ def qa_passages(pages: DataFrame, questions: Sequence[str], top_k: int = 1) -> D
     """
     asked = [question_terms(question) for question in questions]
     terms = sorted({term for words in asked for term in words})
+    if not terms:
+        raise ValueError("the questions hold no words")
     listed = F.array(*[F.lit(term) for term in terms])
     tokens = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}\p{N}]+"), lambda token: token != "")
     cut = pages.select("doc_id", "page_no", tokens.alias("tokens"))

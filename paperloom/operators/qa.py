@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.prompts import READING_TEMPLATE, TEXT_LIMIT, reading_prompt
 from paperloom.functions.text import label, strip, truncate
 from paperloom.operators.enrich import CALL_FAILED, Service, enrich
+from paperloom.sources.durable import cut_lineage
 
 MAX_PAGES = 5
 
@@ -101,9 +102,10 @@ def answer_questions(
     """Long table ``(doc_id, q_idx, question, answer)``.
 
     A document without text gets the fixed message for every question and is
-    not sent; a failed call gets its message.
+    not sent; a failed call gets its message. The texts are put together once
+    and kept, as prompts and answers both need them.
     """
-    contents = page_text(pages, max_pages)
+    contents = cut_lineage(page_text(pages, max_pages), "contents")
     prompts = qa_prompts(contents, questions, template)
     answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism)
     failed = F.concat(F.lit(CALL_FAILED), F.coalesce("answer_error", F.lit("no answer")))

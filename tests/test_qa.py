@@ -152,6 +152,11 @@ def test_passages_against_loops(spark):
         assert sorted(tuple(row) for row in found.collect()) == brute_bm25(rows, questions, 2)
 
 
+def test_passages_need_words(pages):
+    with pytest.raises(ValueError):
+        passages.qa_passages(pages, ["?!"])
+
+
 def test_topics(spark):
     words = ["sun moon star", "bread milk salt"]
     docs = spark.createDataFrame(
