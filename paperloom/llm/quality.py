@@ -156,11 +156,13 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 def keep_good(documents: DataFrame, *, policy: str = "web-1", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents the policy passes, with their own columns only.
 
-    The ledger is computed beside the row, so nothing is joined.
+    The ledger is computed beside the row, so nothing is joined. The condition
+    must read the finished bits: pushed below them, it would measure a text anew
+    for every rule. A column the optimizer may not move keeps it there.
     """
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(text).alias("text"))
-    judged = ledger(whole, key="row", text="text")
-    return judged.where(passes(policy)).select("row.*")
+    judged = ledger(whole, key="row", text="text").withColumn("_number", F.monotonically_increasing_id())
+    return judged.where(passes(policy) & (F.col("_number") >= 0)).select("row.*")
 
 
 # --- the registered query ----------------------------------------------------
