@@ -2,9 +2,10 @@
 
 1. Equal sets are one node from the start: copies never meet as pairs.
 2. Shingles are hashed to buckets, whose loads are counted over all data: a table
-   of fixed size. Ordered by load, two sets that link share one of their first
-   ``n - ceil(t n) + 1`` shingles (the prefix), which are the rarest they have. A
+   of fixed size. Ordered by load, two sets that link share ``m`` of their first
+   ``n - ceil(t n) + m`` shingles (the prefix), which are the rarest they have. A
    shingle many documents share, such as a licence line, is in almost no prefix.
+   ``m`` grows with the set (``common``), where bitmaps say less.
 3. Sets of one prefix shingle meet in tiles by size: a band of sizes, and the
    larger sets that can still link to it.
 4. Before any pair is made, every set of a tile is linked to one of them only
@@ -48,6 +49,10 @@ _REST = np.uint64((1 << 48) - 1)
 BITMAP = 512
 _WORDS = BITMAP // 64
 _BITS = [f"bits{i}" for i in range(_WORDS)]
+#: Shingles of a set for each one that a prefix must share beyond the first.
+STEP = 64
+#: A star's pair must share its part of those.
+STAR = 4
 #: Sets a task remembers to have sent.
 REMEMBERED = 200_000
 
@@ -125,7 +130,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, order: np.ndarray,
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(int(node[i]))
-                    first = size + (-percent * size // 100) + 1
+                    first = min(size, size + (-percent * size // 100) + 1 + size // STEP)
                     value[a:b].sort()
                     found.append(value[a : a + first])
                     owners.append(np.full(first, i))
@@ -150,6 +155,11 @@ def _band(n: Column, starts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= n))
 
 
+def common() -> Column:
+    """Shingles that the prefixes of ``a`` and ``b`` share if they link."""
+    return F.floor(F.least("a.n", "b.n") / F.lit(STEP)) + 1
+
+
 def can_link(percent: int) -> Column:
     """What sizes and bitmaps of ``a`` and ``b`` leave possible: an upper bound on the overlap."""
     total = F.col("a.n") + F.col("b.n")
@@ -220,15 +230,15 @@ def groups(
 
     facts = nodes.select("node", "n", *_BITS)
     centers = met.groupBy("shingle", "tile").agg(F.min("node").alias("a"))
-    stars = met.join(centers, ["shingle", "tile"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = met.join(centers, ["shingle", "tile"]).where("a <> node").groupBy("a", F.col("node").alias("b"))
+    stars = stars.agg(F.count(F.lit(1)).alias("shared"))
     a = facts.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *_BITS)])
     stars = stars.join(facts.withColumnRenamed("node", "b"), "b").join(a, "a")
     one = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("n", *_BITS)]).alias("a")
     two = F.struct("n", *_BITS).alias("b")
-    likely = stars.select("a", "b", one.alias("x"), two.alias("y")).select(
-        F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("one"), F.col("b").alias("two")
-    )
-    pairs = cut_lineage(likely.where(can_link(percent)).select(F.col("one").alias("a"), F.col("two").alias("b")), "pairs")
+    likely = stars.select(F.col("a").alias("one"), F.col("b").alias("two"), "shared", one, two)
+    likely = likely.where(can_link(percent) & (F.col("shared") * STAR >= common()))
+    pairs = cut_lineage(likely.select(F.col("one").alias("a"), F.col("two").alias("b")), "pairs")
     linked = cut_lineage(components(compare(pairs, nodes, documents, width, percent, key=key, text=text)), "linked")
 
     # What is left: tiles with sets of several groups.
@@ -247,8 +257,13 @@ def groups(
         & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))))
         & can_link(percent)
     )
-    rest = smaller.join(larger, meeting).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    rest = cut_lineage(rest, "pairs")
+    rest = smaller.join(larger, meeting).select(
+        F.col("a.node").alias("one"), F.col("b.node").alias("two"), common().alias("needed")
+    )
+    rest = rest.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.first("needed").alias("needed")
+    )
+    rest = cut_lineage(rest.where("shared >= needed").select("a", "b"), "pairs")
     more = compare(rest, nodes, documents, width, percent, key=key, text=text)
     known = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
     whole = components(known.union(more))
