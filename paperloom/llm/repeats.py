@@ -109,7 +109,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts, long texts in overlapping pieces: first text, bytes before, bytes, offsets."""
-    for at, data, offsets in S.parts(column):
+    for at, data, offsets in S.parts(column, PIECE // 2):
         if len(data) <= PIECE:
             yield at, 0, data, offsets
             continue

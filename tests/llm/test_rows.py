@@ -1,0 +1,217 @@
+"""Operators that handle each row alone: rules, personal data, languages, pages."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from paperloom.llm import language, main_text, private, quality
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, copy int"
+
+
+def documents(spark, texts, langs=None):
+    """Rows with extra columns whose names the operators use themselves."""
+    rows = [(i, t, langs[i] if langs else "en", "s", len(t or ""), "mine", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+# --- rules ---------------------------------------------------------------------
+
+
+def brute_rules(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    twice = {w for w in windows if windows.count(w) > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in twice for k in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules_against_loops(spark):
+    rng = random.Random(1)
+    texts = [None, "", " \n\x0b", "ä" * 3, "a b c d e f g h " * 9, "x\nx\n \nx # $", "one two three four five six seven eight"]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += ["w " * 5000]
+    rows = quality.rules_query(documents(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        found = (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words)
+        expected = brute_rules(texts[row.doc_id]) if row.doc_id < len(texts) - 1 else (5000, 5000, 0, 0, 5000)
+        assert found == expected
+        assert row.base_failed == (found[0] < 20 or 100 * found[4] > 30 * found[0])
+        assert not (row.base_failed and row.kept)
+
+
+def test_ablations_count_each_rule(spark):
+    book = spark.createDataFrame([(0,), (1,), (1,), (3,), (2,), (4,)], "failed_bits long")
+    rows = {r.rule: (r.n_failed, r.n_only) for r in quality.ablations(book, "base-1").collect()}
+    assert rows == {"few_words": (3, 2), "repeated_words": (2, 1)}
+
+
+def test_good_documents_keep_their_columns(spark):
+    good = "some words of a text that goes on and on with ever new words until it has more than twenty of them"
+    docs = documents(spark, [good, "short", None, good])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 3}
+    assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+# --- personal data ---------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def right(kind, found):
+        digits = re.sub("[^0-9]", "", found)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and private.luhn(digits)
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return {k: [m.span() for m in re.finditer(p, text) if right(k, m[0])] for k, p in PATTERNS.items()}
+
+
+def test_patterns_against_plain_searches():
+    rng = random.Random(2)
+    pieces = ["a@b.c", "@", "x.y", "1.2.3.4", "256.1.1.1", "001", ".", " ", "-", "4111 1111 1111 1111", "+1 (555) 123-4567", "9", "é", "+"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        assert private.base_spans(text) == plain_spans(text)
+
+
+def test_long_runs_stay_linear():
+    for text in ("1" * 200_000, "a" * 200_000, "1.2." * 50_000, "@" * 100_000, "+1 " * 60_000, "a1 " * 60_000):
+        private.all_spans(text, private.start_weights())
+
+
+def test_best_labelling_against_all_labellings():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = 5
+        found = [(a, b, (a, b), [0, int(rng.integers(1, 15))]) for a in range(n) for b in range(a + 1, min(a + 3, n) + 1)]
+        weights = rng.normal(size=(len(private.KINDS), len(private.FEATURES)))
+
+        def best(at, entity):
+            if at == n:
+                return 0.0
+            scores = [best(at + 1, False)]
+            for first, after, _, held in found:
+                if first == at:
+                    scores.append(weights[:, held].sum(axis=1).max() + (private.FOLLOWS if entity else 0) + best(after, True))
+            return max(scores)
+
+        chosen = private.decode(n, found, weights)
+        total, last = 0.0, -1
+        for kind, (first, after, _, held) in chosen:
+            total += weights[kind, held].sum() + (private.FOLLOWS if first == last else 0)
+            last = after
+        assert total == pytest.approx(best(0, False))
+        _, chances = private.expected(n, found, weights)
+        assert all(0 <= c.sum() <= 1 + 1e-9 for c in chances)
+
+
+def test_private_rows(spark):
+    texts = [None, "", "mail a.b@c.de now", "+1 (269) 555-3296 4524132264652876 x", "password=b7db7aa4a5fcc78305", "no data"]
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in private.find_private(docs, private.start_weights()).collect()}
+    assert rows[0].spans == rows[1].spans == rows[5].spans == "" and rows[2].spans == "email:5:13"
+    assert rows[3].n_phone == 0 and rows[3].spans == "card:18:34,phone:0:17"
+    assert rows[4].spans == "secret:0:27" and rows[4].n_secret == 1
+    masked = private.mask_documents(docs, private.start_weights())
+    found = {r.doc_id: r for r in masked.collect()}
+    assert masked.columns == docs.columns and found[2].text == "mail <EMAIL> now" and found[2].n_chars == 16
+    assert found[0].text is None and found[5].text == "no data" and found[5].n_chars == 7
+    assert private.find_private(docs.limit(0), private.fit([])).count() == 0
+
+
+# --- languages ---------------------------------------------------------------------
+
+
+def test_languages(spark):
+    rng = random.Random(4)
+    syllables = {"aa": ["ba", "do", "ki"], "bb": ["öx", "um", "ert"], "cc": ["zz", "qu", "ip"]}
+    texts, langs = [], []
+    for i in range(240):
+        lang = rng.choice(list(syllables))
+        words = ["".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(rng.randint(2, 30))]
+        texts.append(" ".join(words))
+        langs.append(lang)
+    truth = list(langs)
+    texts += [None, "", "12 34!", "日本"]
+    langs += ["aa", None, "bb", None]
+    rows = {r.doc_id: r for r in language.language_query(documents(spark, texts, langs)).collect()}
+    assert len(rows) == len(texts)
+    held = [r for r in rows.values() if r.held_out and r.doc_id < 240]
+    assert held and all(r.lang_pred == truth[r.doc_id] for r in held)
+    assert [rows[i].lang_pred for i in (240, 241, 242)] == ["und"] * 3
+    assert rows[243].lang_pred in syllables and rows[243].score == 0
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    empty = language.language_query(documents(spark, ["abc"], [None])).collect()
+    assert [r.lang_pred for r in empty] == ["und"]
+
+
+def test_filter_returns_every_language_of_a_gram():
+    kept = [("l%d" % (g % 70), g) for g in range(7000)]
+    model = language.build(kept, sorted({name for name, _ in kept}))
+    for name, gram in kept[:500]:
+        held = np.bitwise_and.reduce([model.masks[r] for r in language._places(np.array([gram]))])[0]
+        number = model.languages.index(name)
+        assert int(held[number // 64]) >> number % 64 & 1
+
+
+def test_grams_end_with_their_text():
+    gram, owner, has = language.grams(["ab", "", "1 c", "İx"])
+    assert list(has) == [True, False, True, True] and np.bincount(owner, minlength=4)[:3].tolist() == [2, 0, 1]
+
+
+# --- pages ---------------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a href=x>m</a></nav>
+<main><h1>Head&amp;line</h1><p>First  one,<br>with &lt;b&gt; <b>bold<p>Second one.</p><div class="ad">Buy</div>
+<form><label>n</label><input></form><div class="comments"><p>I like this text a lot, thanks.</p></div></main>
+<aside>Side</aside><footer>&copy; x</footer>"""
+
+
+def test_page():
+    weights = main_text.fit([PAGE] * 3)
+    assert main_text.main_text(PAGE, weights) == "Head&line\nFirst one, with <b> bold\nSecond one."
+
+
+def test_page_rows(spark):
+    rows = [(1, "u", PAGE, "x", 3), (2, None, None, "x", 3), (3, "u", "", "x", 3), (3, "u", "<p>", "x", 3), (4, "u", "<a <b <!--", "x", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    found = main_text.extract(pages, main_text.fit(main_text.sample(pages)))
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id, r.n_chars) for r in found.collect()) == [(1, 46), (2, 0), (3, 0), (3, 0), (4, 0)]
+
+
+def test_cut_against_all_labellings():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 9)
+        gain = [rng.randint(-9, 9) for _ in range(n)]
+        edges = [(a, b, rng.randint(0, 6)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5]
+
+        def cost(side):
+            lost = sum(g for g, s in zip(gain, side) if g > 0 and not s) + sum(-g for g, s in zip(gain, side) if g < 0 and s)
+            return lost + sum(c for a, b, c in edges if side[a] != side[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(main_text.minimum_cut(gain, edges)) == best
+
+
+def test_long_pages():
+    for page in ("<div>" * 20_000 + "x", "<p><b>x " * 20_000, "<li>a. <a>b</a>" * 20_000, '<a "' * 20_000, "<!--" * 20_000):
+        main_text.main_text(page, np.array(main_text.START))
