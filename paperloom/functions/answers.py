@@ -100,8 +100,10 @@ def parse_classification(text: Column) -> Column:
 def parse_translation(answer: Column, original: Column) -> Column:
     """Joined segments of a translation answer.
 
-    No segments gives the original back. Broken JSON gives NULL.
+    No segments, or an answer that holds nothing, gives the original back. Broken
+    JSON gives NULL.
     """
+    nothing = answer.rlike(r"^\s*(null|false|0|\"\"|\[\s*\]|\{\s*\})\s*$")
 
     def joined(segments: Column) -> Column:
         first = F.transform(segments, lambda segment: F.get(segment, F.lit(0)))
@@ -112,7 +114,7 @@ def parse_translation(answer: Column, original: Column) -> Column:
         segments = F.from_json(F.get(top, F.lit(0)), "array<array<string>>", _STRICT)
         return F.when(top.isNotNull(), _let(segments, joined))
 
-    return _let(F.from_json(answer, "array<string>", _STRICT), read)
+    return F.when(nothing, original).otherwise(_let(F.from_json(answer, "array<string>", _STRICT), read))
 
 
 def _metadata(year: Column, count: Column, source: str) -> Column:

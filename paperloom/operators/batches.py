@@ -24,30 +24,37 @@ KNOWN_CATEGORIES = "\n\nUse these groups where they fit: "
 CHAR_BUDGET = 20_000
 CHUNK_ORDS = 1_000
 
-BATCH_KEY = ["bucket", "chunk", "batch"]
+BATCH_KEY = ["bucket", "batch"]
 
 
 def prompt_batches(
     papers: DataFrame, budget: int = CHAR_BUDGET, chunk_ords: int = CHUNK_ORDS, bucket: str = "search_key"
 ) -> DataFrame:
-    """Add ``bucket``, ``chunk``, ``batch`` and the paper's prompt ``entry``.
-
-    Within a bucket papers are first cut into chunks of ``chunk_ords``
-    consecutive ``ord`` values, so no task ever sorts more than that many
-    papers, however large one bucket is. In a chunk, batches follow the running
-    number of characters. Everything later groups by the chunk, hence one
-    shuffle serves packing, joining of texts and handing back of answers.
-    Papers with a blank summary travel along without an entry.
+    """Add ``bucket``, ``batch`` and the paper's prompt ``entry``.
+
+    Batches follow the running number of characters of a bucket in ``ord`` order.
+    The sum has two levels: characters per chunk of ``chunk_ords`` consecutive
+    numbers are summed over chunks, and papers within their chunk. So no task sorts
+    more than one chunk however large a bucket is, batches cross chunks, and the
+    result does not depend on their size. Papers without a number go to chunks by
+    hash, in front. Papers with a blank summary travel along without an entry.
     """
     entry = F.when(not_blank(F.col("llm_summary")), paper_entry(F.col("title"), F.col("llm_summary")))
-    order = Window.partitionBy("bucket", "chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.coalesce(F.length("entry"), F.lit(0))).over(order)
-    return (
+    hashed = F.pmod(F.xxhash64("title", "llm_summary"), F.lit(1 << 10)) - (1 << 62)
+    placed = (
         papers.withColumn("bucket", F.coalesce(F.col(bucket).cast("string"), F.lit("")))
-        .withColumn("chunk", F.floor(F.col("ord") / chunk_ords))
+        .withColumn("_chunk", F.coalesce(F.expr(f"ord div {chunk_ords}"), hashed))
         .withColumn("entry", entry)
-        .withColumn("batch", F.greatest(F.floor((used - 1) / budget), F.lit(0).cast("bigint")))
+        .withColumn("_size", F.coalesce(F.length("entry"), F.lit(0)).cast("bigint"))
     )
+    chunks = Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("bucket", "_chunk").agg(F.sum("_size").alias("_sum"))
+    before = sizes.select("bucket", "_chunk", F.coalesce(F.sum("_sum").over(chunks), F.lit(0)).alias("_before"))
+    order = Window.partitionBy("bucket", "_chunk").orderBy("ord", "title").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.col("_before") + F.sum("_size").over(order)
+    batch = F.greatest(F.expr(f"(_used - 1) div {budget}"), F.lit(0).cast("bigint"))
+    summed = placed.join(before, ["bucket", "_chunk"]).withColumn("_used", used).withColumn("batch", batch)
+    return summed.select(*papers.columns, "bucket", "entry", "batch")
 
 
 def batch_context(batched: DataFrame) -> DataFrame:
@@ -57,7 +64,9 @@ def batch_context(batched: DataFrame) -> DataFrame:
         .groupBy(*BATCH_KEY)
         .agg(
             F.count(F.lit(1)).alias("papers"),
-            F.expr("listagg(entry, '') within group (order by ord)").alias("papers_info"),
+            F.expr("array_join(transform(array_sort(collect_list(struct(ord, title, entry))), x -> x.entry), '')").alias(
+                "papers_info"
+            ),
         )
     )
 
@@ -79,12 +88,12 @@ def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None =
     their own.
     """
     kept = cut_lineage(prompts, "prompts")
-    first = kept.groupBy("bucket").agg(F.min(F.struct("chunk", "batch")).alias("first")).select("bucket", "first.*")
+    first = kept.groupBy("bucket").agg(F.min("batch").alias("batch"))
     opening = ask(kept.join(first, BATCH_KEY, "left_semi"), "prompt", service, parallelism)
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     found = F.array_join(F.array_sort(F.map_keys(parsed["categories"])), "; ")
     others = kept.join(first, BATCH_KEY, "left_anti")
-    told = lookup(others, opening.select("bucket", found.alias("found")), "bucket", ["chunk", "batch"])
+    told = lookup(others, opening.select("bucket", found.alias("found")), "bucket", ["batch"])
     hint = F.when(F.col("found") != "", F.concat(F.lit(KNOWN_CATEGORIES), F.col("found")))
     rest = told.withColumn("prompt", F.concat("prompt", F.coalesce(hint, F.lit("")))).drop("found")
     budgeted = rest.withColumn("max_tokens", answer_budget(F.col("prompt")))
@@ -104,28 +113,30 @@ def classify_papers(
 ) -> DataFrame:
     """Add ``category`` from one call per batch (see ``ask_batches``).
 
-    A title the answer does not name is ``Unclassified``; an unreadable answer
-    marks the papers of its own batch only; a batch with no summary at all gets
-    the empty string.
+    Titles are matched within the whole bucket, whichever batch named them first.
+    A title no answer names is ``Unclassified``; an unreadable answer marks the
+    papers sent in it only; a bucket with no summary at all gets the empty string.
     """
     batched = prompt_batches(papers, budget, chunk_ords, bucket)
     prompts = classification_prompts(batch_context(batched), words, num_categories, template)
     answers = ask_batches(prompts, service, parallelism)
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     problem = F.coalesce("error", F.lit("no valid JSON"))
-    # One row per chunk, so that the papers, lying by chunk already, stay where they are.
-    read = answers.groupBy("bucket", "chunk").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("batch", F.struct(parsed.alias("parsed"), problem.alias("problem"))))
-        ).alias("answers")
-    )
-    own = F.try_element_at(F.col("answers"), F.col("batch"))
-    marked = batched.drop("entry").join(read, ["bucket", "chunk"], "left").withColumn("own", own)
-    named = F.try_element_at(F.col("own.parsed.classifications"), F.coalesce("title", F.lit("")))
+    read = cut_lineage(answers.select(*BATCH_KEY, parsed.alias("parsed"), problem.alias("problem")), "answers")
+    named = read.select("bucket", "batch", F.explode("parsed.classifications").alias("title", "named"))
+    named = named.groupBy("bucket", "title").agg(F.min_by("named", "batch").alias("named"))
+    # One key for title and bucket, so that frequent titles are split.
+    key = F.to_json(F.struct("bucket", F.coalesce("title", F.lit("")).alias("title")))
+    table = named.select(key.alias("_named_key"), "named")
+    found = lookup(batched.withColumn("_named_key", key), table, "_named_key", ["ord"])
+    failed = read.where(~F.col("parsed.ok")).select(*BATCH_KEY, F.col("problem").alias("_problem"))
+    sent = read.select("bucket", F.lit(True).alias("_sent")).distinct()
+    marked = found.join(failed, BATCH_KEY, "left").join(sent, "bucket", "left")
     category = (
-        F.when(F.col("own").isNull(), "")
-        .when(~F.col("own.parsed.ok"), F.concat(F.lit(PARSING_FAILED), F.col("own.problem")))
-        .otherwise(F.coalesce(named, F.lit(UNCLASSIFIED)))
+        F.when(F.col("_sent").isNull(), "")
+        .when(F.col("named").isNotNull(), F.col("named"))
+        .when(F.col("entry").isNotNull() & F.col("_problem").isNotNull(), F.concat(F.lit(PARSING_FAILED), F.col("_problem")))
+        .otherwise(F.lit(UNCLASSIFIED))
     )
     return marked.select(*papers.columns, category.alias("category"))
 

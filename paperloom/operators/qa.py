@@ -98,15 +98,20 @@ def answer_questions(
     max_pages: int | None = MAX_PAGES,
     template: str = READING_TEMPLATE,
     parallelism: int | None = None,
+    limit: int | None = TEXT_LIMIT,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Long table ``(doc_id, q_idx, question, answer)``.
 
-    A document without text gets the fixed message for every question and is
+    Every document of ``documents`` (its ``doc_id``), or of ``pages``, has its
+    answers. A document without text, or without any page up to the limit, gets the fixed message for every question and is
     not sent; a failed call gets its message. The texts are put together once
     and kept, as prompts and answers both need them.
     """
-    contents = cut_lineage(page_text(pages, max_pages), "contents")
-    prompts = qa_prompts(contents, questions, template)
+    listed = (pages if documents is None else documents).select("doc_id").distinct()
+    read = listed.join(page_text(pages, max_pages), "doc_id", "left")
+    contents = cut_lineage(read.select("doc_id", F.coalesce("content", F.lit("")).alias("content")), "contents")
+    prompts = qa_prompts(contents, questions, template, limit)
     answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism)
     failed = F.concat(F.lit(CALL_FAILED), F.coalesce("answer_error", F.lit("no answer")))
     answers = answered.select("doc_id", "q_idx", "question", F.coalesce(strip(F.col("answer")), failed).alias("answer"))

@@ -18,10 +18,19 @@ def _base(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path.rstrip("/")))[0]
 
 
+# Names the jobs use themselves; a file's own columns of these names step aside.
+_OWN = ("ord", "source_file")
+
+
 def numbered(papers: DataFrame) -> DataFrame:
     """Add ``ord``: unique, in file order, consecutive within a partition. The
     numbers are written down, as later steps rely on seeing the same ones."""
-    return cut_lineage(papers.withColumn("ord", F.monotonically_increasing_id()))
+    aside = papers.withColumnsRenamed({name: f"_file_{name}" for name in _OWN})
+    return cut_lineage(aside.withColumn("ord", F.monotonically_increasing_id()))
+
+
+def _finished(papers: DataFrame) -> DataFrame:
+    return papers.drop(*_OWN).withColumnsRenamed({f"_file_{name}": name for name in _OWN})
 
 
 def translate_csv(
@@ -30,7 +39,7 @@ def translate_csv(
     """Translate the abstracts of a paper file; returns the path written."""
     target = name or f"{_base(source)}_translated_{language.replace('-', '_')}.csv"
     papers = translate_abstracts(numbered(read_papers(spark, source)), service)
-    return write_papers(papers.drop("ord"), posixpath.join(folder, target))
+    return write_papers(_finished(papers), posixpath.join(folder, target))
 
 
 def classify_csv(
@@ -46,4 +55,4 @@ def classify_csv(
     target = name or f"{_base(source)}_classified.csv"
     papers = numbered(read_papers(spark, source)).withColumn("source_file", F.lit(source))
     done = classify_papers(papers, service, words, num_categories, bucket="source_file")
-    return write_papers(done.drop("ord", "source_file"), posixpath.join(folder, target))
+    return write_papers(_finished(done), posixpath.join(folder, target))

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from paperloom.functions.prompts import READING_TEMPLATE
+from paperloom.functions.prompts import READING_TEMPLATE, TEXT_LIMIT
 from paperloom.operators.enrich import Service
 from paperloom.operators.qa import MAX_PAGES, answer_questions, qa_wide
 from paperloom.sources.files import write_answers
@@ -21,9 +21,15 @@ def answer_table(
     max_pages: int | None = MAX_PAGES,
     template: str = READING_TEMPLATE,
     parallelism: int | None = None,
+    limit: int | None = TEXT_LIMIT,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per document with each question and its answer."""
-    answers = answer_questions(pages, questions, service, max_pages, template, parallelism)
+    """One row per document with each question and its answer.
+
+    ``documents`` (its ``doc_id``) lists documents that may have no pages, such as a
+    PDF folder; ``limit`` cuts the text of a prompt, None leaves it whole.
+    """
+    answers = answer_questions(pages, questions, service, max_pages, template, parallelism, limit, documents)
     return qa_wide(answers, len(questions))
 
 

@@ -19,6 +19,7 @@ from paperloom.functions import urls as U
 from paperloom.functions.languages import LANGUAGE_NAMES, language_name
 from paperloom.operators import batches, enrich, metadata, passages, pdfs, qa, records, topics
 from paperloom.operators.select import Rule, find, find_by_priority, find_nested, attribute, text_of
+from paperloom.plans import csv_jobs
 from paperloom.plans.crawl import CrawlOptions, paper_table
 from paperloom.plans.paper_qa import answer_table
 from paperloom.sources.durable import new_path
@@ -320,6 +321,45 @@ def csv_roundtrip(spark, sf_dir):
     return read_papers(spark, path, records.clean_nulls(papers).schema)
 
 
+_FILE = """nullif(title, '') as title, nullif(llm_summary, '') as llm_summary, nullif(abstract, '') as abstract,
+    cast(null as varchar) as pdf_url, cast(null as varchar) as arxiv_id, cast(null as varchar) as url, lang"""
+
+
+def _paper_file(spark, sf_dir, *more):
+    """A paper file with its columns in another order, and further ones."""
+    return write_papers(
+        V.doc_papers(spark, sf_dir).select("lang", "abstract", *more, "llm_summary", "title"), new_path(spark, "papers-csv")
+    )
+
+
+@query(f"select {_FILE}, cast(ord as varchar) as ord from doc_papers", ("doc_papers",))
+def csv_other_order(spark, sf_dir):
+    return read_papers(spark, _paper_file(spark, sf_dir, "ord"))
+
+
+@query(
+    f"""select {_FILE}, cast(ord as varchar) as ord,
+         case when not {V.sql_blank("abstract")} then md5(abstract) end as abstract_translate from doc_papers""",
+    ("doc_papers",),
+)
+def csv_translated(spark, sf_dir):
+    source = _paper_file(spark, sf_dir, "ord")
+    return read_papers(spark, csv_jobs.translate_csv(spark, source, new_path(spark, "jobs"), translation_service))
+
+
+@query(
+    f"""select {_FILE}, case when n.named is null or substr(md5(title), 1, 1) = '0' then 'Unclassified'
+         else substr(md5(title), 1, 1) end as category
+       from doc_papers left join (select distinct title as named from doc_papers where not {V.sql_blank("llm_summary")}) n
+         on title = n.named""",
+    ("doc_papers",),
+)
+def csv_classified(spark, sf_dir):
+    folder = new_path(spark, "jobs")
+    done = csv_jobs.classify_csv(spark, _paper_file(spark, sf_dir), folder, grouping_service, V.SEARCH_WORDS)
+    return read_papers(spark, done)
+
+
 # --- names and links -------------------------------------------------------
 
 
@@ -602,9 +642,9 @@ def _batched(spark, sf_dir):
     return batches.prompt_batches(V.doc_papers(spark, sf_dir), budget=2000, chunk_ords=500)
 
 
-@query("select ord, search_key as bucket, chunk, batch from batched", ("batched",))
+@query("select ord, search_key as bucket, batch from batched", ("batched",))
 def prompt_batches(spark, sf_dir):
-    return _batched(spark, sf_dir).select("ord", "bucket", "chunk", "batch")
+    return _batched(spark, sf_dir).select("ord", "bucket", "batch")
 
 
 @query("select * from context", ("context",))
@@ -614,7 +654,7 @@ def classification_context(spark, sf_dir):
 
 @query(
     """select *, cast(case when length(prompt) > 1000 then 2000 else 100 end as int) as max_tokens
-       from (select bucket, chunk, batch,
+       from (select bucket, batch,
          concat('Words: a, b; groups: 4', chr(10), papers_info, 'End') as prompt from context)""",
     ("context",),
 )
@@ -636,15 +676,15 @@ def paper_prompts(spark, sf_dir):
 
 
 @query(
-    """select b.ord, b.title, case when h.batch is null then ''
-         when n.title is null or substr(md5(b.title), 1, 1) = '0' then 'Unclassified'
-         else substr(md5(b.title), 1, 1) end as category
-       from batched b
-         left join (select bucket, chunk, batch from context) h
-           on b.search_key = h.bucket and b.chunk = h.chunk and b.batch = h.batch
-         left join (select distinct search_key, chunk, batch, title from batched where entry is not null) n
-           on b.search_key = n.search_key and b.chunk = n.chunk and b.batch = n.batch and b.title = n.title""",
-    ("context",),
+    f"""select p.ord, p.title, case when h.search_key is null then ''
+         when n.title is null or substr(md5(p.title), 1, 1) = '0' then 'Unclassified'
+         else substr(md5(p.title), 1, 1) end as category
+       from doc_papers p
+         left join (select distinct search_key from doc_papers where not {V.sql_blank("llm_summary")}) h
+           on p.search_key = h.search_key
+         left join (select distinct search_key, title from doc_papers where not {V.sql_blank("llm_summary")}) n
+           on p.search_key = n.search_key and p.title = n.title""",
+    ("doc_papers",),
 )
 def classify_papers(spark, sf_dir):
     papers = V.doc_papers(spark, sf_dir)
@@ -735,7 +775,8 @@ def qa_answers(spark, sf_dir):
     return answer_table(V.doc_pages(spark, sf_dir), V.QUESTIONS, md5_service, template=V.READING)
 
 
-# Conversations have at most four questions.
+# The columns of the SQL: questions a conversation of the test tables has at most.
+# The query itself has as many as its table needs.
 _WIDE = 4
 
 
@@ -750,11 +791,13 @@ _WIDE = 4
     ("qa_long",),
 )
 def qa_wide(spark, sf_dir):
-    return qa.qa_wide(V.qa_long(spark, sf_dir), _WIDE)
+    answers = V.qa_long(spark, sf_dir)
+    return qa.qa_wide(answers, answers.agg(F.max("q_idx")).first()[0] or 0)
 
 
 @query(
-    """select doc_id, q_idx, substr(question, 1, 50) || '...' as question, substr(answer, 1, 100) || '...' as answer
+    """select doc_id, q_idx, substr(question, 1, 50) || '...' as question,
+         coalesce(substr(answer, 1, 100), '') || '...' as answer
        from qa_long where doc_id in (select distinct doc_id from qa_long order by doc_id limit 2)""",
     ("qa_long",),
 )

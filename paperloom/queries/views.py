@@ -86,17 +86,13 @@ def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"))
-
-
 def qa_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations")
     asked = said.where(F.col("role") == "user").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question")
     )
     answered = said.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("answer"))
-    return asked.join(answered, ["conv_id", "turn"]).select(
+    return asked.join(answered, ["conv_id", "turn"], "left").select(
         F.col("conv_id").alias("doc_id"),
         F.floor((F.col("turn") + 1) / 2).cast("int").alias("q_idx"),
         "question",
@@ -194,8 +190,9 @@ SQL = {
     + ") t(q_idx, question)",
     "qa_long": """
         select u.conv_id as doc_id, cast(floor((u.turn + 2) / 2) as int) as q_idx, u.text as question, a.text as answer
-        from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-        where u.role = 'user' and a.role = 'assistant'""",
+        from conversations u left join conversations a
+          on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+        where u.role = 'user'""",
     "cat_s2": """
         select title, cast(2000 + ord % 25 as int) as year, cast(ord % 50 as bigint) as citation_count
         from (select title, min(ord) as ord from doc_papers join labels on ord = doc_id group by title)""",
@@ -244,15 +241,15 @@ SQL = {
           left join (select pdf_path, count(distinct fetch_url) as n from targets group by pdf_path) c
             on t.pdf_path = c.pdf_path""",
     "batched": f"""
-        select ord, search_key, title, llm_summary, entry, chunk,
-          greatest(cast(floor((sum(coalesce(length(entry), 0)) over (partition by search_key, chunk order by ord
+        select ord, search_key, title, llm_summary, entry,
+          greatest(cast(floor((sum(coalesce(length(entry), 0)) over (partition by search_key order by ord
             rows between unbounded preceding and current row) - 1) / 2000.0) as bigint), 0) as batch
-        from (select *, ord // 500 as chunk, case when not {sql_blank("llm_summary")}
+        from (select *, case when not {sql_blank("llm_summary")}
           then concat('Title: ', title, chr(10), 'Summary: ', llm_summary, chr(10), chr(10)) end as entry
           from doc_papers)""",
     "context": """
-        select search_key as bucket, chunk, batch, count(*) as papers, string_agg(entry, '' order by ord) as papers_info
-        from batched where entry is not null group by search_key, chunk, batch""",
+        select search_key as bucket, batch, count(*) as papers, string_agg(entry, '' order by ord) as papers_info
+        from batched where entry is not null group by search_key, batch""",
     "page_text": """
         select doc_id, string_agg(concat('--- Page ', page_no, ' ---', chr(10), text), chr(10) || chr(10)
           order by page_no) as content

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,21 @@ def read_questions(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_papers(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = PAPER_CSV) -> DataFrame:
-    """CSV with a header; a byte order mark is skipped and an empty field is
-    NULL. A missing path raises."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    """CSV with a header, whose names say which column is which.
+
+    The columns of ``schema`` come first, NULL where the file has none, then the
+    file's other columns as text. Each path is read by its own header. A byte order
+    mark is skipped and an empty field is NULL. A missing path raises.
+    """
+    paths = [path] if isinstance(path, str) else path
+    options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+    read = [spark.read.csv(one, **options) for one in paths]
+    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), read)
+    known = [
+        (F.col(f"`{field.name}`") if field.name in rows.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+        for field in schema
+    ]
+    return rows.select(*known, *[F.col(f"`{name}`") for name in rows.columns if name not in schema.names])
 
 
 def write_papers(papers: DataFrame, path: str, mode: str = "errorifexists") -> str:

@@ -64,7 +64,7 @@ class _PageNodes(HTMLParser):
         self.open_tags: Counter[str] = Counter()
         self.containers: list[str] = []
         self.kept_open = 0
-        self.closed_voids: list[str] = []
+        self.closed_voids: Counter[str] = Counter()
         self.pieces: list[str] = []
 
     def updatepos(self, i, j):
@@ -130,14 +130,14 @@ class _PageNodes(HTMLParser):
         void = tag in VOID_TAGS
         self._start(tag, attrs, void)
         if void:
-            self.closed_voids.append(tag)
+            self.closed_voids[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._start(tag, attrs, True)
 
     def handle_endtag(self, tag):
-        if tag in self.closed_voids:
-            self.closed_voids.remove(tag)
+        if self.closed_voids[tag]:
+            self.closed_voids[tag] -= 1
             return
         self._end_text()
         if self.open_tags[tag]:

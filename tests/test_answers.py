@@ -72,6 +72,11 @@ def test_parse_translation(one, answer, expected):
     assert one(A.parse_translation(F.col("a"), F.lit("orig")), a=json.dumps(answer)) == expected
 
 
+@pytest.mark.parametrize("answer", ["null", "{}", " { } ", "[]", '""'])
+def test_translation_that_holds_nothing(one, answer):
+    assert one(A.parse_translation(F.col("a"), F.lit("orig")), a=answer) == "orig"
+
+
 @pytest.mark.parametrize("answer", ["{broken", None])
 def test_unreadable_translation(one, answer):
     assert one(A.parse_translation(F.col("a"), F.lit("orig")), a=answer) is None

@@ -17,11 +17,11 @@ def papers(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def brute_batches(rows, budget, chunk_ords):
-    """Batch of every paper by plain loops."""
+def brute_batches(rows, budget):
+    """Batch of every paper by plain loops; chunks play no part."""
     found, used = {}, {}
     for row in sorted(rows, key=lambda row: row.ord):
-        key = (row.search_key, row.ord // chunk_ords)
+        key = row.search_key
         if (row.llm_summary or "").strip():
             used[key] = used.get(key, 0) + len(f"Title: {row.title or ''}\nSummary: {row.llm_summary}\n\n")
         found[row.ord] = max((used.get(key, 0) - 1) // budget, 0)
@@ -31,7 +31,7 @@ def brute_batches(rows, budget, chunk_ords):
 @pytest.mark.parametrize("budget, chunk_ords", [(100, 1000), (100, 7), (1, 1000), (10**6, 10)])
 def test_batches_against_loops(papers, budget, chunk_ords):
     found = {row.ord: row.batch for row in batches.prompt_batches(papers, budget, chunk_ords).collect()}
-    assert found == brute_batches(papers.collect(), budget, chunk_ords)
+    assert found == brute_batches(papers.collect(), budget)
 
 
 def test_context_keeps_order_and_skips_blanks(papers):
@@ -70,11 +70,11 @@ def by_number():
 
 
 def test_failures_stay_in_their_batch(papers):
-    done = batches.classify_papers(papers, by_number, ["w"], template=TEMPLATE, budget=10**6, chunk_ords=10)
+    done = batches.classify_papers(papers, by_number, ["w"], template=TEMPLATE, budget=410, chunk_ords=10)
     found = {row.ord: row.category for row in done.collect()}
     assert len(found) == 34
     assert {found[number] for number in range(10)} == {"Classification parsing failed: down"}
-    assert {found[number] for number in range(10, 20)} == {"Classification parsing failed: no valid JSON"}
+    assert {found[number] for number in range(10, 19)} == {"Classification parsing failed: no valid JSON"}
     assert [found[number] for number in (20, 21, 22)] == ["even", "Unclassified", "even"]
     # Blank summaries are not sent; a bucket with nothing to send gets no category.
     assert found[30] == "Unclassified"
@@ -119,8 +119,34 @@ def test_later_batches_are_told_the_categories(spark, tmp_path):
         return send
 
     papers = spark.createDataFrame(rows, SCHEMA)
-    batches.classify_papers(papers, service, ["w"], template=TEMPLATE, chunk_ords=10).collect()
+    batches.classify_papers(papers, service, ["w"], template=TEMPLATE, budget=220, chunk_ords=10).collect()
     prompts = {re.search("Title: (.*)", text).group(1): text for text in (f.read_text() for f in tmp_path.iterdir())}
-    assert sorted(prompts) == ["k0", "k10", "k20", "m0", "m10", "m20"]
+    assert sorted(prompts) == ["k0", "k10", "k19", "k29", "m0", "m10", "m19", "m29"]
     told = {title: text.partition(batches.KNOWN_CATEGORIES)[2] for title, text in prompts.items()}
-    assert told == {"k0": "", "k10": "Ak0; B", "k20": "Ak0; B", "m0": "", "m10": "", "m20": ""}
+    assert told == {"k0": "", "m0": ""} | dict.fromkeys(["k10", "k19", "k29"], "Ak0; B") | dict.fromkeys(["m10", "m19", "m29"], "")
+
+
+def test_chunks_do_not_change_categories(papers):
+    def service():
+        return lambda prompt: answer_for({t: "c" + t[-1:] for t in re.findall("Title: (.*)", prompt)})
+
+    def run(budget, chunk_ords):
+        done = batches.classify_papers(papers, service, ["w"], template=TEMPLATE, budget=budget, chunk_ords=chunk_ords)
+        return {row.ord: row.category for row in done.collect()}
+
+    whole = run(10**6, 1000)
+    assert whole[32] == "c1" and whole[30] == "Unclassified" and whole[40] == ""
+    assert run(100, 1) == run(100, 7) == run(10**6, 3) == whole
+
+
+def test_sparse_numbers_share_prompts(spark):
+    rows = [(number * 1000, "k", f"t{number}", "s") for number in range(100)]
+    batched = batches.prompt_batches(spark.createDataFrame(rows, SCHEMA))
+    assert [row.papers for row in batches.batch_context(batched).collect()] == [100]
+
+
+def test_papers_without_a_number_are_packed(spark):
+    rows = [(None, "k", f"t{number}", "s" * 10) for number in range(50)]
+    batched = batches.prompt_batches(spark.createDataFrame(rows, SCHEMA), budget=100)
+    sizes = [(row.papers, len(row.papers_info)) for row in batches.batch_context(batched).collect()]
+    assert sum(n for n, _ in sizes) == 50 and all(size <= 200 for _, size in sizes)

@@ -156,3 +156,17 @@ def test_deep_nesting_is_linear():
 def test_without_texts():
     found = page_nodes("<div>a<p class='x y'>b</p></div>", texts=False)
     assert [(node["tag"], node["pos"], node["end_pos"]) for node in found] == [("div", 0, 1), ("p", 1, 1)]
+
+
+def test_void_tags_and_their_end_tags_take_linear_time():
+    import time
+
+    from paperloom.sources.html import page_nodes
+
+    def seconds(n):
+        started = time.perf_counter()
+        page_nodes("<br>" * n + "</p></i>" * n)
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(50_000) < 5 * seconds(25_000)

@@ -168,3 +168,14 @@ def test_topics(spark):
     sky, food = {found[number] for number in range(0, 20, 2)}, {found[number] for number in range(1, 20, 2)}
     assert len(sky) == len(food) == 1 and sky != food
     assert all(len(topic.split()) == 3 for _, topic in found.values())
+
+
+def test_every_listed_document_is_answered(spark):
+    from paperloom.plans.paper_qa import answer_table
+
+    pages = spark.createDataFrame([("a", 1, "x" * 30), ("b", 7, "late")], "doc_id string, page_no int, text string")
+    listed = spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    wide = answer_table(pages, ["q"], lambda: lambda text: str(len(text)), limit=None, documents=listed)
+    found = {row.doc_id: row.answer_1 for row in wide.collect()}
+    assert found["b"] == found["c"] == qa.NO_TEXT and found["a"] != qa.NO_TEXT
+    assert {row.doc_id for row in answer_table(pages, ["q"], lambda: lambda text: str(len(text))).collect()} == {"a", "b"}
