@@ -49,6 +49,18 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def _runs(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Places of texts of about ``size`` characters together, so that little is in memory at once."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield start, i
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """N-grams of the texts as longs, the text of each, and which texts have a letter."""
     joined = np.frombuffer(("\n".join(["", *texts, ""])).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -82,13 +94,15 @@ def count_grams(documents: DataFrame, *, text: str = "text", lang: str = "lang")
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             names, numbers = np.unique(frame["lang"].to_numpy(dtype=str), return_inverse=True)
-            gram, owner, _ = grams(frame["text"].tolist())
-            parts = []
-            for number, name in enumerate(names):
-                values, counts = np.unique(gram[numbers[owner] == number], return_counts=True)
-                parts.append(pd.DataFrame({"lang": name, "gram": values, "n": counts}))
+            texts, parts = frame["text"].tolist(), []
+            for start, end in _runs(texts):
+                gram, owner, _ = grams(texts[start:end])
+                spoken = numbers[start:end][owner]
+                for number in np.unique(spoken):
+                    values, counts = np.unique(gram[spoken == number], return_counts=True)
+                    parts.append(pd.DataFrame({"lang": names[number], "gram": values, "n": counts}))
             if parts:
-                yield pd.concat(parts)
+                yield pd.concat(parts).groupby(["lang", "gram"], as_index=False)["n"].sum()
 
     read = documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     read = read.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -159,8 +173,8 @@ def identify(documents: DataFrame, model: Filter, *, key: str = "doc_id", text:
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, masks, wrong = shared.value
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+
+        def told(texts: list[str]) -> tuple[list[str], np.ndarray]:
             gram, owner, has = grams(texts)
             rows = _places(gram)
             held = masks[rows[0]]
@@ -173,12 +187,18 @@ def identify(documents: DataFrame, model: Filter, *, key: str = "doc_id", text:
                 hits = np.bincount(owner, weights=bit.astype(np.float64), minlength=len(texts))
                 shares[:, i] = (hits - total * wrong[i]) / np.maximum(total, 1) / (1 - wrong[i])
             best = np.argmax(np.round(shares, 12), axis=1)  # the first of equals is preferred
-            told = has & (len(languages) > 0)
+            known = has & (len(languages) > 0)
+            names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+            return names, np.where(known, np.clip(shares[np.arange(len(texts)), best], 0, 1), 0.0)
+
+        for frame in frames:
+            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+            parts = [told(texts[start:end]) for start, end in _runs(texts)]
             yield pd.DataFrame(
                 {
                     key: frame["key"].array,
-                    "lang_pred": [languages[b] if t else UNKNOWN for b, t in zip(best, told)],
-                    "score": np.where(told, np.clip(shares[np.arange(len(texts)), best], 0, 1), 0.0),
+                    "lang_pred": [name for names, _ in parts for name in names],
+                    "score": np.concatenate([scores for _, scores in parts]) if parts else np.zeros(0),
                 }
             )
 
