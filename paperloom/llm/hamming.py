@@ -36,6 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.sampling import thinned
 from paperloom.sources.durable import cut_lineage
 
 #: Vectors the rotation is fitted on.
@@ -236,7 +237,7 @@ def neighbours(
     largest = read.agg(F.max(norm).alias("norm")).first()["norm"]
     if largest is None:
         return vectors.sparkSession.createDataFrame([], empty)
-    rows = read.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()
+    rows = thinned(read, 2 * SAMPLE, "vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()
     model = learn(np.array([row["vector"] for row in rows], dtype=np.float64), float(largest))
 
     def encode(frames):

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.sampling import thinned
+
 #: Pages the classifier is fitted on, and characters of each that are read for it.
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 100_000
@@ -317,7 +319,7 @@ def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.5, prior: float
 
 def sample(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> list[str]:
     """The SAMPLE_PAGES pages of least hash: bounded, and the same in any order."""
-    short = pages.where(F.col(html).isNotNull()).select(
+    short = thinned(pages.where(F.col(html).isNotNull()), 4 * SAMPLE_PAGES, key, html).select(
         F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring(F.col(html), 1, SAMPLE_CHARS).alias("html")
     )
     return [row.html for row in short.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]

@@ -33,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.llm.sampling import thinned
+
 #: Kinds in the order in which spans are listed; the first four have patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens a segment may have.
 LONGEST = 5
 #: Tokens of one region; a longer run of tokens with digits is read in pieces.
 REGION = 400
-#: Documents with digits from which regions are learnt, and regions at most.
+#: Documents looked at for regions (about), those with digits kept, and regions at most.
+SAMPLE_LOOK = 10_000
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_REGIONS = 1_500
 
@@ -335,8 +338,9 @@ def fit(sample: Sequence[str], rounds: int = 20, rate: float = 2.0, prior: float
 
 
 def sample_regions(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[str]:
-    """Regions of the SAMPLE_DOCUMENTS documents with a digit of least hash: bounded, and the same in any order."""
-    with_digits = documents.where(F.col(text).rlike("[0-9@]")).select(
+    """Regions of up to SAMPLE_DOCUMENTS documents with a digit, of least hash: bounded, and the same in any order."""
+    looked = thinned(documents, SAMPLE_LOOK, key, text)
+    with_digits = looked.where(F.col(text).rlike("[0-9@]")).select(
         F.col(key).cast("string").alias("k"), F.substring(F.col(text), 1, 20_000).alias("t")
     )
     rows = with_digits.orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE_DOCUMENTS).collect()
