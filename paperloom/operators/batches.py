@@ -89,7 +89,7 @@ def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None =
     """
     kept = cut_lineage(prompts, "prompts")
     first = kept.groupBy("bucket").agg(F.min("batch").alias("batch"))
-    opening = ask(kept.join(first, BATCH_KEY, "left_semi"), "prompt", service, parallelism)
+    opening = ask(kept.join(first, BATCH_KEY, "left_semi"), "prompt", service, parallelism, ["max_tokens"])
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     found = F.array_join(F.array_sort(F.map_keys(parsed["categories"])), "; ")
     others = kept.join(first, BATCH_KEY, "left_anti")
@@ -97,7 +97,7 @@ def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None =
     hint = F.when(F.col("found") != "", F.concat(F.lit(KNOWN_CATEGORIES), F.col("found")))
     rest = told.withColumn("prompt", F.concat("prompt", F.coalesce(hint, F.lit("")))).drop("found")
     budgeted = rest.withColumn("max_tokens", answer_budget(F.col("prompt")))
-    return opening.unionByName(ask(budgeted, "prompt", service, parallelism))
+    return opening.unionByName(ask(budgeted, "prompt", service, parallelism, ["max_tokens"]))
 
 
 def classify_papers(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -18,15 +19,36 @@ from paperloom.sources.durable import cut_lineage
 TRANSLATION_FAILED = "Translation failed: "
 CALL_FAILED = "API call failed: "
 
-Service = Callable[[], Callable[[str], str]]
+Service = Callable[[], Callable[..., str]]
 
 
-def ask(requests: DataFrame, payload: str, service: Service, parallelism: int | None = None) -> DataFrame:
+def _accepted(send: Callable[..., str], names: Sequence[str]) -> list[str]:
+    """Those of ``names`` the function has a parameter for."""
+    try:
+        parameters = inspect.signature(send).parameters.values()
+    except (TypeError, ValueError):
+        return []
+    if any(parameter.kind is parameter.VAR_KEYWORD for parameter in parameters):
+        return list(names)
+    known = {parameter.name for parameter in parameters}
+    return [name for name in names if name in known]
+
+
+def ask(
+    requests: DataFrame,
+    payload: str,
+    service: Service,
+    parallelism: int | None = None,
+    columns: Sequence[str] = (),
+    **options: object,
+) -> DataFrame:
     """``requests`` plus ``result`` and ``error`` of one call per row.
 
     ``service`` is called once per task and returns the function that takes the
-    payload; clients and waiting belong in there. An exception stays in its row.
-    ``parallelism`` caps the calls in flight.
+    payload; clients and waiting belong in there. The function gets the
+    ``columns`` of the row and the ``options``, such as an answer budget or a
+    language, by name where it has a parameter for them. An exception stays in
+    its row. ``parallelism`` caps the calls in flight.
 
     Answers are checkpointed: they may cost money and differ from call to call,
     so a lost executor must not lead to asking again.
@@ -38,15 +60,18 @@ def ask(requests: DataFrame, payload: str, service: Service, parallelism: int |
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         send = service()
+        own = _accepted(send, columns)
+        shared = {name: options[name] for name in _accepted(send, list(options))}
 
-        def one(text: str) -> tuple[str | None, str | None]:
+        def one(text: str, given: dict) -> tuple[str | None, str | None]:
             try:
-                return send(text), None
+                return send(text, **shared, **given), None
             except Exception as problem:  # noqa: BLE001 - reported in the row
                 return None, str(problem)
 
         for batch in batches:
-            replies = [one(text) for text in batch[payload]]
+            given = batch[own].to_dict("records") if own else [{}] * len(batch)
+            replies = [one(text, values) for text, values in zip(batch[payload], given)]
             yield batch.assign(
                 result=pd.Series([result for result, _ in replies], dtype=object, index=batch.index),
                 error=pd.Series([error for _, error in replies], dtype=object, index=batch.index),
@@ -61,10 +86,11 @@ def enrich(
     service: Service,
     spread_by: Sequence[str],
     parallelism: int | None = None,
+    **options: object,
 ) -> DataFrame:
     """``rows`` plus ``answer`` and ``answer_error``; equal payloads are asked once.
 
-    A NULL payload is not sent and gets NULLs; such rows get a key of their own
+    ``options`` go to the service (see ``ask``). A NULL payload is not sent and gets NULLs; such rows get a key of their own
     that meets nothing, so any number of them spreads evenly. Payloads can be
     whole prompts, so rows and answers meet on a 256-bit hash. The copies of each
     payload are counted while they are merged.
@@ -76,7 +102,7 @@ def enrich(
         .agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_n"))
     )
     sent = requests.where(F.col("request_key").isNotNull())
-    answered = ask(sent, "payload", service, parallelism)
+    answered = ask(sent, "payload", service, parallelism, **options)
     answers = answered.select(
         "request_key", F.col("result").alias("answer"), F.col("error").alias("answer_error")
     )
@@ -91,14 +117,15 @@ def translate_abstracts(
     service: Service,
     keys: Sequence[str] = ("ord",),
     parallelism: int | None = None,
+    language: str = "zh-cn",
 ) -> DataFrame:
     """Add ``abstract_translate``; blank abstracts give the empty string.
 
-    The service returns the raw answer, nested arrays with the translated
-    segments first.
+    The service is told the ``language`` and returns the raw answer, nested
+    arrays with the translated segments first.
     """
     text = F.when(not_blank(F.col("abstract")), F.col("abstract"))
-    answered = enrich(papers, text, service, keys, parallelism)
+    answered = enrich(papers, text, service, keys, parallelism, language=language)
     translated = parse_translation(F.col("answer"), F.col("abstract"))
     message = F.concat(F.lit(TRANSLATION_FAILED), F.coalesce("answer_error", F.lit("unreadable answer")))
     return answered.select(

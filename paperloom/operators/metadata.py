@@ -43,13 +43,18 @@ def first_source(catalogs: Mapping[str, DataFrame], order: Sequence[str] = SOURC
 
 
 def with_metadata(papers: DataFrame, resolved: DataFrame, keys: Sequence[str] = ("ord",)) -> DataFrame:
-    """Add ``Year``, ``Citation_Count`` and ``Metadata_Source``; every paper stays."""
+    """Add ``Year``, ``Citation_Count`` and ``Metadata_Source``; every paper stays.
+
+    Where ``resolved`` has failed calls, ``Metadata_Error`` names them.
+    """
     found = lookup(papers, resolved, "title", spread_by=keys)
+    failures = [F.col("metadata_error").alias("Metadata_Error")] if "metadata_error" in resolved.columns else []
     return found.select(
         *papers.columns,
         F.col("metadata.year").alias("Year"),
         F.coalesce("metadata.citation_count", F.lit(0).cast("bigint")).alias("Citation_Count"),
         F.coalesce("metadata.source", F.lit(NOT_FOUND)).alias("Metadata_Source"),
+        *failures,
     )
 
 
@@ -66,21 +71,32 @@ def metadata_from_services(
     order: Sequence[str] = SOURCES,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """One ``metadata`` struct per distinct title, asked of services in turn.
+    """``(title, metadata, metadata_error)`` of distinct titles, asked of services in turn.
 
     A service sees only titles its predecessors had no hit for. A failed call is
-    the same as no hit.
+    no hit, and its message is kept beside what a later service finds. Titles
+    without hit and without failure have no row.
     """
-    pending = titles.select("title").where(F.col("title").isNotNull()).distinct()
+    none = F.lit(None)
+    named = titles.select("title").where(F.col("title").isNotNull()).distinct()
+    pending = named.withColumn("metadata_error", none.cast("string"))
     hits: list[DataFrame] = []
     for source in order:
         if source not in services:
             continue
         answers = ask(pending, "title", services[source], parallelism)
-        read = answers.select("title", METADATA_PARSERS[source](F.col("result")).alias("metadata"))
+        failed = F.concat(F.lit(f"{source}: "), F.col("error"))
+        read = answers.select(
+            "title",
+            METADATA_PARSERS[source](F.col("result")).alias("metadata"),
+            F.nullif(F.concat_ws("; ", "metadata_error", failed), F.lit("")).alias("metadata_error"),
+        )
         hits.append(read.where(F.col("metadata").isNotNull()))
-        pending = read.where(F.col("metadata").isNull()).select("title")
-    return reduce(DataFrame.unionByName, hits)
+        pending = read.where(F.col("metadata").isNull()).select("title", "metadata_error")
+    missed = pending.where(F.col("metadata_error").isNotNull()).select(
+        "title", none.cast("struct<year:int,citation_count:bigint,source:string>").alias("metadata"), "metadata_error"
+    )
+    return reduce(DataFrame.unionByName, hits, missed)
 
 
 def metadata_summary(papers: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.prompts import READING_TEMPLATE, TEXT_LIMIT, reading_prompt
+from paperloom.functions.prompts import QA_BUDGET, READING_TEMPLATE, TEXT_LIMIT, reading_prompt
 from paperloom.functions.text import label, strip, truncate
 from paperloom.operators.enrich import CALL_FAILED, Service, enrich
 from paperloom.sources.durable import cut_lineage
@@ -112,7 +112,7 @@ def answer_questions(
     read = listed.join(page_text(pages, max_pages), "doc_id", "left")
     contents = cut_lineage(read.select("doc_id", F.coalesce("content", F.lit("")).alias("content")), "contents")
     prompts = qa_prompts(contents, questions, template, limit)
-    answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism)
+    answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism, max_tokens=QA_BUDGET)
     failed = F.concat(F.lit(CALL_FAILED), F.coalesce("answer_error", F.lit("no answer")))
     answers = answered.select("doc_id", "q_idx", "question", F.coalesce(strip(F.col("answer")), failed).alias("answer"))
     empty = with_questions(contents.where(F.col("content") == "").select("doc_id"), questions)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from paperloom.functions.urls import SITE
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
-from paperloom.operators.metadata import metadata_waterfall
+from paperloom.operators.metadata import metadata_from_services, metadata_waterfall, with_metadata
 from paperloom.operators.pdfs import pdf_plan
 from paperloom.operators.records import (
     RESULT_BLOCK,
@@ -36,8 +36,13 @@ class CrawlOptions:
     manifest: DataFrame | None = None
     translate: Service | None = None
     catalogs: Mapping[str, DataFrame] | None = None
+    #: Asked for titles in place of the catalogs.
+    metadata_services: Mapping[str, Service] | None = None
     classify: Service | None = None
     num_categories: int = 4
+    language: str = "zh-cn"
+    #: Calls in flight at a time, for every service.
+    parallelism: int | None = None
 
 
 def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) -> DataFrame:
@@ -56,14 +61,23 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
     if options.manifest is not None:
         stages.append(lambda rows: pdf_plan(rows, options.words, options.manifest, keys))
     if options.translate is not None:
-        stages.append(lambda rows: translate_abstracts(rows, options.translate, keys))
-    if options.catalogs is not None:
+        stages.append(
+            lambda rows: translate_abstracts(rows, options.translate, keys, options.parallelism, options.language)
+        )
+    if options.metadata_services is not None:
+        stages.append(
+            lambda rows: with_metadata(
+                rows, metadata_from_services(rows, options.metadata_services, parallelism=options.parallelism), keys
+            )
+        )
+    elif options.catalogs is not None:
         stages.append(lambda rows: metadata_waterfall(rows, options.catalogs, keys))
     if options.classify is not None:
         stages.append(
             lambda rows: classify_papers(
-                rows, options.classify, options.words, options.num_categories, bucket="search_id"
-            )
+                rows, options.classify, options.words, options.num_categories, bucket="search_id",
+                parallelism=options.parallelism,
+            )
         )
     for stage in stages:
         papers = stage(cut_lineage(papers, "papers"))

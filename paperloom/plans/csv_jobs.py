@@ -34,11 +34,18 @@ def _finished(papers: DataFrame) -> DataFrame:
 
 
 def translate_csv(
-    spark: SparkSession, source: str, folder: str, service: Service, language: str = "zh-cn", name: str | None = None
+    spark: SparkSession,
+    source: str,
+    folder: str,
+    service: Service,
+    language: str = "zh-cn",
+    name: str | None = None,
+    parallelism: int | None = None,
 ) -> str:
     """Translate the abstracts of a paper file; returns the path written."""
     target = name or f"{_base(source)}_translated_{language.replace('-', '_')}.csv"
-    papers = translate_abstracts(numbered(read_papers(spark, source)), service)
+    read = numbered(read_papers(spark, source))
+    papers = translate_abstracts(read, service, parallelism=parallelism, language=language)
     return write_papers(_finished(papers), posixpath.join(folder, target))
 
 
@@ -50,9 +57,10 @@ def classify_csv(
     words: Sequence[str],
     num_categories: int = 4,
     name: str | None = None,
+    parallelism: int | None = None,
 ) -> str:
     """Classify the papers of a file; returns the path written."""
     target = name or f"{_base(source)}_classified.csv"
     papers = numbered(read_papers(spark, source)).withColumn("source_file", F.lit(source))
-    done = classify_papers(papers, service, words, num_categories, bucket="source_file")
+    done = classify_papers(papers, service, words, num_categories, bucket="source_file", parallelism=parallelism)
     return write_papers(_finished(done), posixpath.join(folder, target))

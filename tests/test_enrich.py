@@ -49,6 +49,23 @@ def test_parallelism_changes_nothing(spark, parallelism):
     assert {row.ord: row.answer for row in found.collect()} == {number: str(number % 17) * 2 for number in range(200)}
 
 
+def test_services_are_told_what_they_have_parameters_for(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", 6)], "text string, max_tokens int")
+
+    def budgeted():
+        return lambda text, max_tokens: f"{text}{max_tokens}"
+
+    def everything():
+        return lambda text, **told: text + json.dumps(told, sort_keys=True)
+
+    def answers(service):
+        return sorted(row.result for row in enrich.ask(rows, "text", service, None, ["max_tokens"], language="de").collect())
+
+    assert answers(budgeted) == ["a5", "b6"]
+    assert answers(lambda: str.upper) == ["A", "B"]
+    assert answers(everything) == ['a{"language": "de", "max_tokens": 5}', 'b{"language": "de", "max_tokens": 6}']
+
+
 def segments():
     def send(text):
         if text == "bad":

@@ -42,6 +42,24 @@ def test_summary_without_counts(papers):
     assert tuple(metadata.metadata_summary(empty).first()) == (0, 7, None)
 
 
+def test_failed_calls_are_recorded(papers):
+    def failing():
+        def send(title):
+            raise RuntimeError("limit " + title)
+
+        return send
+
+    def knows_a():
+        return lambda title: '{"results":[{"publication_year":2002,"cited_by_count":4}]}' if title == "a" else "{}"
+
+    resolved = metadata.metadata_from_services(papers, {"crossref": failing, "openalex": knows_a})
+    rows = {row.ord: tuple(row)[2:] for row in metadata.with_metadata(papers, resolved).collect()}
+    assert rows[1] == (2002, 4, "openalex", "crossref: limit a")
+    assert rows[2] == (None, 0, "not_found", "crossref: limit b")
+    assert rows[5] == (None, 0, "not_found", None)
+    assert metadata.metadata_from_services(papers, {}).count() == 0
+
+
 def test_services_in_turn(papers, tmp_path):
     folder = str(tmp_path)
 
