@@ -3,34 +3,66 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IDF, HashingTF
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.sources.durable import cut_lineage
 
-VOCABULARY = 1 << 14
+FEATURES = 1 << 14
+
+
+def words(text: Column) -> Column:
+    """Lower-case words of a text; none for NULL."""
+    cut = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.filter(cut, lambda word: word != "")
+
+
+def _document_counts(cut: DataFrame) -> DataFrame:
+    """``(word, docs)``: documents each word is in, pre-aggregated in each partition."""
+    return cut.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs"))
+
+
+def _weight(n: Column, docs: Column, total: int) -> Column:
+    return n * F.log((F.lit(total) + 1.0) / (docs + 1.0))
+
+
+def word_weights(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, n, docs, weight)``: TF-IDF of every word over all documents."""
+    cut = cut_lineage(docs.select(words(F.col(text)).alias("words")), "words")
+    used = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    weight = _weight(F.col("n"), F.col("docs"), cut.count())
+    return used.join(_document_counts(cut), "word").select("word", "n", "docs", weight.alias("weight"))
 
 
 def topic_clusters(
-    docs: DataFrame, num_categories: int = 4, seed: int = 42, vocabulary: int = VOCABULARY, key: str = "doc_id"
+    docs: DataFrame, num_categories: int = 4, seed: int = 42, features: int = FEATURES, key: str = "doc_id"
 ) -> DataFrame:
-    """``(key, cluster, topic)``: k-means over TF-IDF, named by the top three words.
+    """``(key, cluster, topic)``: k-means over hashed TF-IDF, named by the three
+    heaviest words of each cluster.
 
-    The vocabulary has a fixed size, so the centers, the only thing that comes
-    to the driver, have one too.
+    Every word counts: words are hashed to ``features`` places, so there is no
+    vocabulary to learn, and the centers, the only thing that comes to the
+    driver, have a fixed size. Names come from the words themselves, counted per
+    cluster in Spark. A cluster without words has an empty name.
     """
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+").transform(
-        docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
-    )
-    counter = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary).fit(words)
+    cut = docs.select(key, words(F.col("text")).alias("words"))
+    hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=features).transform(cut)
     # Kept, so that the passes below do not cut the texts into words again.
-    counts = cut_lineage(counter.transform(words).select(key, "counts"))
-    weighted = IDF(inputCol="counts", outputCol="features").fit(counts).transform(counts).select(key, "features")
-    model = KMeans(k=num_categories, seed=seed, predictionCol="cluster").fit(weighted)
-    names = []
-    for center in model.clusterCenters():
-        top = sorted(range(len(center)), key=lambda place, center=center: (-center[place], place))[:3]
-        names.append(" ".join(counter.vocabulary[place] for place in top))
-    listed = F.array(*[F.lit(name) for name in names])
-    return model.transform(weighted).select(key, "cluster", F.get(listed, F.col("cluster")).alias("topic"))
+    counts = cut_lineage(hashed, "words")
+    weighted = IDF(inputCol="counts", outputCol="features").fit(counts).transform(counts)
+    model = KMeans(k=num_categories, seed=seed, predictionCol="cluster").fit(weighted.select("features"))
+    clustered = cut_lineage(model.transform(weighted).select(key, "cluster", "words"), "clusters")
+    used = clustered.select("cluster", F.explode("words").alias("word"))
+    used = used.groupBy("cluster", "word").agg(F.count("*").alias("n"))
+    scored = used.join(_document_counts(clustered), "word").select(
+        "cluster", "word", _weight(F.col("n"), F.col("docs"), clustered.count()).alias("weight")
+    )
+    order = Window.partitionBy("cluster").orderBy(F.desc("weight"), "word")
+    top = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    names = top.groupBy("cluster").agg(
+        F.expr("array_join(transform(array_sort(collect_list(struct(rank, word))), x -> x.word), ' ')").alias("topic")
+    )
+    # One row per cluster, of which there are num_categories.
+    named = clustered.join(F.broadcast(names), "cluster", "left")
+    return named.select(key, "cluster", F.coalesce("topic", F.lit("")).alias("topic"))
