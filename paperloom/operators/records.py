@@ -13,8 +13,12 @@ from paperloom.functions.urls import SITE, absolute_url, arxiv_id, listing_url
 from paperloom.operators.lookup import lookup
 from paperloom.operators.select import Rule, attribute, find, find_by_priority, find_nested, text_of
 from paperloom.schemas import EXPORT_FIELDS
+from paperloom.sources.durable import cut_lineage
 from paperloom.sources.html import parse_html
 
+# Pages of one search that one task numbers.
+CHUNK_PAGES = 1_000
+
 # Markup of a search result and of a paper page.
 RESULT_BLOCK = Rule("div", class_attr="flex w-full gap-6")
 RESULT_STEPS = (
@@ -55,21 +59,45 @@ def listing_links(
 ) -> DataFrame:
     """First ``n`` result links of each search, numbered from 1.
 
-    ``pages(search_id, page_ord, html)`` in, ``(search_id, ord, url)`` out. A
-    block without a link does not count against ``n``; repeated links stay. The
-    row-number limit is applied in each input partition before the shuffle, so a
-    search with very many pages sends few rows.
+    ``pages(search_id, page_ord, html)`` in, ``(search_id, ord, url)`` out. ``n``
+    may be a column of the pages with one value per search. A block without a
+    link does not count against ``n``; repeated links stay.
+
+    A page keeps at most ``n`` links. They are numbered in two levels: links per
+    chunk of ``CHUNK_PAGES`` consecutive pages are summed over chunks, and pages
+    within their chunk. So no task sorts a whole search, whatever ``n`` is. Pages
+    without a number stand in front, in chunks by hash.
     """
-    parsed = parse_html(pages.where(F.col("html").isNotNull()), [block, *steps], texts=False)
+    limit = F.greatest(n if isinstance(n, Column) else F.lit(n), F.lit(0)).cast("int")
+    read = pages.where(F.col("html").isNotNull()).select("search_id", "page_ord", "html", limit.alias("_limit"))
+    parsed = parse_html(read, [block, *steps], texts=False)
     links = F.transform(
         find_nested(F.col("nodes"), block, steps), lambda element: attribute(element, "href")
     )
     kept = F.filter(links, lambda href: href.isNotNull() & (href != ""))
-    order = Window.partitionBy("search_id").orderBy("page_ord", "pos")
+    cut = parsed.select("search_id", "page_ord", "_limit", F.slice(kept, 1, F.col("_limit")).alias("_links"))
+    written = cut_lineage(cut.where(F.size("_links") > 0), "links")
+    hashed = F.pmod(F.xxhash64("_links"), F.lit(1 << 10)) - (1 << 62)
+    placed = written.select(
+        "*",
+        F.coalesce(F.expr(f"page_ord div {CHUNK_PAGES}"), hashed).alias("_chunk"),
+        F.size("_links").cast("bigint").alias("_n"),
+    )
+    chunks = Window.partitionBy("search_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("search_id", "_chunk").agg(F.sum("_n").alias("_sum"))
+    before = sums.select(
+        F.col("search_id").alias("_search"),
+        F.col("_chunk").alias("_at"),
+        F.coalesce(F.sum("_sum").over(chunks), F.lit(0)).alias("_before"),
+    )
+    same = F.col("search_id").eqNullSafe(F.col("_search")) & (F.col("_chunk") == F.col("_at"))
+    within = Window.partitionBy("search_id", "_chunk").orderBy("page_ord", F.xxhash64("_links"))
+    earlier = F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = placed.join(before, same).where("_before < _limit").withColumn("_offset", F.col("_before") + earlier)
+    numbered = offset.select("search_id", "_limit", "_offset", F.posexplode("_links").alias("pos", "href"))
     return (
-        parsed.select("search_id", "page_ord", F.posexplode(kept).alias("pos", "href"))
-        .withColumn("ord", F.row_number().over(order))
-        .where(F.col("ord") <= n)
+        numbered.withColumn("ord", (F.col("_offset") + F.col("pos") + 1).cast("int"))
+        .where(F.col("ord") <= F.col("_limit"))
         .select("search_id", "ord", listing_url(F.col("href"), site).alias("url"))
     )
 

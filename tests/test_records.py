@@ -62,6 +62,19 @@ def test_listing_links(spark, n, expected):
     assert [row.ord for row in links] == list(range(1, len(expected) + 1))
 
 
+def test_links_are_numbered_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK_PAGES", 3)
+    rows = [("s", at, block(f"/{at}-1") + block(f"/{at}-2"), 7) for at in (None, 0, 1, 2, 5, 700)]
+    rows += [(None, 4, block("/none"), 1), ("t", 1, block("/t"), None), ("u", 1, block("/u"), 0)]
+    pages = spark.createDataFrame(rows, "search_id string, page_ord long, html string, n int").repartition(4)
+    found = records.listing_links(pages, F.col("n"), site="").collect()
+    assert sorted((row.search_id or "", row.ord, row.url[-4:]) for row in found) == [("", 1, "none")] + [
+        ("s", place + 1, f"/{at}-{number}"[-4:])
+        for place, (at, number) in enumerate([(None, 1), (None, 2), (0, 1), (0, 2), (1, 1), (1, 2), (2, 1)])
+    ]
+    assert records.listing_links(pages, 5000, site="").count() == 15
+
+
 def test_records_for_links(spark, pages):
     doubled = pages.unionByName(pages.where("page_id = 1").withColumn("page_id", F.lit(99).cast("long")))
     changed = doubled.withColumn("html", F.when(F.col("page_id") == 99, "<h1>later</h1>").otherwise(F.col("html")))
