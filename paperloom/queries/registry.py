@@ -62,6 +62,15 @@ def translation_service():
     return send
 
 
+def echo_service():
+    """Answers with the MD5 of what it is asked, and what else it was told."""
+
+    def send(text: str, language: str = "none", max_tokens: int = 0) -> str:
+        return f"{hashlib.md5(text.encode()).hexdigest()}|{language}|{max_tokens}"
+
+    return send
+
+
 def grouping_service():
     """Groups the titles of a batch prompt by MD5; leaves out group 0."""
 
@@ -159,13 +168,13 @@ def _listing(spark, sf_dir):
     )
 
 
-_LISTING_SQL = f"""
+_ALL_LISTED = f"""
     select search_id, cast(ord as int) as ord, concat({_SITE}, href) as url
     from (select search_id, href, row_number() over (partition by search_id order by page_id, pos) as ord
       from (select regexp_extract(url, '{HOST}', 1) as search_id, page_id, unnest(hrefs) as href,
               generate_subscripts(hrefs, 1) as pos
-            from (select *, regexp_extract_all(html, '<li><a href="([^"]+)"', 1) as hrefs from pages)))
-    where ord <= 3"""
+            from (select *, regexp_extract_all(html, '<li><a href="([^"]+)"', 1) as hrefs from pages)))"""
+_LISTING_SQL = f"{_ALL_LISTED} where ord <= 3"
 
 
 @query(_LISTING_SQL)
@@ -173,6 +182,11 @@ def listing_links(spark, sf_dir):
     return records.listing_links(_listing(spark, sf_dir), 3, ITEM, [LINK])
 
 
+@query(f"{_ALL_LISTED} where ord <= 1000 * length(search_id)")
+def listing_links_by_search(spark, sf_dir):
+    return records.listing_links(_listing(spark, sf_dir), 1000 * F.length("search_id"), ITEM, [LINK])
+
+
 _RECORD_SQL = f"""
     select p.page_id, v.url, {_H1} as title, {_AD} as llm_summary, {_FOOTER} as abstract,
       concat({_SITE}, {_HREF}) as pdf_url, regexp_extract(v.url, '/papers/(\\d+\\.\\d+)', 1) as arxiv_id,
@@ -538,19 +552,19 @@ def _catalog_answer(source, catalog):
 
 
 @query(
-    """select ord, cast(2000 + ord % 25 as int) as year, cast(ord % 50 as bigint) as citation_count,
-         'semantic_scholar' as source from doc_papers join labels on ord = doc_id
-       union all select ord, cast(1990 + ord % 35 as int), 0, 'crossref' from doc_papers where lang in ('de', 'fr')
-       union all select ord, cast(2010 + ord % 15 as int), ord % 90, 'openalex' from doc_papers where lang = 'en'""",
+    """select ord, cast(1990 + ord % 35 as int) as year,
+         cast(case when source = 'crossref' then 0 else ord % 50 end as bigint) as citation_count, source
+       from doc_papers, (values ('semantic_scholar'), ('crossref'), ('openalex')) s(source)""",
     ("doc_papers",),
 )
 def parse_metadata(spark, sf_dir):
+    year = (F.lit(1990) + F.col("ord") % 35).cast("int").alias("year")
+    papers = V.doc_papers(spark, sf_dir).select("ord", year, (F.col("ord") % 50).alias("citation_count"))
     parsed = [
-        catalog.select("rank", A.METADATA_PARSERS[source](_catalog_answer(source, catalog)).alias("metadata"))
-        for source, catalog in V.catalogs(spark, sf_dir).items()
+        papers.select("ord", A.METADATA_PARSERS[source](_catalog_answer(source, papers)).alias("metadata"))
+        for source in A.SOURCES
     ]
-    every = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
-    return every.select(F.col("rank").alias("ord"), "metadata.*")
+    return parsed[0].unionByName(parsed[1]).unionByName(parsed[2]).select("ord", "metadata.*")
 
 
 # --- categories ------------------------------------------------------------
@@ -581,7 +595,7 @@ _WRAPPED = """select title, case length(title) % 5
     when 2 then j
     when 3 then concat('none: ', title)
     else concat('```json ', j, ' ') end as answer
-  from (select title, concat('{"', title, '": "', category, '"}') as j from classification)"""
+  from (select title, concat('{"', title, '": "', category, '"}') as j from grades)"""
 
 
 @query(
@@ -593,7 +607,7 @@ _WRAPPED = """select title, case length(title) % 5
             then regexp_extract(answer, '(\\{{.*\\}})', 1, 's')
           else answer end as json
         from (select *, substr(answer, strpos(answer, '```json') + 7) as rest from ({_WRAPPED}))""",
-    ("classification",),
+    ("grades",),
 )
 def json_slice(spark, sf_dir):
     title = F.col("title")
@@ -606,10 +620,10 @@ def json_slice(spark, sf_dir):
         .when(kind == 3, F.concat(F.lit("none: "), title))
         .otherwise(F.concat(F.lit("```json "), inner, F.lit(" ")))
     )
-    return V.classification(spark, sf_dir).select("title", A.json_slice(answer).alias("json"))
+    return V.grades(spark, sf_dir).select("title", A.json_slice(answer).alias("json"))
 
 
-@query("select title, true as ok, category, 'about ' || title as description from classification", ("classification",))
+@query("select title, true as ok, category, 'about ' || title as description from grades", ("grades",))
 def parse_classification(spark, sf_dir):
     title, category = F.col("title"), F.col("category")
     reply = F.to_json(
@@ -619,7 +633,7 @@ def parse_classification(spark, sf_dir):
         )
     )
     answer = F.concat(F.lit("Answer\n```json\n"), reply, F.lit("\n```"))
-    parsed = V.classification(spark, sf_dir).select(
+    parsed = V.grades(spark, sf_dir).select(
         "title", A.parse_classification(A.json_slice(answer)).alias("parsed")
     )
     described = batches.described_categories(parsed, "title", "parsed")
@@ -713,6 +727,25 @@ def translate_column(spark, sf_dir):
     return enrich.translate_abstracts(papers, translation_service).select("ord", "abstract_translate")
 
 
+@query("select ord, md5(title) || '|de|7' as answer, cast(null as varchar) as answer_error from doc_papers", ("doc_papers",))
+def service_options(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).select("ord", "title")
+    answered = enrich.enrich(papers, F.col("title"), echo_service, ["ord"], language="de", max_tokens=7)
+    return answered.drop("title")
+
+
+@query(
+    """select bucket, batch, md5(prompt) || '|none|' || case when length(prompt) > 1000 then 2000 else 100 end as result
+       from (select bucket, batch,
+         concat('Words: a, b; groups: 4', chr(10), papers_info, 'End') as prompt from context)""",
+    ("context",),
+)
+def batch_budgets(spark, sf_dir):
+    context = batches.batch_context(_batched(spark, sf_dir))
+    prompts = batches.classification_prompts(context, V.SEARCH_WORDS, 4, V.GROUPING)
+    return batches.ask_batches(prompts, echo_service).select("bucket", "batch", "result")
+
+
 # --- questions -------------------------------------------------------------
 
 
@@ -828,6 +861,17 @@ def qa_passages(spark, sf_dir):
     return passages.qa_passages(V.doc_pages(spark, sf_dir), V.QUESTIONS, top_k=2)
 
 
+@query(
+    r"""select word, count(*) as n, count(distinct doc_id) as docs,
+          round(count(*) * ln(((select count(*) from documents) + 1e0) / (count(distinct doc_id) + 1e0)), 6) as weight
+        from (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))
+          as word from documents) group by word"""
+)
+def topic_weights(spark, sf_dir):
+    weights = topics.word_weights(spread(V.documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))
+    return weights.withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def topic_clusters(spark, sf_dir):
     return topics.topic_clusters(spread(V.documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))

@@ -130,6 +130,15 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category for every title, of documents without a label too."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), "quality")
+    papers = doc_papers(spark, sf_dir).select("ord", "title").where(F.col("title").isNotNull())
+    best = papers.join(labels, "ord", "left").groupBy("title").agg(F.max("quality").alias("quality"))
+    named = F.when(F.col("quality") == 1, "High quality").when(F.col("quality").isNotNull(), "Low quality")
+    return best.select("title", named.otherwise("Not graded").alias("category"))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("page_id") + 10000).cast("string")
     found = pages(spark, sf_dir).where(F.length("html") < 2000)
@@ -214,6 +223,10 @@ SQL = {
     "classification": """
         select p.title, case max(l.quality) when 1 then 'High quality' else 'Low quality' end as category
         from doc_papers p join labels l on p.ord = l.doc_id group by p.title""",
+    "grades": """
+        select p.title, case when max(l.quality) = 1 then 'High quality' when max(l.quality) is not null then 'Low quality'
+          else 'Not graded' end as category
+        from doc_papers p left join labels l on p.ord = l.doc_id where p.title is not null group by p.title""",
     "manifest": """
         select concat('pdfs/a_b/2401.', page_id + 10000, 'v2.pdf') as pdf_path
         from pages where length(html) < 2000""",
@@ -278,6 +291,7 @@ _NEEDS = {
     "cat_openalex": ["doc_papers"],
     "waterfall": ["doc_papers", "cat_s2", "cat_crossref", "cat_openalex"],
     "classification": ["doc_papers"],
+    "grades": ["doc_papers"],
     "titles": ["page_papers"],
     "targets": ["titles"],
     "pdf_plan": ["targets", "manifest"],
