@@ -77,6 +77,14 @@ def test_components_against_loops(spark):
     assert found == {x: c for x, c in least.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_of_stars(spark):
+    """Edges that are components already, given twice and both ways, or none at all."""
+    edges = [(1, 5), (5, 1), (6, 1), (2, 9), (9, 2), (3, 3)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # --- repeated strings ----------------------------------------------------------------
 
 
