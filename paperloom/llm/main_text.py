@@ -6,9 +6,12 @@ block and the two terminals. Neighbouring blocks, and neighbours below the same
 parent, are joined by edges that cost something to cut. The minimum cut, found
 by augmenting flows, is the cheapest labelling of all blocks together.
 
-The classifier is logistic: weights on the text of a block (length, links, stops)
-are fitted on at most SAMPLE_PAGES pages, whose semantic elements say which
-blocks are content; what the elements around a block are adds a fixed prior.
+The classifier is logistic, on the text of a block (length, links, stops) and on
+the elements around it (role, class hints). Its weights are fitted on at most
+SAMPLE_PAGES pages, whose semantic elements say which blocks are content. Every
+block is learnt twice, with its elements and without, so that the text can speak
+against them: long text in an aside can be content, links in an article need not
+be. A form or header around a page's articles, or most of its text, says nothing.
 Scripts, styles and the like never become blocks.
 
 Pages are handled alone in their row, so there is no shuffle. Reading is linear
@@ -75,6 +78,8 @@ NOISE_HINT = re.compile(
 #: The header of a page is noise, that of an article is not.
 HEADER_HINT = re.compile(r"(?i)(?:^|[\s_-])header(?:$|[\s_-])")
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
+#: Noise only where they do not hold the page itself.
+WRAPPERS = frozenset("form header".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 
 
@@ -87,6 +92,10 @@ class Element:
     hint: int = 0
     in_link: bool = False
     hidden: bool = False
+    #: The innermost open wrapper.
+    wrapper: int = 0
+    #: The block element above.
+    parent: int = 0
 
 
 @dataclass(slots=True)
@@ -98,40 +107,72 @@ class Block:
     hint: int
     linked: int
     words: int
+    wrapper: int = 0
+    #: The element itself, in which other blocks can stand.
+    owner: int = 0
 
 
 _TOP = Element("", 0)
 
 
-def _element(tag: str, attributes: str, number: int, above: Element) -> Element:
+def _element(tag: str, attributes: str, number: int, above: Element, wide: bool = False) -> Element:
     role, hint = above.role, above.hint
-    if tag in NOISE_TAGS or (tag == "header" and role < 1):
+    wrapper = number if tag in WRAPPERS else above.wrapper
+    parent = above.number if above.tag in BLOCK else above.parent
+    if not wide and (tag in NOISE_TAGS or (tag == "header" and role < 1)):
         role = -1
     elif role == 0 and tag in ("article", "main"):
         role, hint = 1, 0  # the inner of two signs holds
     in_link = above.in_link or tag == "a"
     hidden = above.hidden or tag in HIDDEN
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return Element(tag, number, role, hint, in_link, hidden)
+        return Element(tag, number, role, hint, in_link, hidden, wrapper, parent)
     named: dict[str, str] = {}
     for name, value in _ATTRIBUTES.findall(attributes):
         named.setdefault(name.lower(), value.strip("\"'"))
-    if named.get("role", "").lower() in NOISE_ROLES:
+    if not wide and named.get("role", "").lower() in NOISE_ROLES:
         role = -1
     told = f"{named.get('class', '')} {named.get('id', '')}"
-    if told != " " and tag not in ("html", "body"):
+    if told != " " and tag not in ("html", "body") and not wide:
         if NOISE_HINT.search(told) or (role < 1 and HEADER_HINT.search(told)):
             hint = -1
         elif hint == 0 and CONTENT_HINT.search(told):
             hint = 1
     hidden = hidden or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
     hidden = hidden or "display:none" in named.get("style", "").replace(" ", "").lower()
-    return Element(tag, number, role, hint, in_link, hidden)
+    return Element(tag, number, role, hint, in_link, hidden, wrapper, parent)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, decoded, white space collapsed."""
+    found, above, holding = _blocks(page, frozenset())
+    wide = _wide(found, above, holding)
+    return _blocks(page, wide)[0] if wide else found
+
+
+def _wide(found: Sequence[Block], above: dict[int, int], holding: set[int]) -> frozenset[int]:
+    """The wrappers that hold an article or main element, or more than half of the words outside links."""
+    words = dict.fromkeys(above, 0)
+    total = 0
+    for block in found:
+        said = 0 if 2 * block.linked > len(block.text) else block.words
+        total += said
+        if block.wrapper:
+            words[block.wrapper] += said
+    holding = set(holding)
+    for number in sorted(above, reverse=True):  # inner ones have larger numbers
+        if above[number]:
+            words[above[number]] += words[number]
+            if number in holding:
+                holding.add(above[number])
+    return frozenset(n for n in above if n in holding or 2 * words[n] > total)
+
+
+def _blocks(page: str, wide: frozenset[int]) -> tuple[list[Block], dict[int, int], set[int]]:
+    """Blocks, the wrapper above each wrapper, and those right above an article or main element."""
     found: list[Block] = []
+    wrappers: dict[int, int] = {}
+    holding: set[int] = set()
     stack: list[Element] = []
     open_tags: dict[str, int] = {}
     parts: list[str] = []
@@ -157,7 +198,8 @@ def blocks(page: str) -> list[Block]:
         if owner is not None:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, owner.tag, owner.number, owner.role, owner.hint, linked, text.count(" ") + 1))
+                words = text.count(" ") + 1
+                found.append(Block(text, owner.tag, owner.parent, owner.role, owner.hint, linked, words, owner.wrapper, owner.number))
         parts, linked, owner = [], 0, None
 
     def pop() -> Element:
@@ -224,7 +266,12 @@ def blocks(page: str) -> list[Block]:
                         pop()
         if attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        element = _element(tag, attributes, number, stack[-1] if stack else _TOP)
+        above = stack[-1] if stack else _TOP
+        element = _element(tag, attributes, number, above, number in wide)
+        if tag in WRAPPERS:
+            wrappers[number] = above.wrapper
+        elif above.wrapper and tag in ("article", "main"):
+            holding.add(above.wrapper)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             if tag == "noscript" or tag == "title" or element.hidden or tag in HIDDEN:
@@ -236,7 +283,7 @@ def blocks(page: str) -> list[Block]:
         stack.append(element)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     end_block()
-    return found
+    return found, wrappers, holding
 
 
 def _down_to(stack: Sequence[Element], tag: str) -> Iterator[Element]:
@@ -270,12 +317,11 @@ def _close_paragraph(stack: list[Element], open_tags: dict[str, int]) -> None:
 # --- the classifier -----------------------------------------------------------------
 
 STOPS = ".!?;:"
-FEATURES = ("one", "words", "linked", "stops", "heading", "item", "paragraph", "short")
+FEATURES = ("one", "words", "linked", "stops", "heading", "item", "paragraph", "short", "role", "hint")
+#: The last features are of the elements around a block, the others of its text.
+ELEMENTS = 2
 #: Log-odds of content a fit starts from.
-START = (-1.0, 0.6, -4.0, 1.5, 1.0, -0.8, 1.0, -0.5)
-#: What the elements around a block say, in log-odds.
-ROLE = 8.0
-HINT = 6.0
+START = (-1.0, 0.6, -4.0, 1.5, 1.0, -0.8, 1.0, -0.5, 3.0, 3.0)
 #: Costs to part neighbours, and neighbours below one parent.
 NEXT = 0.4
 SIBLING = 0.6
@@ -294,11 +340,14 @@ def features(block: Block) -> list[float]:
         float(block.tag in ("li", "td", "th", "dd", "dt")),
         float(block.tag in ("p", "pre", "blockquote")),
         float(block.words < 5),
+        # A hint of noise within an article outweighs the article.
+        float(min(block.role, 0 if block.hint < 0 else 1)),
+        float(block.hint),
     ]
 
 
 def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.5, prior: float = 0.05) -> np.ndarray:
-    """Logistic regression on the blocks whose elements say what they are, drawn to START."""
+    """Logistic regression on the blocks whose elements say what they are, with and without these, drawn to START."""
     rows, labels = [], []
     for page in pages:
         for block in blocks(page):
@@ -308,7 +357,10 @@ def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.5, prior: float
     start = np.array(START)
     if not labels or min(labels) == max(labels):
         return start
-    x, y = np.array(rows), np.array(labels)
+    seen, y = np.array(rows), np.array(labels * 2)
+    unseen = seen.copy()
+    unseen[:, -ELEMENTS:] = 0
+    x = np.concatenate([seen, unseen])
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     weights = start.copy()
     for _ in range(rounds):
@@ -436,16 +488,15 @@ def label(found: Sequence[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
     if not found:
         return []
-    chances = np.clip(np.array([features(b) for b in found]) @ weights, -5, 5).tolist()
-    # A hint of noise within an article outweighs the article.
-    priors = [ROLE * min(b.role, 0 if b.hint < 0 else 1) + HINT * b.hint for b in found]
-    gain = [round((c + p) * PARTS) for c, p in zip(chances, priors)]
+    gain = [round(c * PARTS) for c in (np.array([features(b) for b in found]) @ weights).tolist()]
     edges = [(i, i + 1, int(NEXT * PARTS)) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, block in enumerate(found):
-        if block.parent in last:
-            edges.append((last[block.parent], i, int(SIBLING * PARTS)))
-        last[block.parent] = i
+        # Loose text has its neighbours in its own element.
+        before = last.get(block.owner) if block.owner in last else last.get(block.parent)
+        if before is not None:
+            edges.append((before, i, int(SIBLING * PARTS)))
+        last[block.parent] = last[block.owner] = i
     return minimum_cut(gain, edges)
 
 

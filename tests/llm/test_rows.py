@@ -189,6 +189,33 @@ def test_page():
     assert main_text.main_text(PAGE, weights) == "Head&line\nFirst one, with <b> bold\nSecond one."
 
 
+def test_text_and_neighbours_outweigh_elements(monkeypatch):
+    long = "The keeper of the lamp wrote down each ship that passed, and what it carried. " * 20
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(5))
+    reached = []
+    flow = main_text._flow
+    monkeypatch.setattr(main_text, "_flow", lambda gain, edges: reached.append(len(gain)) or flow(gain, edges))
+    for weights in (np.array(main_text.START), main_text.fit([PAGE] * 3)):
+        page = f"<main><p>{long}</p><ul>{links}</ul></main><aside><p>{long}<p>{long}</aside><aside>Side</aside>"
+        assert main_text.main_text(page, weights) == "\n".join([long.strip()] * 3)
+        # A linked heading is settled by what stands around it.
+        heading = "<h2><a>Of ships</a></h2>"
+        assert "Of ships" in main_text.main_text(f"<article><p>{long}</p>{heading}<p>{long}</p></article>", weights)
+        assert "Of ships" not in main_text.main_text(f"<nav>{links}</nav><article>{heading}</article><nav>{links}</nav>", weights)
+    assert reached
+
+
+def test_wrappers_of_a_page_are_no_noise():
+    weights = np.array(main_text.START)
+    words = "It ran to the sea."
+    for tag in ("form", "header"):
+        page = f"<{tag}><div><article><h1>Head</h1><p>{words}</article></div><form><p>Your name.</form></{tag}><footer>x</footer>"
+        assert main_text.main_text(page, weights) == f"Head\n{words}"
+        roles = [b.role for b in main_text.blocks(f"<{tag}><p>{words}<p>{words}</{tag}><nav>a b</nav><p>c</p>")]
+        assert roles == [0, 0, -1, 0]
+        assert [b.role for b in main_text.blocks(f"<p>{words}<p>{words}<{tag}><p>A name.</{tag}>")] == [0, 0, -1]
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE, "x", 3), (2, None, None, "x", 3), (3, "u", "", "x", 3), (3, "u", "<p>", "x", 3), (4, "u", "<a <b <!--", "x", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
