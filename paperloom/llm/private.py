@@ -2,7 +2,9 @@
 
 Four kinds come from fixed patterns with a check behind each (``base_spans``).
 A semi-Markov model adds spans the patterns miss. It reads regions: runs of
-tokens near a digit or an ``@``. In a region it chooses boundaries and kinds
+tokens near a digit, an ``@``, a ``=`` or ``:``, or a word or prefix secrets go
+with. No token is in two regions, and a region is read as one, however long it or
+its spans are. In a region it chooses boundaries and kinds
 together: every candidate segment of at most ``LONGEST`` tokens is scored as a
 whole (shape of the span, its digits and check sum, the word before it), a kind
 follows a kind at a price, and the best labelling of the region is found by
@@ -25,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,9 +41,9 @@ from paperloom.llm.sampling import thinned
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens a segment may have.
 LONGEST = 5
-#: Tokens of one region; a longer run of tokens with digits is read in pieces.
+#: Tokens of a region that a fit reads.
 REGION = 400
-#: Documents looked at for regions (about), those with digits kept, and regions at most.
+#: Documents looked at for regions (about), those with triggers kept, and regions at most.
 SAMPLE_LOOK = 10_000
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_REGIONS = 1_500
@@ -102,7 +104,10 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # --- regions, segments and features ----------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]")
+# Looking at one character first is much faster than trying all words at each.
+_TRIGGER = re.compile(
+    r"[0-9@=:]++|(?=[AGPSTXagpstx])(?:(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)|AKIA|ASIA|ghp_|sk-|xox[bp]-)"
+)
 _TOKEN = re.compile(r"\S+")
 _EDGES = "\"'`,;:!?<>[]{}.=()"
 _OPEN = "\"'`,;:!?<>[]{}.=)"  # a span may begin with a bracket
@@ -114,10 +119,12 @@ _QUAD = re.compile(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
 _ADDRESS = re.compile(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
 _DIALLED = re.compile(r"^\+?[0-9 ().-]+$")
 _ASSIGNS = re.compile(r"[=:]$")
+_WORDED = re.compile(r":(\s+)['\"]?[^\W\d_]+$")
+_LINE_END = re.compile(r"['\"`,;\]})]*[^\S\r\n]*(?:[\r\n]|$)")
 
 FEATURES = (
     "bias", "address", "quad", "luhn", "plus", "dialled", "grouped", "hex", "key", "assigned",
-    "after_secret_word", "letters_only", "more_tokens", "digits_9_15", "decimal",
+    "after_secret_word", "letters_only", "more_tokens", "digits_9_15", "decimal", "worded",
 )
 #: Log-potentials a fit starts from, by kind; features not named have 0.
 START = {
@@ -125,31 +132,36 @@ START = {
     "ip": {"bias": -6, "quad": 12, "more_tokens": -6},
     "card": {"bias": -6, "luhn": 10, "plus": -6, "hex": -2, "dialled": 2},
     "phone": {"bias": -8, "plus": 6, "dialled": 2, "digits_9_15": 2, "grouped": 3, "luhn": -2, "quad": -6},
-    "secret": {"bias": -8, "key": 12, "assigned": 13, "after_secret_word": 6, "hex": 4, "letters_only": -4, "more_tokens": -4},
+    "secret": {"bias": -8, "key": 12, "assigned": 13, "after_secret_word": 6, "hex": 4, "more_tokens": -4, "worded": -6},
 }
 FOLLOWS = -1.0
 
 
 def regions(text: str) -> Iterator[list[Span]]:
-    """Tokens around triggers: runs of them with up to two tokens between and two before."""
+    """Tokens around triggers: runs of them with up to four tokens between, two before and three behind."""
     run: list[Span] = []
     before: list[Span] = []
     quiet = 0
-    if not _TRIGGER.search(text):
+    marks = (match.start() for match in _TRIGGER.finditer(text))
+    mark = next(marks, None)
+    if mark is None:
         return
     for match in _TOKEN.finditer(text):
         token = match.span()
-        if _TRIGGER.search(text, *token):
-            run = run or before[-2:]
+        if mark is not None and mark < token[1]:
+            while mark is not None and mark < token[1]:
+                mark = next(marks, None)
+            run = run or before
             run.append(token)
             quiet = 0
         elif run:
             run.append(token)
             quiet += 1
-        if run and (quiet > 2 or len(run) >= REGION):
-            yield run
-            before, run, quiet = run[-2:], [], 0
-        elif not run:
+            if quiet > 4:
+                # The last two can come before the next run, so they are not in this one.
+                yield run[:-2]
+                before, run, quiet = run[-2:], [], 0
+        else:
             before = [*before[-1:], token]
     if run:
         yield run
@@ -159,13 +171,14 @@ def trimmed(text: str, start: int, end: int) -> Span:
     """The span without quotes and punctuation around it."""
     while start < end and text[start] in _OPEN:
         start += 1
-    while end > start and text[end - 1] in _EDGES and not (text[end - 1] == ")" and "(" in text[start:end]):
+    opened = text.find("(", start, end)
+    while end > start and text[end - 1] in _EDGES and not (text[end - 1] == ")" and 0 <= opened < end):
         end -= 1
     return start, end
 
 
-def features(text: str, start: int, end: int, n_tokens: int, before: str) -> list[int]:
-    """The places in FEATURES that hold for a span."""
+def features(text: str, start: int, end: int, n_tokens: int, after_word: bool) -> list[int]:
+    """The places in FEATURES that hold for a span; ``after_word`` if a secret word is assigned right before."""
     span = text[start:end]
     digits = [c for c in span if "0" <= c <= "9"]
     dialled = bool(_DIALLED.match(span))
@@ -190,7 +203,11 @@ def features(text: str, start: int, end: int, n_tokens: int, before: str) -> lis
         held.append(8)
     if _ASSIGNED.match(span):
         held.append(9)
-    elif len(span) >= 8 and _SECRET_WORD.search(before) and _ASSIGNS.search(before):
+        # Words after a colon that a sentence goes on with.
+        worded = _WORDED.search(span)
+        if worded and ("\n" in worded[1] or not _LINE_END.match(text, end)):
+            held.append(15)
+    elif len(span) >= 8 and after_word:
         held.append(10)
     if not digits:
         held.append(11)
@@ -204,19 +221,18 @@ def features(text: str, start: int, end: int, n_tokens: int, before: str) -> lis
 Segment = tuple[int, int, Span, list[int]]
 
 
-def segments(text: str, tokens: Sequence[Span]) -> list[Segment]:
-    """Candidates ``(first, after, span, features)`` of at most LONGEST tokens, with a digit or ``@``."""
-    found = []
+def segments(text: str, tokens: Sequence[Span]) -> Iterator[Segment]:
+    """Candidates ``(first, after, span, features)`` of at most LONGEST tokens, with a trigger or behind a secret word."""
     for first in range(len(tokens)):
         before = text[tokens[first - 2][0] if first > 1 else tokens[0][0] : tokens[first][0]].rstrip()
         before = before.rstrip("\"'")
+        after_word = bool(_ASSIGNS.search(before) and _SECRET_WORD.search(before))
         for after in range(first + 1, min(first + LONGEST, len(tokens)) + 1):
             start, end = trimmed(text, tokens[first][0], tokens[after - 1][1])
-            if start < end and end - start <= 200 and _TRIGGER.search(text, start, end):
+            if start < end and (after_word or _TRIGGER.search(text, start, end)):
                 # A span starts in its first token and ends in its last.
                 if start < tokens[first][1] and end > tokens[after - 1][0]:
-                    found.append((first, after, (start, end), features(text, start, end, after - first, before)))
-    return found
+                    yield first, after, (start, end), features(text, start, end, after - first, after_word)
 
 
 # --- the model -------------------------------------------------------------------
@@ -230,11 +246,12 @@ def start_weights() -> np.ndarray:
     return weights
 
 
-def decode(n_tokens: int, found: Sequence[Segment], weights: np.ndarray) -> list[tuple[int, Segment]]:
+def decode(n_tokens: int, found: Iterable[Segment], weights: np.ndarray) -> list[tuple[int, Segment]]:
     """The best labelling: ``(kind, segment)`` from left to right.
 
     ``best[j]`` is the best score of tokens before ``j``, apart for whether an
-    entity ends there, as following one directly has its price.
+    entity ends there, as following one directly has its price. Segments are read
+    once, and those that cannot gain are not kept.
     """
     ending: list[list[tuple[float, int, Segment]]] = [[] for _ in range(n_tokens + 1)]
     for segment in found:
@@ -304,7 +321,7 @@ def targets(text: str, found: Sequence[Segment]) -> dict[int, int]:
     taken = 0
     for number, (first, after, span, held) in enumerate(found):
         kind = known.get(span)
-        if kind is None and (8 in held or 9 in held or (10 in held and 7 in held)):
+        if kind is None and (8 in held or (9 in held and 15 not in held) or (10 in held and 7 in held)):
             kind = KINDS.index("secret")
         if kind is not None and first >= taken:
             certain[number] = kind
@@ -318,7 +335,7 @@ def fit(sample: Sequence[str], rounds: int = 20, rate: float = 2.0, prior: float
     read = []
     for text in sample:
         tokens = [m.span() for m in _TOKEN.finditer(text)][:REGION]
-        found = segments(text, tokens)
+        found = list(segments(text, tokens))
         if found:
             read.append((len(tokens), found, targets(text, found)))
     if not any(certain for _, _, certain in read):
@@ -338,9 +355,9 @@ def fit(sample: Sequence[str], rounds: int = 20, rate: float = 2.0, prior: float
 
 
 def sample_regions(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[str]:
-    """Regions of up to SAMPLE_DOCUMENTS documents with a digit, of least hash: bounded, and the same in any order."""
+    """Regions of up to SAMPLE_DOCUMENTS documents with a trigger, of least hash: bounded, and the same in any order."""
     looked = thinned(documents, SAMPLE_LOOK, key, text)
-    with_digits = looked.where(F.col(text).rlike("[0-9@]")).select(
+    with_digits = looked.where(F.col(text).rlike(_TRIGGER.pattern)).select(
         F.col(key).cast("string").alias("k"), F.substring(F.col(text), 1, 20_000).alias("t")
     )
     rows = with_digits.orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE_DOCUMENTS).collect()
