@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from paperloom.sources.durable import cut_lineage
 
-#: Ids that may be broadcast: 8 MB as longs.
+#: Ids that may be broadcast: 8 MB as longs, 16 MB with hashes.
 BROADCAST_IDS = 1_000_000
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, *, text: str | None = None) -> DataFrame:
     """Semi or anti join of ``rows`` with the written table ``ids``, null-safe.
 
-    Few ids go to the rows, so that texts stay where they are; beyond
+    With ``text``, a row must also have the ``hash`` of its text there. Few ids go to the rows, so that texts stay where they are; beyond
     BROADCAST_IDS the rows are shuffled.
     """
-    found = ids.select(F.col(key).alias("_id")).distinct()
+    names = [F.col(key).alias("_id")] + ([F.col("hash").alias("_hash")] if text else [])
+    found = ids.select(*names).distinct()
     if ids.count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return rows.join(found, F.col(key).eqNullSafe(F.col("_id")), how)
+    same = F.col(key).eqNullSafe(F.col("_id"))
+    if text:
+        same &= F.xxhash64(text) == F.col("_hash")
+    return rows.join(found, same, how)
 
 
 def _stars(edges: DataFrame) -> bool:

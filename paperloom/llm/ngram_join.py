@@ -74,10 +74,13 @@ def _bitmaps(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, BITMAP), axis=1).view(np.int64)
 
 
-def document_sets(documents: DataFrame, width: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, node, n, bits0..)`` of every row; ``node`` stands for the set."""
+def document_sets(
+    documents: DataFrame, width: int, *, key: str = "doc_id", text: str = "text", hashed: bool = False
+) -> DataFrame:
+    """``(key, node, n, bits0..)`` of every row; ``node`` stands for the set. If asked, ``hash`` stands for the text."""
     field = T.StructField("key", documents.schema[key].dataType)
-    schema = T.StructType([field] + [T.StructField(c, T.LongType()) for c in ("node", "n", *_BITS)])
+    more = ["hash"] if hashed else []
+    schema = T.StructType([field] + [T.StructField(c, T.LongType()) for c in ("node", "n", *_BITS, *more)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +89,11 @@ def document_sets(documents: DataFrame, width: int, *, key: str = "doc_id", text
                 bits = _bitmaps(value, bounds)
                 columns = [batch.column(0).slice(at, len(n)), pa.array(_node(value, bounds)), pa.array(n)]
                 columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(_WORDS)]
+                columns += [batch.column(2).slice(at, len(n))] if hashed else []
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, schema)
+    asked = [F.col(key).alias("key"), F.col(text).alias("text")] + [F.xxhash64(text).alias(c) for c in more]
+    return documents.select(*asked).mapInArrow(read, schema)
 
 
 def bucket_order(documents: DataFrame, width: int, *, text: str = "text") -> np.ndarray:
@@ -215,9 +220,24 @@ def groups(
 
     Sets link if ``100 * intersection >= percent * union``.
     """
+    rows, ids = _linked(documents, width, percent, key=key, text=text)
+    names = ids.groupBy("component").agg(F.min("key").alias("component_id"))
+    by_node = ids.join(names, "component").select("node", "component_id")
+    out = rows.select("key", "node", "n").join(by_node, "node", "left")
+    return out.select(
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+    )
+
+
+def _linked(
+    documents: DataFrame, width: int, percent: int, *, key: str, text: str, hashed: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The written sets of all rows, and ``(node, key, component)`` of every set that has shingles."""
     if not 50 <= percent <= 99:
         raise ValueError("percent must be from 50 to 99")
-    rows = cut_lineage(document_sets(documents, width, key=key, text=text), "sets")
+    rows = cut_lineage(document_sets(documents, width, key=key, text=text, hashed=hashed), "sets")
     nodes = rows.where("n > 0").groupBy("node").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BITS]
     )
@@ -270,29 +290,34 @@ def groups(
 
     least = nodes.select("node", "key").join(whole, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
-    ids = cut_lineage(least, "components")
-    names = ids.groupBy("component").agg(F.min("key").alias("component_id"))
-    by_node = ids.join(names, "component").select("node", "component_id")
-    out = rows.select("key", "node", "n").join(by_node, "node", "left")
-    return out.select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-    )
+    return rows, cut_lineage(least, "components")
 
 
 def keep_one(
     documents: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The documents without those whose group has a smaller id, and rows of one id once."""
-    grouped = cut_lineage(groups(documents, width=width, percent=percent, key=key, text=text), "groups")
-    drop = cut_lineage(grouped.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key), "drop")
-    kept = with_ids(documents, drop, key, "left_anti")
-    again = cut_lineage(grouped.where("n_shingles > 0").groupBy(key).count().where("count > 1").select(key), "again")
+    """The documents with one row of each group: that of least id, null last, and among those of least text hash.
+
+    A row is known by its id and a hash of its text, as ids can be null or repeated.
+    """
+    rows, ids = _linked(documents, width, percent, key=key, text=text, hashed=True)
+    rows = rows.where("n > 0").select("key", "hash", "node")
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "hash")
+    best = rows.groupBy("node").agg(F.min(place).alias("best"))
+    best = cut_lineage(ids.select("node", "component").join(best, "node"), "best")
+    first = best.groupBy("component").agg(F.min("best").alias("first"))
+    by_node = best.join(first, "component").select("node", "first")
+    stays = (F.col("first.hash") == F.col("hash")) & F.col("first.key").eqNullSafe(F.col("key"))
+    placed = rows.join(by_node, "node").groupBy(F.col("key").alias(key), "hash").agg(
+        F.first(stays).alias("stays"), F.count(F.lit(1)).alias("count")
+    )
+    placed = cut_lineage(placed.where("not stays or count > 1"), "groups")
+    kept = with_ids(documents, placed.where("not stays").select(key, "hash"), key, "left_anti", text=text)
+    again = placed.where("stays").select(key, "hash")
     if again.isEmpty():
         return kept
-    twice = with_ids(kept, again, key, "left_semi")
-    return with_ids(kept, again, key, "left_anti").unionByName(twice.dropDuplicates([key, text]))
+    twice = with_ids(kept, again, key, "left_semi", text=text)
+    return with_ids(kept, again, key, "left_anti", text=text).unionByName(twice.dropDuplicates([key, text]))
 
 
 JOIN_SQL = r"""

@@ -66,6 +66,31 @@ def test_one_document_of_each_group_stays(spark):
     assert ngram_join.groups(docs.limit(0)).count() == 0
 
 
+def test_rows_stay_or_go_by_id_and_text(spark):
+    def text(name, more=""):
+        return " ".join(f"{name}{i}" for i in range(40)) + more
+
+    rows = [
+        (None, text("a", " x")), (3, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (3, text("d")),
+        (4, text("a", " y")), (4, text("e")), (4, None), (4, None), (5, text("f")), (5, text("f", " x")), (5, text("f", " y")),
+        (None, text("g")), (None, text("g", " x")), (6, text("h", " x")), (7, text("h")), (7, text("h")), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    groups = {}
+    for row in rows:
+        if row[1]:
+            groups.setdefault(row[1][0], set()).add(row)
+    blank = [row for row in rows if not row[1]]
+    assert len(kept) == len(groups) + len(blank) and all(kept.count(row) == blank.count(row) for row in blank)
+    for group in groups.values():
+        left = [row for row in kept if row in group]
+        named = [row for row in group if row[0] is not None]
+        assert len(left) == 1 and (not named or left[0][0] == min(named)[0])
+    again = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs.repartition(2)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+
+
 def test_components_against_loops(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7)]
