@@ -4,7 +4,9 @@ A source's rate is the mean number of times each of its documents should be
 repeated: its target share of the mixture over its own size. A document's count
 is the inverse of the Poisson distribution with that mean at a number in (0, 1)
 drawn from a hash of the seed and the document's id, so that it depends neither
-on the order nor on the placing of rows and a lost task draws the same again.
+on the order nor on the placing of rows and a lost task draws the same again. A mean above
+``TABLED`` is dealt over independent draws of an equal, smaller mean: their sum is
+Poisson with the whole.
 
 Sizes are summed in each partition before the shuffle. The distribution is
 tabled once per source; a document only looks its number up. Rates join by
@@ -16,8 +18,9 @@ Defined results: a null source is a source of its own. A null or empty text has
 size 0 and is repeated like any other of its source; a source without any text
 keeps its documents at the rate ``epochs``. Repeated rows of one id draw the
 same count each. Added columns replace those of the same name. An empty table
-gives an empty mixture. ``max_rate`` bounds how often a source is repeated on
-average, as a limit on epochs; no row is dropped for it.
+gives an empty mixture. ``max_rate``, if given, bounds how often a source is repeated
+on average, as a limit on epochs: a source it holds back misses its weight and the
+mixture is smaller. No row is dropped for it.
 """
 
 from __future__ import annotations
@@ -30,7 +33,12 @@ from pyspark.sql import functions as F
 from paperloom.sources.durable import cut_lineage
 
 BROADCAST_SOURCES = 10_000
+#: The largest mean that is tabled: e to the power -mean stays far from 0.
+TABLED = 100.0
+#: The limit in MIX_SQL.
 MAX_RATE = 100.0
+#: Copies of a document that leave together where there can be many.
+CHUNK = 10_000
 #: 13 hexadecimal digits of an MD5: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -49,17 +57,15 @@ def rates(
     weights: Mapping[str | None, float] | None = None,
     temperature: float = 0.7,
     epochs: float = 1.0,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
 ) -> DataFrame:
-    """``(source_key, size, rate, cdf)`` per source.
+    """``(source_key, size, rate, draws, cdf)`` per source.
 
     ``weights`` are relative; sources without one get none. Without ``weights`` a
     source's weight is its size to the power ``temperature``. The mixture is
     ``epochs`` times as large as the input. ``cdf[k]`` is the probability of at
-    most ``k`` copies, up to where it is 1 in double precision.
+    most ``k`` copies in one of ``draws`` draws, up to where it is 1 in double precision.
     """
-    if max_rate > MAX_RATE:
-        raise ValueError(f"a rate above {MAX_RATE} leaves the precision of the table")
     sizes = documents.groupBy(F.col(source).alias("source_key")).agg(
         F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("size")
     )
@@ -73,19 +79,24 @@ def rates(
     # One row: the sum over the sources.
     total = sizes.where("size > 0").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     share = F.col("weight") * F.lit(float(epochs) * float(total["size"] or 0)) / F.lit(float(total["weight"] or 1) or 1.0)
-    rate = F.when(F.col("size") > 0, F.least(share / F.col("size"), F.lit(float(max_rate)))).otherwise(F.lit(float(epochs)))
+    reached = share / F.col("size")
+    if max_rate is not None:
+        reached = F.least(reached, F.lit(float(max_rate)))
+    rate = F.when(F.col("size") > 0, reached).otherwise(F.lit(float(epochs)))
     rated = sizes.select("source_key", "size", rate.alias("rate"))
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
+    rated = rated.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / TABLED)).cast("long"))
+    rated = rated.withColumn("part", F.col("rate") / F.col("draws"))
+    last = F.ceil(F.col("part") + 12 * F.sqrt("part") + 20).cast("int")
     begun = F.struct(
-        F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")
+        F.exp(-F.col("part")).alias("p"), F.array(F.exp(-F.col("part"))).alias("cdf")
     )
 
     def more(table: Column, k: Column) -> Column:
-        p = table["p"] * F.col("rate") / k
+        p = table["p"] * F.col("part") / k
         return F.struct(p.alias("p"), F.concat(table["cdf"], F.array(F.element_at(table["cdf"], -1) + p)).alias("cdf"))
 
     tabled = F.aggregate(F.sequence(F.lit(1), last), begun, more)["cdf"]
-    return rated.select("source_key", "size", "rate", tabled.alias("cdf"))
+    return rated.select("source_key", "size", "rate", "draws", tabled.alias("cdf"))
 
 
 def replicate(
@@ -97,17 +108,34 @@ def replicate(
     is sorted; sorting all rows by it gives one order for any number of
     partitions.
     """
-    table = rated.select(F.col("source_key").alias("_source"), F.col("cdf").alias("_cdf"))
-    if rated.count() <= BROADCAST_SOURCES:
+    table = rated.select(F.col("source_key").alias("_source"), F.col("cdf").alias("_cdf"), F.col("draws").alias("_draws"))
+    known = rated.agg(F.count(F.lit(1)).alias("sources"), F.max("draws").alias("draws")).first()
+    if known["sources"] <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     own = [c for c in documents.columns if c not in ("copy", "n_copies", "mix_key")]
     drawn = (_drawn(seed, F.col(key)) + 0.5) / float(1 << 4 * DIGITS)
     asked = documents.select(*own, drawn.alias("_drawn"), F.col(source).alias("_own"))
     joined = asked.join(table, F.col("_own").eqNullSafe(F.col("_source")))
-    counted = joined.select(*own, F.size(F.filter("_cdf", lambda c: c < F.col("_drawn"))).cast("long").alias("n_copies"))
-    copied = counted.where("n_copies > 0").select(
-        *own, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy")
-    )
+    n_copies = F.size(F.filter("_cdf", lambda c: c < F.col("_drawn"))).cast("long")
+    first, last = F.lit(1).cast("long"), F.col("n_copies")
+    if (known["draws"] or 1) == 1:
+        counted = joined.select(*own, n_copies.alias("n_copies")).where("n_copies > 0")
+    else:
+
+        def more(copies: Column, draw: Column) -> Column:
+            u = (_drawn(seed + "-draw", F.col(key), draw) + 0.5) / float(1 << 4 * DIGITS)
+            return copies + F.size(F.filter("_cdf", lambda c: c < u))
+
+        several = F.aggregate(F.sequence(F.lit(2).cast("long"), F.col("_draws")), n_copies, more)
+        n_copies = F.when(F.col("_draws") > 1, several).otherwise(n_copies)
+        counted = joined.select(*own, n_copies.alias("n_copies")).where("n_copies > 0")
+        # The copies of one document leave from several tasks.
+        chunks = F.sequence(F.lit(0).cast("long"), F.floor((last - 1) / CHUNK))
+        counted = counted.select(*own, "n_copies", F.explode(chunks).alias("_chunk"))
+        counted = counted.repartition(F.xxhash64(F.col(key), F.col("_chunk")))
+        first = F.col("_chunk") * CHUNK + 1
+        last = F.least(last, first + (CHUNK - 1))
+    copied = counted.select(*own, "n_copies", F.explode(F.sequence(first, last)).alias("copy"))
     keyed = copied.withColumn("mix_key", _drawn(seed + "-order", F.col(key), F.col("copy")))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 

@@ -28,7 +28,7 @@ QUERIES: dict[str, Run] = {
     "op2_ngram_jaccard_join": _over("documents", ngram_join.groups),
     "op3_suffix_dedup": _over("documents", lambda documents: repeats.remove_repeats(documents).drop("kept")),
     "op4_best_fit_packing": _over("documents", packing.pack),
-    "op5_poisson_mixing": _over("documents", mixing.mix),
+    "op5_poisson_mixing": _over("documents", lambda documents: mixing.mix(documents, max_rate=mixing.MAX_RATE)),
     "op6_revisit_resolution": _over("pages", revisits.revisits_query),
     "op7_private_spans": _over("documents", _private),
     "op8_language_filters": _over("documents", language.language_query),

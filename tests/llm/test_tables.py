@@ -200,6 +200,36 @@ def test_mixture_means_follow_the_weights(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [70, 10_000])
+def test_small_sources_reach_large_weights(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    rows = [(i, "x" * 10, "large") for i in range(2000)] + [(2000 + i, "x" * 10, "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rated = mixing.rates(docs, weights={"large": 1, "small": 1})
+    rate = {r.source_key: r.rate for r in rated.collect()}
+    assert rate["small"] == pytest.approx(2004 / 2 / 4) and rate["large"] == pytest.approx(2004 / 2 / 2000)
+    out = mixing.replicate(docs, rated).collect()
+    copies = {}
+    for row in out:
+        copies.setdefault(row.doc_id, []).append(row)
+    for found in copies.values():
+        assert sorted(r.copy for r in found) == list(range(1, found[0].n_copies + 1))
+    counts = [len(copies[2000 + i]) for i in range(4)]
+    assert all(abs(c - 250.5) < 5 * 250.5**0.5 for c in counts) and len(set(counts)) > 1
+    again = mixing.replicate(docs.repartition(3), rated).collect()
+    assert sorted((r.doc_id, r.copy, r.mix_key) for r in again) == sorted((r.doc_id, r.copy, r.mix_key) for r in out)
+
+
+def test_sum_of_draws_is_poisson(spark):
+    docs = spark.createDataFrame([(i, "x", "a") for i in range(2000)], "doc_id long, text string, source string")
+    rated = mixing.rates(docs, epochs=150.0)
+    counts = mixing.replicate(docs, rated).groupBy("doc_id").count()
+    mean, variance = counts.agg(F.avg("count"), F.variance("count")).first()
+    assert mean == pytest.approx(150, rel=0.01) and variance == pytest.approx(150, rel=0.2)
+    limited = mixing.rates(docs, epochs=150.0, max_rate=120.0).first()
+    assert limited.rate == 120 and limited.draws == 2
+
+
 # --- neighbours -------------------------------------------------------------------------
 
 
