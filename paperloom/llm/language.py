@@ -1,16 +1,18 @@
 """Language identification by a bit-sliced Bloom filter over n-grams.
 
-For every language the n-grams that make up at least ``SHARE`` of its n-grams
-are kept: at most ``1 / SHARE`` of them, however large the corpus is. All
-languages share one Bloom filter whose rows are language bitmasks: the AND of an
+All n-grams of every language are kept, and marked if they make up at least
+``SHARE`` of its n-grams. All languages share one Bloom filter whose rows are
+language bitmasks, one for the n-grams and one for the marked ones: the AND of an
 n-gram's rows gives every language that (probably) holds it at once. A text's
-popcount per language is corrected for the filter's false positives, and the
-language with the largest corrected share of the text's n-grams wins.
+popcounts per language are corrected for the filter's false positives. The language
+with the largest sum of both corrected shares of the text's n-grams wins, as in much
+text any language has most n-grams once; its score is the share of all n-grams.
 
 N-grams are counted per batch in the tasks and summed by key, so what is
 shuffled is bounded by the n-grams of a batch, not by the text; the n-grams of
 one language, which may have most documents, spread over all keys. The filter
-has a fixed size and goes to the tasks by broadcast.
+has LOAD rows for each n-gram of the language that has most, ROWS at least, and goes
+to the tasks by broadcast; the different n-grams come to the driver.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if nothing was learned. A text with letters and no known n-gram
@@ -22,7 +24,7 @@ and language are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,12 +36,13 @@ from pyspark.sql import functions as F
 from paperloom.sources.durable import cut_lineage
 
 UNKNOWN = "und"
-#: Least share of a language's n-grams an n-gram must have to be kept.
+#: Least share of a language's n-grams an n-gram must have to be marked.
 SHARE = 1e-4
 #: Letters of an n-gram; a word's edge counts as a letter. Three fit in one long.
 N = 3
-#: Rows of the filter, a power of two, and rows an n-gram is spread over.
+#: Least rows of the filter, a power of two, rows per n-gram, and rows an n-gram is spread over.
 ROWS = 1 << 20
+LOAD = 8
 PROBES = 3
 BITS = 21
 
@@ -116,38 +119,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _places(gram: np.ndarray) -> list[np.ndarray]:
+def _places(gram: np.ndarray, rows: int = ROWS) -> list[np.ndarray]:
     """The filter rows of each n-gram."""
     value = _mix(gram.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     step = _mix(value) | np.uint64(1)
-    return [((value + np.uint64(i) * step) & np.uint64(ROWS - 1)).astype(np.int64) for i in range(PROBES)]
+    return [((value + np.uint64(i) * step) & np.uint64(rows - 1)).astype(np.int64) for i in range(PROBES)]
 
 
 @dataclass(frozen=True)
 class Filter:
-    """``masks`` is ROWS x words of 64 languages; languages are in order of preference."""
+    """``masks`` is rows x words of 64 bits: one for each language, in order of preference, then one for its marked n-grams."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
 
     def false_positives(self) -> np.ndarray:
-        """Per language, how often an n-gram it lacks seems to be held."""
-        bits = [self.masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(len(self.languages))]
+        """Per bit, how often an n-gram that lacks it seems to have it."""
+        bits = (self.masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1) for i in range(2 * len(self.languages)))
         return np.array([float(b.mean()) ** PROBES for b in bits])
 
 
-def build(kept: list[tuple[str, int]], languages: list[str]) -> Filter:
-    """The filter of ``(language, n-gram)`` pairs."""
-    masks = np.zeros((ROWS, max(1, -(-len(languages) // 64))), dtype=np.uint64)
-    for number, language in enumerate(languages):
-        gram = np.array([g for name, g in kept if name == language], dtype=np.int64)
-        for rows in _places(gram):
-            masks[rows, number // 64] |= np.uint64(1 << number % 64)
+Grams = Iterable[tuple[str, int | np.ndarray]]
+
+
+def build(kept: Grams, languages: list[str], marked: Grams = ()) -> Filter:
+    """The filter of ``(language, n-gram or array of them)``."""
+    held: list[list[np.ndarray]] = [[] for _ in range(2 * len(languages))]
+    number = {name: i for i, name in enumerate(languages)}
+    for first, pairs in ((0, kept), (len(languages), marked)):
+        for name, gram in pairs:
+            held[first + number[name]].append(np.atleast_1d(np.asarray(gram, dtype=np.int64)))
+    most = max((sum(map(len, parts)) for parts in held), default=0)
+    rows = max(ROWS, 1 << (LOAD * most - 1).bit_length()) if most else ROWS
+    masks = np.zeros((rows, max(1, -(-len(held) // 64))), dtype=np.uint64)
+    for bit, parts in enumerate(held):
+        for gram in parts:
+            for places in _places(gram, rows):
+                masks[places, bit // 64] |= np.uint64(1 << bit % 64)
     return Filter(tuple(languages), masks)
 
 
 def learn(documents: DataFrame, *, text: str = "text", lang: str = "lang", share: float = SHARE) -> Filter:
-    """Counts n-grams in Spark; the kept ones, at most ``1 / share`` per language, come to the driver."""
+    """Counts n-grams in Spark; the different ones of every language come to the driver."""
     # Totals beside the counts: a window over a language would put all its n-grams in one task.
     counted = cut_lineage(count_grams(documents, text=text, lang=lang), "grams")
     totals = {row["lang"]: row["n"] for row in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -160,11 +173,15 @@ def learn(documents: DataFrame, *, text: str = "text", lang: str = "lang", share
     }
     if not sizes:
         return Filter((), np.zeros((ROWS, 1), dtype=np.uint64))
-    least = F.lit(0.0)
-    for name, total in totals.items():
-        least = F.when(F.col("lang") == name, F.lit(total * share)).otherwise(least)
-    kept = [(row["lang"], row["gram"]) for row in counted.where(F.col("n") >= least).select("lang", "gram").collect()]
-    return build(kept, sorted(sizes, key=lambda name: (-sizes[name], name)))
+    languages = sorted(sizes, key=lambda name: (-sizes[name], name))
+    number, least = F.lit(-1), F.lit(0.0)
+    for i, name in enumerate(languages):
+        number = F.when(F.col("lang") == name, F.lit(i)).otherwise(number)
+        least = F.when(F.col("lang") == name, F.lit(totals.get(name, 0) * share)).otherwise(least)
+    kept = counted.select(number.cast("int").alias("number"), "gram", (F.col("n") >= least).alias("marked")).toArrow()
+    of, gram, marked = (kept.column(c).to_numpy() for c in ("number", "gram", "marked"))
+    every = [(name, gram[of == i]) for i, name in enumerate(languages)]
+    return build(every, languages, [(name, gram[(of == i) & marked]) for i, name in enumerate(languages)])
 
 
 def identify(documents: DataFrame, model: Filter, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,20 +193,24 @@ def identify(documents: DataFrame, model: Filter, *, key: str = "doc_id", text:
 
         def told(texts: list[str]) -> tuple[list[str], np.ndarray]:
             gram, owner, has = grams(texts)
-            rows = _places(gram)
+            rows = _places(gram, len(masks))
             held = masks[rows[0]]
             for more in rows[1:]:
                 held &= masks[more]
             total = np.bincount(owner, minlength=len(texts))
-            shares = np.zeros((len(texts), max(1, len(languages))))
-            for i in range(len(languages)):
+            shares = np.zeros((len(texts), 2 * max(1, len(languages))))
+            seen = np.zeros(len(texts), dtype=bool)
+            for i in range(2 * len(languages)):
                 bit = (held[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
                 hits = np.bincount(owner, weights=bit.astype(np.float64), minlength=len(texts))
                 shares[:, i] = (hits - total * wrong[i]) / np.maximum(total, 1) / (1 - wrong[i])
-            best = np.argmax(np.round(shares, 12), axis=1)  # the first of equals is preferred
+                seen |= hits > 0
+            shares[~seen] = 0
+            every, marked = np.hsplit(shares, 2)
+            best = np.argmax(np.round(every + marked, 12), axis=1)  # the first of equals is preferred
             known = has & (len(languages) > 0)
             names = [languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            return names, np.where(known, np.clip(shares[np.arange(len(texts)), best], 0, 1), 0.0)
+            return names, np.where(known, np.clip(every[np.arange(len(texts)), best], 0, 1), 0.0)
 
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]

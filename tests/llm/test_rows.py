@@ -204,6 +204,29 @@ def test_filter_returns_every_language_of_a_gram():
         assert int(held[number // 64]) >> number % 64 & 1
 
 
+def test_rare_grams_are_kept_and_unknown_texts_get_the_largest(spark):
+    # 30,000 different n-grams a language: none has a share of 1e-4, as with large alphabets.
+    letters = [chr(0x4E00 + i) for i in range(20_000)]
+    rng = random.Random(9)
+    texts = {"zh": "".join(rng.choices(letters[:10_000], k=30_000)), "ko": "".join(rng.choices(letters[10_000:], k=30_000))}
+    docs = documents(spark, [*texts.values(), "abc", "abd"], ["zh", "ko", "en", "en"])
+    model = language.learn(docs)
+    assert model.languages[0] == "en"
+    short = [texts["zh"][500:520], texts["ko"][700:720], "xyzzy"]
+    found = sorted(language.identify(documents(spark, short), model).collect())
+    assert [r.lang_pred for r in found] == ["zh", "ko", "en"]
+    assert found[0].score > 0.7 and found[1].score > 0.7 and found[2].score == 0
+
+
+def test_filter_grows_with_its_grams(monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 1 << 10)
+    gram = np.arange(5000) * 7919
+    model = language.build([("a", gram), ("b", gram[:10])], ["a", "b"])
+    assert len(model.masks) >= language.LOAD * 5000 and model.false_positives()[0] < 0.05
+    held = np.bitwise_and.reduce([model.masks[r] for r in language._places(gram, len(model.masks))])[:, 0]
+    assert (held & np.uint64(1)).all() and (held[:10] & np.uint64(2)).all()
+
+
 def test_grams_end_with_their_text():
     gram, owner, has = language.grams(["ab", "", "1 c", "İx"])
     assert list(has) == [True, False, True, True] and np.bincount(owner, minlength=4)[:3].tolist() == [2, 0, 1]
