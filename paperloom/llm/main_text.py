@@ -8,8 +8,8 @@ by augmenting flows, is the cheapest labelling of all blocks together.
 
 The classifier is logistic, on the text of a block (length, links, stops) and on
 the elements around it (role, class hints). Its weights are fitted on at most
-SAMPLE_PAGES pages, whose semantic elements say which blocks are content. Every
-block is learnt twice, with its elements and without, so that the text can speak
+SAMPLE_BLOCKS blocks of SAMPLE_PAGES whole pages, whose semantic elements say
+which blocks are content. Every block is learnt twice, with its elements and without, so that the text can speak
 against them: long text in an aside can be content, links in an article need not
 be. A form or header around a page's articles, or most of its text, says nothing.
 Scripts, styles and the like never become blocks.
@@ -39,11 +39,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.sampling import thinned
+from paperloom.llm.sampling import least, thinned
 
-#: Pages the classifier is fitted on, and characters of each that are read for it.
+#: Pages the classifier is fitted on, and blocks of them at most.
 SAMPLE_PAGES = 300
-SAMPLE_CHARS = 100_000
+SAMPLE_BLOCKS = 20_000
 
 # --- pages as blocks ---------------------------------------------------------------
 
@@ -346,14 +346,24 @@ def features(block: Block) -> list[float]:
     ]
 
 
-def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.5, prior: float = 0.05) -> np.ndarray:
+#: Features of a block and whether it is content.
+Example = tuple[Sequence[float], float]
+
+
+def examples(page: str) -> Iterator[Example]:
+    """The blocks of a page whose elements say what they are."""
+    for block in blocks(page):
+        if block.role and block.hint * block.role >= 0:
+            yield features(block), float(block.role > 0)
+
+
+def fit(pages: Sequence[str | Example], rounds: int = 200, rate: float = 0.5, prior: float = 0.05) -> np.ndarray:
     """Logistic regression on the blocks whose elements say what they are, with and without these, drawn to START."""
     rows, labels = [], []
     for page in pages:
-        for block in blocks(page):
-            if block.role and block.hint * block.role >= 0:
-                rows.append(features(block))
-                labels.append(float(block.role > 0))
+        for held, content in examples(page) if isinstance(page, str) else [page]:
+            rows.append(held)
+            labels.append(content)
     start = np.array(START)
     if not labels or min(labels) == max(labels):
         return start
@@ -369,12 +379,19 @@ def fit(pages: Sequence[str], rounds: int = 200, rate: float = 0.5, prior: float
     return weights
 
 
-def sample(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> list[str]:
-    """The SAMPLE_PAGES pages of least hash: bounded, and the same in any order."""
-    short = thinned(pages.where(F.col(html).isNotNull()), 4 * SAMPLE_PAGES, key, html).select(
-        F.xxhash64(F.col(key).cast("string")).alias("h"), F.substring(F.col(html), 1, SAMPLE_CHARS).alias("html")
-    )
-    return [row.html for row in short.orderBy("h", "html").limit(SAMPLE_PAGES).collect()]
+def sample(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> list[Example]:
+    """The SAMPLE_BLOCKS examples of least hash from the SAMPLE_PAGES pages of least hash, which tasks read whole."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for h, page in zip(frame["h"], frame["text"]):
+                found = [(h, number, held, content) for number, (held, content) in enumerate(examples(page))]
+                yield pd.DataFrame(found, columns=["h", "number", "held", "content"])
+
+    chosen = least(thinned(pages.where(F.col(html).isNotNull()), 4 * SAMPLE_PAGES, key, html), SAMPLE_PAGES, key, html)
+    found = chosen.mapInPandas(read, "h long, number long, held array<double>, content double")
+    few = found.orderBy(F.xxhash64("h", "number"), "h", "number", "held").limit(SAMPLE_BLOCKS).collect()
+    return [(row.held, row.content) for row in few]
 
 
 # --- the cut -------------------------------------------------------------------------

@@ -35,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.sampling import thinned
+from paperloom.llm.sampling import least, thinned
 
 #: Kinds in the order in which spans are listed; the first four have patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tokens a segment may have.
 LONGEST = 5
-#: Tokens of a region that a fit reads.
-REGION = 400
-#: Documents looked at for regions (about), those with triggers kept, and regions at most.
+#: Tokens and characters of the pieces of regions that a fit reads.
+PIECE = 40
+PIECE_CHARS = 20_000
+#: Documents looked at for regions (about), those with triggers kept, and pieces of regions at most.
 SAMPLE_LOOK = 10_000
 SAMPLE_DOCUMENTS = 2_000
 SAMPLE_REGIONS = 1_500
@@ -334,7 +335,7 @@ def fit(sample: Sequence[str], rounds: int = 20, rate: float = 2.0, prior: float
     start = start_weights()
     read = []
     for text in sample:
-        tokens = [m.span() for m in _TOKEN.finditer(text)][:REGION]
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
         found = list(segments(text, tokens))
         if found:
             read.append((len(tokens), found, targets(text, found)))
@@ -355,16 +356,29 @@ def fit(sample: Sequence[str], rounds: int = 20, rate: float = 2.0, prior: float
 
 
 def sample_regions(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[str]:
-    """Regions of up to SAMPLE_DOCUMENTS documents with a trigger, of least hash: bounded, and the same in any order."""
-    looked = thinned(documents, SAMPLE_LOOK, key, text)
-    with_digits = looked.where(F.col(text).rlike(_TRIGGER.pattern)).select(
-        F.col(key).cast("string").alias("k"), F.substring(F.col(text), 1, 20_000).alias("t")
-    )
-    rows = with_digits.orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE_DOCUMENTS).collect()
-    found = []
-    for row in rows:
-        found.extend(row.t[tokens[0][0] : tokens[-1][1]] for tokens in regions(row.t) if len(tokens) <= 40)
-    return found[:SAMPLE_REGIONS]
+    """The SAMPLE_REGIONS pieces of regions of least hash from SAMPLE_DOCUMENTS documents with a trigger.
+
+    Tasks read the whole texts. Bounded, and the same in any order.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for h, content in zip(frame["h"], frame["text"]):
+                yield pd.DataFrame([(h, *piece) for piece in pieces(content)], columns=["h", "start", "piece"])
+
+    looked = thinned(documents, SAMPLE_LOOK, key, text).where(F.col(text).rlike(_TRIGGER.pattern))
+    found = least(looked, SAMPLE_DOCUMENTS, key, text).mapInPandas(read, "h long, start long, piece string")
+    few = found.orderBy(F.xxhash64("h", "start"), "h", "start", "piece").limit(SAMPLE_REGIONS).collect()
+    return [row.piece for row in few]
+
+
+def pieces(text: str) -> Iterator[tuple[int, str]]:
+    """``(start, piece)``: regions cut after PIECE tokens, without pieces of over PIECE_CHARS characters."""
+    for tokens in regions(text):
+        for i in range(0, len(tokens), PIECE):
+            start, end = tokens[i][0], tokens[min(i + PIECE, len(tokens)) - 1][1]
+            if end - start <= PIECE_CHARS:
+                yield start, text[start:end]
 
 
 # --- spans of documents ------------------------------------------------------------

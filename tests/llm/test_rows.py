@@ -169,6 +169,15 @@ def test_private_rows(spark):
     assert private.find_private(docs.limit(0), private.fit([])).count() == 0
 
 
+def test_regions_are_sampled_from_whole_texts(spark, monkeypatch):
+    late = "so it is " * 5000 + "token=b7db7aa4a5fcc78305 end"
+    found = private.sample_regions(documents(spark, [late, None, "no data", "1 " * 100]))
+    assert sum("b7db7aa4a5fcc78305" in piece for piece in found) == 1 and len(found) == 4
+    assert found == private.sample_regions(documents(spark, [late, None, "no data", "1 " * 100]).repartition(3))
+    monkeypatch.setattr(private, "SAMPLE_REGIONS", 2)
+    assert len(private.sample_regions(documents(spark, [late, "1 " * 1000]))) == 2
+
+
 # --- languages ---------------------------------------------------------------------
 
 
@@ -280,6 +289,18 @@ def test_page_rows(spark):
     assert sorted((r.page_id, r.n_chars) for r in found.collect()) == [(1, 46), (2, 0), (3, 0), (3, 0), (4, 0)]
 
 
+def test_blocks_are_sampled_from_whole_pages(spark, monkeypatch):
+    late = "<p>" + "so it is. " * 20_000 + "</p>" + PAGE
+    rows = [(1, late), (1, late), (2, None), (3, PAGE), (None, PAGE)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    found = main_text.sample(pages)
+    assert sorted(map(str, found)) == sorted(str(e) for page in (late, PAGE, PAGE) for e in main_text.examples(page))
+    assert {content for _, content in found} == {0.0, 1.0}
+    assert main_text.fit(found) == pytest.approx(main_text.fit([late, PAGE, PAGE]))
+    monkeypatch.setattr(main_text, "SAMPLE_BLOCKS", 5)
+    assert len(main_text.sample(pages)) == 5 and main_text.sample(pages) == main_text.sample(pages.repartition(3))
+
+
 def test_cut_against_all_labellings():
     rng = random.Random(5)
     for _ in range(200):
