@@ -8,8 +8,9 @@ of ``m`` in at most ``a`` bits, or one of the others in at most ``a - 1``. So
 every substring is indexed, a query probes the values near its own in each index,
 and no code within the radius is missed. Codes found are checked in full, counted
 in the first index that finds them, and ranked by exact inner products in double
-precision. Queries with fewer than ``DEPTH * k`` codes within the radius ask again
-with larger radii: few vectors are far apart.
+precision. Queries with fewer than ``DEPTH * k`` different codes within the radius ask
+again with larger radii: few vectors are far apart. Rows of one code count once, by the
+row that stands for it, so that a group of equal vectors does not end a search.
 
 Larger norms draw inner products: vectors get one more axis that makes their norms
 equal, before the codes are learned; queries have 0 there.
@@ -156,7 +157,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _round(base: DataFrame, queries: DataFrame, model: Codes, k: int, radius: int) -> DataFrame:
     """``(query_id, vec_id, score, hits)``: at most ``k`` a tile, of all within ``radius``.
 
-    A tile's first row of a query has the number of codes it ranked.
+    A tile's first row of a query has the number of different codes it ranked.
     """
     cuts = substrings(model.bits)
     near = radii(radius, len(cuts))
@@ -171,7 +172,8 @@ def _round(base: DataFrame, queries: DataFrame, model: Codes, k: int, radius: in
 
     parts = [p for p in range(len(cuts)) if near[p] >= 0]
     places = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), slot(p, F.col("code")).alias("slot")) for p in parts]))
-    index = base.select("vec_id", "vector", "code", places.alias("at")).select("vec_id", "vector", "code", "at.*")
+    index = base.select("vec_id", "vector", "code", "counts", places.alias("at"))
+    index = index.select("vec_id", "vector", "code", "counts", "at.*")
     sizes = cut_lineage(index.groupBy("part", "slot").count(), "slots")
     salted = sizes.select("part", "slot", F.ceil(F.col("count") / F.lit(2 * TILE)).cast("int").alias("salts"))
     spread = F.pmod(F.xxhash64("vec_id", "part"), F.col("salts")).cast("int")
@@ -193,6 +195,7 @@ def _round(base: DataFrame, queries: DataFrame, model: Codes, k: int, radius: in
             part = int(left["part"].iloc[0])
             codes = left["code"].to_numpy().view(np.uint64)
             ids, vectors = left["vec_id"].to_numpy(), _array(left["vector"], model.dimension)
+            counts = left["counts"].to_numpy()
             first, width = cuts[part]
             value = codes >> np.uint64(first) & np.uint64((1 << width) - 1)
             rows = np.argsort(value, kind="stable")
@@ -205,7 +208,7 @@ def _round(base: DataFrame, queries: DataFrame, model: Codes, k: int, radius: in
                 scores = (vectors[found] * vector).sum(axis=1)
                 best = _best(scores, ids[found], k)
                 out.append(pd.DataFrame({"query_id": name, "vec_id": ids[found][best], "score": scores[best], "hits": 0}))
-                out[-1].loc[:0, "hits"] = len(found)
+                out[-1].loc[:0, "hits"] = int(counts[found].sum())
         if not out:
             return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in ("query_id", "vec_id", "score", "hits")})
         return pd.concat(out)
@@ -255,10 +258,17 @@ def neighbours(
 
     coded = read.mapInPandas(encode, "vec_id long, vector binary, asks boolean, code long, query_code long")
     coded = cut_lineage(coded.dropDuplicates(["vec_id", "vector"]), "codes")
-    base = coded.select("vec_id", "vector", "code")
+    # One row stands for each code; a join by all three keeps a frequent code from one task.
+    this = F.struct("vec_id", F.xxhash64("vector").alias("hash"))
+    first = coded.groupBy("code").agg(F.min(this).alias("first")).select("code", "first.*", F.lit(True).alias("counts"))
+    base = coded.select("vec_id", "vector", "code", F.xxhash64("vector").alias("hash"))
+    base = base.join(first, ["code", "vec_id", "hash"], "left")
+    base = base.select("vec_id", "vector", "code", F.coalesce("counts", F.lit(False)).alias("counts"))
+    base = cut_lineage(base, "base")
     asking = coded.where("asks").select("vec_id", "vector", F.col("query_code").alias("code"))
-    # Other rows a query can find: one id may have several vectors.
-    others = coded.select("vec_id").distinct().count() - 1
+    # Codes a query can surely count: its own row may stand for one, and so may others of its id.
+    others = coded.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    others = base.where("counts").count() - others
     ranked = None
     for number, share in enumerate(shares):
         found = _round(base, asking, model, k, round(share * model.bits))

@@ -266,6 +266,17 @@ def test_neighbours_against_all(spark, monkeypatch, n, tile):
     assert hamming.neighbours_query(table.limit(0)).count() == 0
 
 
+def test_equal_codes_count_once(spark):
+    one = np.ones(2).tobytes()
+    codes = [0] * 50 + [1, 1, 3, 65535]
+    rows = [(i, bytearray(one), c, i in (0, 50, 52, 53)) for i, c in enumerate(codes)]
+    base = spark.createDataFrame(rows, "vec_id long, vector binary, code long, counts boolean")
+    queries = spark.createDataFrame([(99, bytearray(one), 0)], "vec_id long, vector binary, code long")
+    model = hamming.Codes(2, 1.0, np.zeros((3, 16)), np.zeros(16))
+    found = hamming._round(base, queries, model, 20, 4).groupBy("query_id").agg(F.sum("hits").alias("hits")).collect()
+    assert [tuple(r) for r in found] == [(99, 3)]
+
+
 # --- revisits ---------------------------------------------------------------------------
 
 
