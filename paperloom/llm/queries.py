@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import hamming, language, main_text, mixing, ngram_join, packing, private, quality, repeats, revisits
+from paperloom.llm import hamming, language, main_text, mixing, ngram_join, packing, periodic, private, quality, repeats
+from paperloom.llm import revisits, simhash
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,8 @@ QUERIES: dict[str, Run] = {
     "op8_language_filters": _over("documents", language.language_query),
     "op9_main_text_cut": _over("pages", _main_text),
     "op10_quality_ledger": _over("documents", quality.rules_query),
+    "op11_periodic_runs": _over("documents", periodic.runs_query),
+    "op13_deletion_simhash": _over("documents", simhash.groups),
 }
 
 SQL: dict[str, str] = {
@@ -41,4 +44,5 @@ SQL: dict[str, str] = {
     "op5_poisson_mixing": mixing.MIX_SQL,
     "op6_revisit_resolution": revisits.REVISITS_SQL,
     "op10_quality_ledger": quality.RULES_SQL,
+    "op11_periodic_runs": periodic.RUNS_SQL,
 }
