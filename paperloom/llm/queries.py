@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import hamming, language, main_text, mixing, ngram_join, packing, periodic, private, quality, repeats
-from paperloom.llm import revisits, simhash
+from paperloom.llm import dialogue, hamming, language, main_text, mixing, ngram_join, packing, periodic, private, quality
+from paperloom.llm import repeats, revisits, simhash
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,7 @@ QUERIES: dict[str, Run] = {
     "op9_main_text_cut": _over("pages", _main_text),
     "op10_quality_ledger": _over("documents", quality.rules_query),
     "op11_periodic_runs": _over("documents", periodic.runs_query),
+    "op12_conversation_repair": _over("conversations", dialogue.repair_query),
     "op13_deletion_simhash": _over("documents", simhash.groups),
 }
 
@@ -45,4 +46,5 @@ SQL: dict[str, str] = {
     "op6_revisit_resolution": revisits.REVISITS_SQL,
     "op10_quality_ledger": quality.RULES_SQL,
     "op11_periodic_runs": periodic.RUNS_SQL,
+    "op12_conversation_repair": dialogue.REPAIR_SQL,
 }
