@@ -1,15 +1,18 @@
 """Jaccard join on shingle sets, and the groups its links make.
 
 1. Equal sets are one node from the start: copies never meet as pairs.
-2. Shingles are hashed to buckets, whose loads are counted over all data: a table
-   of fixed size. Ordered by load, two sets that link share ``m`` of their first
-   ``n - ceil(t n) + m`` shingles (the prefix), which are the rarest they have. A
-   shingle many documents share, such as a licence line, is in almost no prefix.
-   ``m`` grows with the set (``common``), where bitmaps say less.
+2. Two sets that link share ``m`` of their first ``n - ceil(t n) + m`` shingles (the
+   prefix), whatever the order, as long as it is the same for all. One shingle in
+   four, by hash, is counted: in how many sets it is. The order begins with counted
+   shingles of one set only, which meet nothing and fill the prefix for free; then
+   come the other counted ones, rarest first, and then the rest by hash. So sets
+   that share a passage or a licence line, however many, do not meet by it as long
+   as a quarter of their shingles are mostly their own. ``m`` grows with the set
+   (``common``), where bitmaps say less.
 3. Sets of one prefix shingle meet in tiles by size: a band of sizes, and the
    larger sets that can still link to it.
 4. Before any pair is made, every set of a tile is linked to one of them only
-   (a star). Candidates must pass the bound on the overlap from the bit counts of
+   (a star), and in its first tiles to a second one, drawn by hash. Candidates must pass the bound on the overlap from the bit counts of
    hashed bitmaps: a bitmap holds the parity of a set's hashes, so two bitmaps
    differ in at most as many bits as the sets in elements. Survivors are compared
    exactly as sorted arrays, and links become groups.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +45,8 @@ from paperloom.llm import shingles as S
 from paperloom.llm.components import components, with_ids
 from paperloom.sources.durable import cut_lineage
 
-#: Buckets whose loads order the shingles: the upper 16 bits of a hash.
-BUCKETS = 1 << 16
-_REST = np.uint64((1 << 48) - 1)
+#: One shingle in so many is counted, by the lowest bits of its hash.
+COUNTED = 4
 #: Bits of a set's bitmap, in longs.
 BITMAP = 512
 _WORDS = BITMAP // 64
@@ -53,6 +55,8 @@ _BITS = [f"bits{i}" for i in range(_WORDS)]
 STEP = 64
 #: A star's pair must share its part of those.
 STAR = 4
+#: Shingles of a set, first ones first, in which it also meets a set drawn by hash.
+DRAWN = 24
 #: Sets a task remembers to have sent.
 REMEMBERED = 200_000
 
@@ -96,37 +100,30 @@ def document_sets(
     return documents.select(*asked).mapInArrow(read, schema)
 
 
-def bucket_order(documents: DataFrame, width: int, *, text: str = "text") -> np.ndarray:
-    """The place of each bucket when sorted by load; always BUCKETS numbers."""
+def _prefix(size: int, percent: int) -> int:
+    """Shingles of a set's prefix."""
+    return min(size, size + (-percent * size // 100) + 1 + size // STEP)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for _, value, _ in S.sets(batch.column(0), width):
-                load += np.bincount((value >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        held = np.flatnonzero(load)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(load[held])], names=["bucket", "load"])
 
-    loads = documents.select(F.col(text).alias("text")).mapInArrow(count, "bucket long, load long")
-    load = np.zeros(BUCKETS, dtype=np.int64)
-    for row in loads.groupBy("bucket").agg(F.sum("load").alias("load")).collect():
-        load[row["bucket"]] = row["load"]
-    order = np.empty(BUCKETS, dtype=np.uint64)
-    order[np.argsort(load, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    return order
+def prefix_size(n: Column, percent: int) -> Column:
+    """The same of a column."""
+    whole = n - F.ceil(n * percent / F.lit(100)) + 1 + F.floor(n / F.lit(STEP))
+    return F.least(n, whole)
+
 
+def leading(documents: DataFrame, width: int, percent: int, *, text: str = "text") -> DataFrame:
+    """``(shingle, node, n, counted)`` of every set that can have a link, mostly once per set.
 
-def prefixes(documents: DataFrame, width: int, percent: int, order: np.ndarray, *, text: str = "text") -> DataFrame:
-    """``(shingle, node, n)``: the prefix of every set that can have a link, mostly once per set."""
-    shared = documents.sparkSession.sparkContext.broadcast(order)
+    The shingles are all that are counted, ``counted`` of them, and if these are
+    less than the prefix, the first others.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = shared.value << np.uint64(48)
         sent: set[int] = set()
         for batch in batches:
             for _, value, bounds in S.sets(batch.column(0), width):
                 node, n = _node(value, bounds), np.diff(bounds)
-                value = places[(value >> np.uint64(48)).astype(np.int64)] | (value & _REST)
+                rest = (value & np.uint64(COUNTED - 1)) != 0
                 found, owners = [], []
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     size = b - a
@@ -135,16 +132,32 @@ def prefixes(documents: DataFrame, width: int, percent: int, order: np.ndarray,
                     if len(sent) >= REMEMBERED:
                         sent.clear()
                     sent.add(int(node[i]))
-                    first = min(size, size + (-percent * size // 100) + 1 + size // STEP)
-                    value[a:b].sort()
-                    found.append(value[a : a + first])
-                    owners.append(np.full(first, i))
+                    own, other = value[a:b][~rest[a:b]], value[a:b][rest[a:b]]
+                    found += [own, other[: max(0, _prefix(size, percent) - len(own))]]
+                    owners.append(np.full((len(found[-2]) + len(found[-1]), 2), (i, len(own))))
                 if found:
-                    owner = np.concatenate(owners)
+                    owner, counted = np.concatenate(owners).T
                     columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(node[owner]), pa.array(n[owner])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shingle", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(counted)], names=["shingle", "node", "n", "counted"])
 
-    return documents.select(F.col(text).alias("text")).mapInArrow(send, "shingle long, node long, n long")
+    schema = "shingle long, node long, n long, counted long"
+    return documents.select(F.col(text).alias("text")).mapInArrow(send, schema)
+
+
+def prefixes(documents: DataFrame, width: int, percent: int, *, text: str = "text") -> DataFrame:
+    """``(shingle, node, n, place)``: those shingles of every set's prefix that other sets have, too, in order."""
+    sent = cut_lineage(leading(documents, width, percent, text=text), "leading")
+    several = sent.groupBy("shingle").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("load")
+    )
+    met = sent.join(several.where("low < high").select("shingle", "load"), "shingle").distinct()
+    # Counted shingles that no other set has come first: they are not here, but fill their places.
+    own = F.pmod("shingle", F.lit(COUNTED)) == 0
+    by_node = Window.partitionBy("node")
+    met = met.withColumn("own", own).withColumn("shared", F.sum(F.col("own").cast("long")).over(by_node))
+    met = met.withColumn("place", F.row_number().over(by_node.orderBy(F.desc("own"), "load", "shingle")))
+    room = prefix_size(F.col("n"), percent) - (F.col("counted") - F.col("shared"))
+    return met.where(~F.col("own") | (F.col("place") <= room)).select("shingle", "node", "n", "place")
 
 
 def _band_starts(percent: int) -> list[int]:
@@ -242,23 +255,27 @@ def _linked(
         F.min("key").alias("key"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BITS]
     )
     nodes = cut_lineage(nodes, "nodes")
-    sent = cut_lineage(prefixes(documents, width, percent, bucket_order(documents, width, text=text), text=text), "prefixes")
-    several = sent.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     starts = _band_starts(percent)
-    met = sent.join(several.select("shingle"), "shingle").distinct()
+    met = prefixes(documents, width, percent, text=text)
     met = cut_lineage(met.withColumn("tile", _band(F.col("n"), starts)), "met")
 
     facts = nodes.select("node", "n", *_BITS)
     centers = met.groupBy("shingle", "tile").agg(F.min("node").alias("a"))
     stars = met.join(centers, ["shingle", "tile"]).where("a <> node").groupBy("a", F.col("node").alias("b"))
     stars = stars.agg(F.count(F.lit(1)).alias("shared"))
+    # Near copies at the threshold may all miss the one least node: some drawn ones connect them.
+    early = met.where(F.col("place") <= DRAWN)
+    drawn = early.groupBy("shingle", "tile").agg(F.min_by("node", F.xxhash64("node", "shingle")).alias("a"))
+    drawn = early.join(drawn, ["shingle", "tile"]).where("a <> node")
+    drawn = drawn.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    stars = stars.unionByName(drawn.withColumn("shared", F.lit(1 << 40)))
     a = facts.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", *_BITS)])
     stars = stars.join(facts.withColumnRenamed("node", "b"), "b").join(a, "a")
     one = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("n", *_BITS)]).alias("a")
     two = F.struct("n", *_BITS).alias("b")
     likely = stars.select(F.col("a").alias("one"), F.col("b").alias("two"), "shared", one, two)
     likely = likely.where(can_link(percent) & (F.col("shared") * STAR >= common()))
-    pairs = cut_lineage(likely.select(F.col("one").alias("a"), F.col("two").alias("b")), "pairs")
+    pairs = cut_lineage(likely.select(F.col("one").alias("a"), F.col("two").alias("b")).distinct(), "pairs")
     linked = cut_lineage(components(compare(pairs, nodes, documents, width, percent, key=key, text=text)), "linked")
 
     # What is left: tiles with sets of several groups.
