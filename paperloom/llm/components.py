@@ -11,19 +11,28 @@ from paperloom.sources.durable import cut_lineage
 BROADCAST_IDS = 1_000_000
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``rows`` has it."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, *, text: str | None = None) -> DataFrame:
     """Semi or anti join of ``rows`` with the written table ``ids``, null-safe.
 
     With ``text``, a row must also have the ``hash`` of its text there. Few ids go to the rows, so that texts stay where they are; beyond
     BROADCAST_IDS the rows are shuffled.
     """
-    names = [F.col(key).alias("_id")] + ([F.col("hash").alias("_hash")] if text else [])
+    own, hashed = unused(rows, "_id"), unused(rows, "_hash")
+    names = [F.col(key).alias(own)] + ([F.col("hash").alias(hashed)] if text else [])
     found = ids.select(*names).distinct()
     if ids.count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    same = F.col(key).eqNullSafe(F.col("_id"))
+    same = F.col(key).eqNullSafe(F.col(own))
     if text:
-        same &= F.xxhash64(text) == F.col("_hash")
+        same &= F.xxhash64(text) == F.col(hashed)
     return rows.join(found, same, how)
 
 

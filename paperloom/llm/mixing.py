@@ -35,8 +35,6 @@ from paperloom.sources.durable import cut_lineage
 BROADCAST_SOURCES = 10_000
 #: The largest mean that is tabled: e to the power -mean stays far from 0.
 TABLED = 100.0
-#: The limit in MIX_SQL.
-MAX_RATE = 100.0
 #: Copies of a document that leave together where there can be many.
 CHUNK = 10_000
 #: 13 hexadecimal digits of an MD5: 52 bits, exact in a double.
@@ -99,59 +97,74 @@ def rates(
     return rated.select("source_key", "size", "rate", "draws", tabled.alias("cdf"))
 
 
-def replicate(
-    documents: DataFrame, rated: DataFrame, *, key: str = "doc_id", source: str = "source", seed: str = "mixture"
-) -> DataFrame:
-    """Documents repeated by their counts, in a global random order.
-
-    Adds ``copy`` (from 1), ``n_copies`` and ``mix_key``, by which each partition
-    is sorted; sorting all rows by it gives one order for any number of
-    partitions.
-    """
-    table = rated.select(F.col("source_key").alias("_source"), F.col("cdf").alias("_cdf"), F.col("draws").alias("_draws"))
+def _replicated(documents: DataFrame, rated: DataFrame, *, key: str, source: str, seed: str) -> DataFrame:
+    """``(row, n_copies, copy, mix_key)``: whole documents, in a global random order."""
+    table = rated.select("source_key", "cdf", "draws")
     known = rated.agg(F.count(F.lit(1)).alias("sources"), F.max("draws").alias("draws")).first()
     if known["sources"] <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    own = [c for c in documents.columns if c not in ("copy", "n_copies", "mix_key")]
     drawn = (_drawn(seed, F.col(key)) + 0.5) / float(1 << 4 * DIGITS)
-    asked = documents.select(*own, drawn.alias("_drawn"), F.col(source).alias("_own"))
-    joined = asked.join(table, F.col("_own").eqNullSafe(F.col("_source")))
-    n_copies = F.size(F.filter("_cdf", lambda c: c < F.col("_drawn"))).cast("long")
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    asked = documents.select(
+        whole.alias("row"), F.col(key).alias("key"), drawn.alias("drawn"), F.col(source).alias("source")
+    )
+    joined = asked.join(table, F.col("source").eqNullSafe(F.col("source_key")))
+    n_copies = F.size(F.filter("cdf", lambda c: c < F.col("drawn"))).cast("long")
     first, last = F.lit(1).cast("long"), F.col("n_copies")
     if (known["draws"] or 1) == 1:
-        counted = joined.select(*own, n_copies.alias("n_copies")).where("n_copies > 0")
+        counted = joined.select("row", "key", n_copies.alias("n_copies")).where("n_copies > 0")
     else:
 
         def more(copies: Column, draw: Column) -> Column:
-            u = (_drawn(seed + "-draw", F.col(key), draw) + 0.5) / float(1 << 4 * DIGITS)
-            return copies + F.size(F.filter("_cdf", lambda c: c < u))
+            u = (_drawn(seed + "-draw", F.col("key"), draw) + 0.5) / float(1 << 4 * DIGITS)
+            return copies + F.size(F.filter("cdf", lambda c: c < u))
 
-        several = F.aggregate(F.sequence(F.lit(2).cast("long"), F.col("_draws")), n_copies, more)
-        n_copies = F.when(F.col("_draws") > 1, several).otherwise(n_copies)
-        counted = joined.select(*own, n_copies.alias("n_copies")).where("n_copies > 0")
+        several = F.aggregate(F.sequence(F.lit(2).cast("long"), F.col("draws")), n_copies, more)
+        n_copies = F.when(F.col("draws") > 1, several).otherwise(n_copies)
+        counted = joined.select("row", "key", n_copies.alias("n_copies")).where("n_copies > 0")
         # The copies of one document leave from several tasks.
         chunks = F.sequence(F.lit(0).cast("long"), F.floor((last - 1) / CHUNK))
-        counted = counted.select(*own, "n_copies", F.explode(chunks).alias("_chunk"))
-        counted = counted.repartition(F.xxhash64(F.col(key), F.col("_chunk")))
-        first = F.col("_chunk") * CHUNK + 1
+        counted = counted.select("row", "key", "n_copies", F.explode(chunks).alias("chunk"))
+        counted = counted.repartition(F.xxhash64("key", "chunk"))
+        first = F.col("chunk") * CHUNK + 1
         last = F.least(last, first + (CHUNK - 1))
-    copied = counted.select(*own, "n_copies", F.explode(F.sequence(first, last)).alias("copy"))
-    keyed = copied.withColumn("mix_key", _drawn(seed + "-order", F.col(key), F.col("copy")))
+    copied = counted.select("row", "key", "n_copies", F.explode(F.sequence(first, last)).alias("copy"))
+    keyed = copied.select("row", "n_copies", "copy", _drawn(seed + "-order", F.col("key"), F.col("copy")).alias("mix_key"))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
+def replicate(
+    documents: DataFrame, rated: DataFrame, *, key: str = "doc_id", source: str = "source", seed: str = "mixture"
+) -> DataFrame:
+    """Documents repeated by their counts, in a global random order.
+
+    Adds ``copy`` (from 1), ``n_copies`` and ``mix_key``, by which each partition
+    is sorted, in place of columns of these names; sorting all rows by it gives one
+    order for any number of partitions.
+    """
+    own = [c for c in documents.columns if c not in ("copy", "n_copies", "mix_key")]
+    out = _replicated(documents, rated, key=key, source=source, seed=seed)
+    return out.select(*[F.col(f"row.`{c}`") for c in own], "n_copies", "copy", "mix_key")
+
+
 def mix(documents: DataFrame, *, seed: str = "mixture", **options) -> DataFrame:
     """``replicate`` with the ``rates`` of the documents themselves."""
     return replicate(documents, rates(documents, **options), seed=seed)
 
 
+def mix_rows(documents: DataFrame, *, seed: str = "mixture", **options) -> DataFrame:
+    """The documents of ``mix`` with their own columns only, whatever their names."""
+    out = _replicated(documents, rates(documents, **options), key="doc_id", source="source", seed=seed)
+    return out.select("row.*")
+
+
 MIX_SQL = """
 with recursive sizes as (
   select source as source_key, sum(coalesce(length(text), 0)) as size from documents group by source),
 total as (select sum(size) as size, sum(pow(size, 0.7)) as weight from sizes where size > 0),
 rated as (
   select source_key, case when s.size > 0
-    then least(pow(s.size, 0.7) * cast(t.size as double) / t.weight / s.size, 100.0) else 1.0 end as rate
+    then pow(s.size, 0.7) * cast(t.size as double) / t.weight / s.size else 1.0 end as rate
   from sizes s, total t),
 cdf as (
   select source_key, rate, 0 as k, exp(-rate) as p, exp(-rate) as c from rated

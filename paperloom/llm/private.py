@@ -450,17 +450,14 @@ def mask_documents(
 ) -> DataFrame:
     """The documents with their private spans masked; ``length`` is set anew where text changed."""
     replace = F.pandas_udf(_masker(weights), T.StringType())
-    columns = [F.col(f"`{c}`") for c in documents.columns if c != text]
-    out = documents.select(*columns, replace(F.col(text)).alias("_masked"), F.col(text).alias("_before"))
-    changes = {}
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    out = documents.select(whole, replace(F.col(text)).alias("masked"))
+    own = lambda name: F.col(f"row.`{name}`")
+    changes = {text: F.col("masked")}
     if length in documents.columns:
-        kind = documents.schema[length].dataType
-        changes[length] = F.when(F.col("_masked") != F.col("_before"), F.length("_masked")).otherwise(F.col(length)).cast(kind)
-    changed = [
-        F.col("_masked").alias(c) if c == text else changes[c].alias(c) if c in changes else F.col(f"`{c}`")
-        for c in documents.columns
-    ]
-    return out.select(*changed)
+        changed = F.when(F.col("masked") != own(text), F.length("masked")).otherwise(own(length))
+        changes[length] = changed.cast(documents.schema[length].dataType)
+    return out.select(*[changes.get(c, own(c)).alias(c) for c in documents.columns])
 
 
 def _masker(weights: np.ndarray):

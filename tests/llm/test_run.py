@@ -5,6 +5,9 @@ import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from paperloom.llm import packing
 from tests.llm.test_tables import brute_groups
@@ -122,3 +125,21 @@ def test_masked_texts_against_replacing(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r.text for r in corpus_pipeline.anonymous(spark, docs, "").collect()}
     assert found == {name: masked(text) for name, text, _ in rows}
+
+
+CLASHING = (
+    "_id _hash _source _own _cdf _draws _drawn _chunk _masked _before _row _number _text _words row key node n "
+    "hash copy n_copies mix_key cdf draws source_key masked component shingle measures failed"
+).split()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_columns_of_any_name(spark, name, stage):
+    rows = [(i, text, source) for i, text, source in fixture()]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = stage(spark, plain, "")
+    found = stage(spark, plain.select("*", *[F.lit(c).alias(c) for c in CLASHING]), "")
+    if name != "packing":
+        assert found.columns == plain.columns + CLASHING
+        assert all(row[c] == c for row in found.select(*CLASHING).distinct().collect() for c in CLASHING)
+    assert sorted(map(str, found.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
