@@ -29,6 +29,14 @@ Make about {num_categories} groups. Put every paper into one group and reply wit
 {{"categories": {{"group": "what it holds"}}, "classifications": {{"paper title": "group"}}}}
 """
 
+MERGE_TEMPLATE = """Several lists of topics were made for parts of one collection. Here are all their topics:
+
+{categories}
+
+Bring them down to at most {num_categories} topics. Reply with JSON only, each old topic in one list:
+{{"merged": {{"topic": ["old topic", "another old topic"]}}}}
+"""
+
 PAPER_TEMPLATE = """Name the topic of one paper; there are {num_categories} topics in all. The search words were: {keywords}
 
 Title: {title}

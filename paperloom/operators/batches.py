@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.answers import json_slice, parse_classification
-from paperloom.functions.prompts import BATCH_TEMPLATE, answer_budget, batch_prompt, paper_entry
+from paperloom.functions.prompts import BATCH_TEMPLATE, MERGE_TEMPLATE, answer_budget, batch_prompt, paper_entry
 from paperloom.functions.text import not_blank
+from paperloom.operators.answer_store import AnswerStore
+from paperloom.operators.categories import merge_categories
 from paperloom.operators.enrich import Service, ask
 from paperloom.operators.lookup import lookup
 from paperloom.sources.durable import cut_lineage
@@ -18,9 +20,6 @@ from paperloom.sources.durable import cut_lineage
 UNCLASSIFIED = "Unclassified"
 PARSING_FAILED = "Classification parsing failed: "
 
-# Put behind the prompt of every batch but the first of a bucket.
-KNOWN_CATEGORIES = "\n\nUse these groups where they fit: "
-
 CHAR_BUDGET = 20_000
 CHUNK_ORDS = 1_000
 
@@ -80,24 +79,11 @@ def classification_prompts(
     return context.select(*BATCH_KEY, prompt.alias("prompt")).withColumn("max_tokens", answer_budget(F.col("prompt")))
 
 
-def ask_batches(prompts: DataFrame, service: Service, parallelism: int | None = None) -> DataFrame:
-    """Answers of all batches, with one set of categories per bucket.
-
-    The first batch of each bucket is asked first; the others are told the
-    categories found there, so that batches of one search do not each invent
-    their own.
-    """
-    kept = cut_lineage(prompts, "prompts")
-    first = kept.groupBy("bucket").agg(F.min("batch").alias("batch"))
-    opening = ask(kept.join(first, BATCH_KEY, "left_semi"), "prompt", service, parallelism, ["max_tokens"])
-    parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
-    found = F.array_join(F.array_sort(F.map_keys(parsed["categories"])), "; ")
-    others = kept.join(first, BATCH_KEY, "left_anti")
-    told = lookup(others, opening.select("bucket", found.alias("found")), "bucket", ["batch"])
-    hint = F.when(F.col("found") != "", F.concat(F.lit(KNOWN_CATEGORIES), F.col("found")))
-    rest = told.withColumn("prompt", F.concat("prompt", F.coalesce(hint, F.lit("")))).drop("found")
-    budgeted = rest.withColumn("max_tokens", answer_budget(F.col("prompt")))
-    return opening.unionByName(ask(budgeted, "prompt", service, parallelism, ["max_tokens"]))
+def ask_batches(
+    prompts: DataFrame, service: Service, parallelism: int | None = None, store: AnswerStore | None = None
+) -> DataFrame:
+    """Answers of all batches."""
+    return ask(prompts, "prompt", service, parallelism, ["max_tokens"], store)
 
 
 def classify_papers(
@@ -110,24 +96,34 @@ def classify_papers(
     chunk_ords: int = CHUNK_ORDS,
     bucket: str = "search_key",
     parallelism: int | None = None,
+    merge_template: str = MERGE_TEMPLATE,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
-    """Add ``category`` from one call per batch (see ``ask_batches``).
+    """Add ``category`` from one call per batch, and more calls that merge the batches' categories.
 
-    Titles are matched within the whole bucket, whichever batch named them first.
+    Titles are matched within the whole bucket, whichever batch named them first, and
+    categories of several batches are brought to one set (see ``merge_categories``).
     A title no answer names is ``Unclassified``; an unreadable answer marks the
     papers sent in it only; a bucket with no summary at all gets the empty string.
     """
     batched = prompt_batches(papers, budget, chunk_ords, bucket)
     prompts = classification_prompts(batch_context(batched), words, num_categories, template)
-    answers = ask_batches(prompts, service, parallelism)
+    answers = ask_batches(prompts, service, parallelism, store)
     parsed = parse_classification(json_slice(F.coalesce("result", F.lit(""))))
     problem = F.coalesce("error", F.lit("no valid JSON"))
     read = cut_lineage(answers.select(*BATCH_KEY, parsed.alias("parsed"), problem.alias("problem")), "answers")
+    found = read.select(*BATCH_KEY, F.explode("parsed.categories").alias("category", "about"))
     named = read.select("bucket", "batch", F.explode("parsed.classifications").alias("title", "named"))
+    used = named.select(*BATCH_KEY, F.col("named").alias("category"), F.lit(None).cast("string").alias("about"))
+    merged = merge_categories(
+        found.unionByName(used).where(F.col("category").isNotNull()),
+        service, num_categories, template=merge_template, parallelism=parallelism, store=store,
+    )
     named = named.groupBy("bucket", "title").agg(F.min_by("named", "batch").alias("named"))
     # One key for title and bucket, so that frequent titles are split.
     key = F.to_json(F.struct("bucket", F.coalesce("title", F.lit("")).alias("title")))
-    table = named.select(key.alias("_named_key"), "named")
+    named = named.join(merged.withColumnRenamed("category", "named"), ["bucket", "named"], "left")
+    table = named.select(key.alias("_named_key"), F.coalesce("merged", "named").alias("named"))
     found = lookup(batched.withColumn("_named_key", key), table, "_named_key", ["ord"])
     failed = read.where(~F.col("parsed.ok")).select(*BATCH_KEY, F.col("problem").alias("_problem"))
     sent = read.select("bucket", F.lit(True).alias("_sent")).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions.answers import parse_translation
 from paperloom.functions.text import not_blank
+from paperloom.operators.answer_store import AnswerStore, request_key
 from paperloom.operators.lookup import lookup
 from paperloom.sources.durable import cut_lineage
 
@@ -40,6 +41,7 @@ def ask(
     service: Service,
     parallelism: int | None = None,
     columns: Sequence[str] = (),
+    store: AnswerStore | None = None,
     **options: object,
 ) -> DataFrame:
     """``requests`` plus ``result`` and ``error`` of one call per row.
@@ -51,9 +53,26 @@ def ask(
     its row. ``parallelism`` caps the calls in flight.
 
     Answers are checkpointed: they may cost money and differ from call to call,
-    so a lost executor must not lead to asking again.
+    so a lost executor must not lead to asking again. With a ``store`` they are
+    kept for later runs, and what it has is not asked again.
     """
-    spread = requests if parallelism is None else requests.repartition(parallelism)
+    if store is None:
+        spread = requests if parallelism is None else requests.repartition(parallelism)
+        return cut_lineage(_called(spread, payload, service, columns, options))
+    tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
+    key = request_key(F.col(payload), columns, options)
+    kept = cut_lineage(requests.withColumn("request", key), "requests")
+
+    def call(rows: DataFrame) -> DataFrame:
+        return _called(rows.repartition(tasks), payload, service, columns, options)
+
+    return cut_lineage(store.complete(kept, call).select(*requests.columns, "result", "error"), "answered")
+
+
+def _called(
+    requests: DataFrame, payload: str, service: Service, columns: Sequence[str], options: dict[str, object]
+) -> DataFrame:
+    """``requests`` plus ``result`` and ``error``, not yet written."""
     schema = T.StructType(
         [*requests.schema.fields, T.StructField("result", T.StringType()), T.StructField("error", T.StringType())]
     )
@@ -77,7 +96,7 @@ def ask(
                 error=pd.Series([error for _, error in replies], dtype=object, index=batch.index),
             )
 
-    return cut_lineage(spread.mapInPandas(call, schema))
+    return requests.mapInPandas(call, schema)
 
 
 def enrich(
@@ -86,11 +105,12 @@ def enrich(
     service: Service,
     spread_by: Sequence[str],
     parallelism: int | None = None,
+    store: AnswerStore | None = None,
     **options: object,
 ) -> DataFrame:
     """``rows`` plus ``answer`` and ``answer_error``; equal payloads are asked once.
 
-    ``options`` go to the service (see ``ask``). A NULL payload is not sent and gets NULLs; such rows get a key of their own
+    ``store`` and ``options`` are those of ``ask``. A NULL payload is not sent and gets NULLs; such rows get a key of their own
     that meets nothing, so any number of them spreads evenly. Payloads can be
     whole prompts, so rows and answers meet on a 256-bit hash. The copies of each
     payload are counted while they are merged.
@@ -102,7 +122,7 @@ def enrich(
         .agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("_n"))
     )
     sent = requests.where(F.col("request_key").isNotNull())
-    answered = ask(sent, "payload", service, parallelism, **options)
+    answered = ask(sent, "payload", service, parallelism, store=store, **options)
     answers = answered.select(
         "request_key", F.col("result").alias("answer"), F.col("error").alias("answer_error")
     )
@@ -118,6 +138,7 @@ def translate_abstracts(
     keys: Sequence[str] = ("ord",),
     parallelism: int | None = None,
     language: str = "zh-cn",
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Add ``abstract_translate``; blank abstracts give the empty string.
 
@@ -125,7 +146,7 @@ def translate_abstracts(
     arrays with the translated segments first.
     """
     text = F.when(not_blank(F.col("abstract")), F.col("abstract"))
-    answered = enrich(papers, text, service, keys, parallelism, language=language)
+    answered = enrich(papers, text, service, keys, parallelism, store, language=language)
     translated = parse_translation(F.col("answer"), F.col("abstract"))
     message = F.concat(F.lit(TRANSLATION_FAILED), F.coalesce("answer_error", F.lit("unreadable answer")))
     return answered.select(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.answers import METADATA_PARSERS, NOT_FOUND, SOURCES
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.enrich import ask
 from paperloom.operators.lookup import lookup
 
@@ -70,12 +71,13 @@ def metadata_from_services(
     services: Mapping[str, Callable[[], Callable[[str], str]]],
     order: Sequence[str] = SOURCES,
     parallelism: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """``(title, metadata, metadata_error)`` of distinct titles, asked of services in turn.
 
     A service sees only titles its predecessors had no hit for. A failed call is
-    no hit, and its message is kept beside what a later service finds. Titles
-    without hit and without failure have no row.
+    no hit, and its message is kept beside what a later service finds. A ``store`` keeps
+    the answers of each service for later runs. Titles without hit and without failure have no row.
     """
     none = F.lit(None)
     named = titles.select("title").where(F.col("title").isNotNull()).distinct()
@@ -84,7 +86,8 @@ def metadata_from_services(
     for source in order:
         if source not in services:
             continue
-        answers = ask(pending, "title", services[source], parallelism)
+        kept = store.part(source) if store else None
+        answers = ask(pending, "title", services[source], parallelism, store=kept)
         failed = F.concat(F.lit(f"{source}: "), F.col("error"))
         read = answers.select(
             "title",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import QA_BUDGET, READING_TEMPLATE, TEXT_LIMIT, reading_prompt
 from paperloom.functions.text import label, strip, truncate
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.enrich import CALL_FAILED, Service, enrich
 from paperloom.sources.durable import cut_lineage
 
@@ -100,19 +101,20 @@ def answer_questions(
     parallelism: int | None = None,
     limit: int | None = TEXT_LIMIT,
     documents: DataFrame | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Long table ``(doc_id, q_idx, question, answer)``.
 
     Every document of ``documents`` (its ``doc_id``), or of ``pages``, has its
     answers. A document without text, or without any page up to the limit, gets the fixed message for every question and is
-    not sent; a failed call gets its message. The texts are put together once
+    not sent; a failed call gets its message. A ``store`` keeps answers for later runs. The texts are put together once
     and kept, as prompts and answers both need them.
     """
     listed = (pages if documents is None else documents).select("doc_id").distinct()
     read = listed.join(page_text(pages, max_pages), "doc_id", "left")
     contents = cut_lineage(read.select("doc_id", F.coalesce("content", F.lit("")).alias("content")), "contents")
     prompts = qa_prompts(contents, questions, template, limit)
-    answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism, max_tokens=QA_BUDGET)
+    answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism, store, max_tokens=QA_BUDGET)
     failed = F.concat(F.lit(CALL_FAILED), F.coalesce("answer_error", F.lit("no answer")))
     answers = answered.select("doc_id", "q_idx", "question", F.coalesce(strip(F.col("answer")), failed).alias("answer"))
     empty = with_questions(contents.where(F.col("content") == "").select("doc_id"), questions)

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from paperloom.functions.prompts import BATCH_TEMPLATE
 from paperloom.functions.urls import SITE
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
 from paperloom.operators.metadata import metadata_from_services, metadata_waterfall, with_metadata
@@ -43,6 +45,10 @@ class CrawlOptions:
     language: str = "zh-cn"
     #: Calls in flight at a time, for every service.
     parallelism: int | None = None
+    #: Prompt of a batch of papers.
+    template: str = BATCH_TEMPLATE
+    #: Keeps answers for later runs.
+    store: AnswerStore | None = None
 
 
 def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) -> DataFrame:
@@ -57,17 +63,23 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
     keys = ("search_id", "ord")
     links = listing_links(listing, options.n, options.block, options.steps, options.site)
     papers = records_for_links(cut_lineage(links, "links"), pages, rules=options.rules, site=options.site)
+
+    def kept(name: str) -> AnswerStore | None:
+        return options.store.part(name) if options.store else None
+
     stages: list[Callable[[DataFrame], DataFrame]] = []
     if options.manifest is not None:
         stages.append(lambda rows: pdf_plan(rows, options.words, options.manifest, keys))
     if options.translate is not None:
         stages.append(
-            lambda rows: translate_abstracts(rows, options.translate, keys, options.parallelism, options.language)
+            lambda rows: translate_abstracts(rows, options.translate, keys, options.parallelism, options.language, kept("translate"))
         )
     if options.metadata_services is not None:
         stages.append(
             lambda rows: with_metadata(
-                rows, metadata_from_services(rows, options.metadata_services, parallelism=options.parallelism), keys
+                rows, metadata_from_services(
+                    rows, options.metadata_services, parallelism=options.parallelism, store=kept("metadata")
+                ), keys
             )
         )
     elif options.catalogs is not None:
@@ -75,8 +87,8 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
     if options.classify is not None:
         stages.append(
             lambda rows: classify_papers(
-                rows, options.classify, options.words, options.num_categories, bucket="search_id",
-                parallelism=options.parallelism,
+                rows, options.classify, options.words, options.num_categories, options.template, bucket="search_id",
+                parallelism=options.parallelism, store=kept("classify"),
             )
         )
     for stage in stages:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
 from paperloom.sources.durable import cut_lineage
@@ -41,11 +42,12 @@ def translate_csv(
     language: str = "zh-cn",
     name: str | None = None,
     parallelism: int | None = None,
+    store: AnswerStore | None = None,
 ) -> str:
     """Translate the abstracts of a paper file; returns the path written."""
     target = name or f"{_base(source)}_translated_{language.replace('-', '_')}.csv"
     read = numbered(read_papers(spark, source))
-    papers = translate_abstracts(read, service, parallelism=parallelism, language=language)
+    papers = translate_abstracts(read, service, parallelism=parallelism, language=language, store=store)
     return write_papers(_finished(papers), posixpath.join(folder, target))
 
 
@@ -58,9 +60,10 @@ def classify_csv(
     num_categories: int = 4,
     name: str | None = None,
     parallelism: int | None = None,
+    store: AnswerStore | None = None,
 ) -> str:
     """Classify the papers of a file; returns the path written."""
     target = name or f"{_base(source)}_classified.csv"
     papers = numbered(read_papers(spark, source)).withColumn("source_file", F.lit(source))
-    done = classify_papers(papers, service, words, num_categories, bucket="source_file", parallelism=parallelism)
+    done = classify_papers(papers, service, words, num_categories, bucket="source_file", parallelism=parallelism, store=store)
     return write_papers(_finished(done), posixpath.join(folder, target))

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from paperloom.functions.prompts import READING_TEMPLATE, TEXT_LIMIT
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.enrich import Service
 from paperloom.operators.qa import MAX_PAGES, answer_questions, qa_wide
 from paperloom.sources.files import write_answers
@@ -23,13 +24,15 @@ def answer_table(
     parallelism: int | None = None,
     limit: int | None = TEXT_LIMIT,
     documents: DataFrame | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """One row per document with each question and its answer.
 
     ``documents`` (its ``doc_id``) lists documents that may have no pages, such as a
-    PDF folder; ``limit`` cuts the text of a prompt, None leaves it whole.
+    PDF folder; ``limit`` cuts the text of a prompt, None leaves it whole. What ``store``
+    has from an earlier run is not asked again.
     """
-    answers = answer_questions(pages, questions, service, max_pages, template, parallelism, limit, documents)
+    answers = answer_questions(pages, questions, service, max_pages, template, parallelism, limit, documents, store)
     return qa_wide(answers, len(questions))
 
 

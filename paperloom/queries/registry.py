@@ -18,6 +18,7 @@ from paperloom.functions import text as X
 from paperloom.functions import urls as U
 from paperloom.functions.languages import LANGUAGE_NAMES, language_name
 from paperloom.operators import batches, enrich, metadata, passages, pdfs, qa, records, topics
+from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.select import Rule, find, find_by_priority, find_nested, attribute, text_of
 from paperloom.plans import csv_jobs
 from paperloom.plans.crawl import CrawlOptions, paper_table
@@ -84,6 +85,37 @@ def grouping_service():
     return send
 
 
+def naming_service():
+    """Gives each title of a batch prompt a group of its own digits, and merges groups by the first one."""
+
+    def send(prompt: str) -> str:
+        titles = re.findall(r"^Title: (.*)\nSummary: ", prompt, flags=re.MULTILINE)
+        named = {title: hashlib.md5(title.encode()).hexdigest()[:2] for title in titles}
+        merged: dict[str, list[str]] = {}
+        for name in re.findall(r"^- (\w+): ", prompt, flags=re.MULTILINE):
+            merged.setdefault(name[0], []).append(name)
+        return json.dumps({"merged": merged, "categories": {}, "classifications": named})
+
+    return send
+
+
+def half_service():
+    """Answers texts whose MD5 begins with a digit below 8, and fails for the others."""
+
+    def send(text: str) -> str:
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if digest[0] >= "8":
+            raise RuntimeError("down")
+        return digest
+
+    return send
+
+
+def marked_service():
+    """Answers with the MD5 of what it is asked and a mark."""
+    return lambda text: hashlib.md5(text.encode()).hexdigest() + "!"
+
+
 # --- pages -----------------------------------------------------------------
 
 H1, AD, FOOTER, LINK, ITEM = Rule("h1"), Rule("div", classes=("ad",)), Rule("footer"), Rule("a"), Rule("li")
@@ -708,9 +740,38 @@ def classify_papers(spark, sf_dir):
     return done.select("ord", "title", "category")
 
 
+@query(
+    f"""select p.ord, p.title, case when h.search_key is null then ''
+         when n.title is null then 'Unclassified' else substr(md5(p.title), 1, 1) end as category
+       from doc_papers p
+         left join (select distinct search_key from doc_papers where not {V.sql_blank("llm_summary")}) h
+           on p.search_key = h.search_key
+         left join (select distinct search_key, title from doc_papers where not {V.sql_blank("llm_summary")}) n
+           on p.search_key = n.search_key and p.title = n.title""",
+    ("doc_papers",),
+)
+def merged_categories(spark, sf_dir):
+    done = batches.classify_papers(
+        V.doc_papers(spark, sf_dir), naming_service, V.SEARCH_WORDS, 4, V.GROUPING, budget=2000, chunk_ords=500
+    )
+    return done.select("ord", "title", "category")
+
+
 # --- services --------------------------------------------------------------
 
 
+@query(
+    """select ord, md5(title) || case when substr(md5(title), 1, 1) >= '8' then '!' else '' end as answer,
+         cast(null as varchar) as answer_error from doc_papers""",
+    ("doc_papers",),
+)
+def answers_kept(spark, sf_dir):
+    papers = V.doc_papers(spark, sf_dir).select("ord", "title")
+    store = AnswerStore(new_path(spark, "answers"), wave=20_000)
+    enrich.enrich(papers, F.col("title"), half_service, ["ord"], store=store)
+    return enrich.enrich(papers, F.col("title"), marked_service, ["ord"], store=store).drop("title")
+
+
 @query("select ord, md5(title) as answer, cast(null as varchar) as answer_error from doc_papers", ("doc_papers",))
 def enrich_dedup(spark, sf_dir):
     papers = V.doc_papers(spark, sf_dir).select("ord", "title")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import batches
+from paperloom.operators import categories as categories_module
 
 TEMPLATE = "{keywords}|{num_categories}|\n{papers_info}"
 SCHEMA = "ord long, search_key string, title string, llm_summary string"
@@ -103,27 +104,79 @@ def test_assign_category(spark):
     assert counts == {"y": 2, "Unclassified": 2}
 
 
-def test_later_batches_are_told_the_categories(spark, tmp_path):
-    folder = str(tmp_path)
-    rows = [(number, bucket, f"{bucket}{number}", "s") for bucket in ("k", "m") for number in range(30)]
+def merging(calls=None, fail=lambda prompt, first: False):
+    """Names a category per paper and batch, and merges names by their first letter."""
 
     def service():
         import pathlib
         import uuid
 
         def send(prompt):
-            pathlib.Path(folder, uuid.uuid4().hex).write_text(prompt)
-            title = re.search("Title: (.*)", prompt).group(1)
-            return "oops" if title == "m0" else json.dumps({"categories": {"B": "", f"A{title}": ""}})
+            first = not any(pathlib.Path(calls).iterdir()) if calls else False
+            if calls:
+                pathlib.Path(calls, uuid.uuid4().hex).write_text(prompt)
+            if fail(prompt, first):
+                raise RuntimeError("down")
+            titles = re.findall("Title: (.*)", prompt)
+            merged = {}
+            for name in re.findall("^- (.*?): ", prompt, flags=re.MULTILINE):
+                merged.setdefault(name[0], []).append(name)
+            named = {t: f"{'abc'[int(t[1:]) % 3]}{t}" for t in titles}
+            return json.dumps({"merged": merged} if merged else {"categories": {n: "x" for n in named.values()}, "classifications": named})
 
         return send
 
+    return service
+
+
+def categories(papers, service, budget=220, **options):
+    done = batches.classify_papers(papers, service, ["w"], template=TEMPLATE, budget=budget, chunk_ords=10, **options)
+    return {row.ord: row.category for row in done.collect()}
+
+
+def test_batches_share_one_set_of_categories(spark, tmp_path):
+    rows = [(number, "k", f"k{number}", "s") for number in range(60)] + [(number, "m", f"m{number}", "s") for number in range(5)]
     papers = spark.createDataFrame(rows, SCHEMA)
-    batches.classify_papers(papers, service, ["w"], template=TEMPLATE, budget=220, chunk_ords=10).collect()
-    prompts = {re.search("Title: (.*)", text).group(1): text for text in (f.read_text() for f in tmp_path.iterdir())}
-    assert sorted(prompts) == ["k0", "k10", "k19", "k29", "m0", "m10", "m19", "m29"]
-    told = {title: text.partition(batches.KNOWN_CATEGORIES)[2] for title, text in prompts.items()}
-    assert told == {"k0": "", "m0": ""} | dict.fromkeys(["k10", "k19", "k29"], "Ak0; B") | dict.fromkeys(["m10", "m19", "m29"], "")
+    expected = {number: "abc"[number % 3] for number in range(60)}
+    found = categories(papers.where("search_key = 'k'"), merging(str(tmp_path)))
+    assert found == expected
+    # Several prompts for 60 names, each of a bounded number of them.
+    merges = [text for text in (f.read_text() for f in tmp_path.iterdir()) if "- " in text]
+    assert len(merges) >= 2 and all(len(re.findall("^- ", text, flags=re.MULTILINE)) < 60 for text in merges)
+    # A search that fits one prompt keeps the names it was given.
+    alone = categories(papers.where("search_key = 'm'"), merging())
+    assert alone == {number: f"{'abc'[number % 3]}m{number}" for number in range(5)}
+    # Numbering the papers the other way round puts them into other batches.
+    turned = papers.where("search_key = 'k'").withColumn("ord", 59 - F.col("ord"))
+    assert categories(turned, merging()) == {59 - number: name for number, name in expected.items()}
+
+
+def test_failed_calls_do_not_break_the_categories(spark, tmp_path):
+    papers = spark.createDataFrame([(number, "k", f"k{number}", "s") for number in range(60)], SCHEMA)
+    # The first batch fails: its papers are marked, and the others share their categories.
+    found = categories(papers, merging(fail=lambda prompt, first: "Title: k0\n" in prompt))
+    failed = [number for number, name in found.items() if name == "Classification parsing failed: down"]
+    assert 0 in failed and failed == list(range(len(failed))) and len(failed) < 60
+    assert {name for number, name in found.items() if number not in failed} == {"a", "b", "c"}
+    # Without any merge call every paper keeps the name its batch gave.
+    found = categories(papers, merging(fail=lambda prompt, first: "- " in prompt))
+    assert found == {number: f"{'abc'[number % 3]}k{number}" for number in range(60)}
+
+
+def test_merge_replies_are_read_with_care(spark):
+    rows = [("k", batch, name, None) for batch in (0, 1) for name in ("one", "two", "three", "four", "five")]
+    rows += [("alone", 0, name, "x") for name in ("one", "two", "three")]
+    found = spark.createDataFrame(rows, "bucket string, batch long, category string, about string")
+    reply = {"merged": {" big ": ["one", "two", "unknown"], "": ["three"], "also": ["two", None], "none": None}}
+
+    def merged(answer):
+        done = categories_module.merge_categories(found, lambda: lambda prompt: answer, 2)
+        return {(row.bucket, row.category): row.merged for row in done.collect()}
+
+    same = {(bucket, name): name for bucket, _, name, _ in rows}
+    assert merged(json.dumps(reply)) == same | {("k", "one"): "big", ("k", "two"): "also"}
+    assert merged("no idea") == merged("[1]") == merged('{"merged": 3}') == same
+    assert categories_module.merge_categories(found.limit(0), lambda: str.upper, 2).collect() == []
 
 
 def test_chunks_do_not_change_categories(papers):
