@@ -42,6 +42,12 @@ def label(value: Column, limit: int) -> Column:
     return F.concat(F.substring(F.coalesce(value, F.lit("")), 1, limit), F.lit("..."))
 
 
+def title_key(title: Column) -> Column:
+    """What titles are compared by: letters and digits in lower case, all else one space; NULL if none."""
+    kept = F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", " "))
+    return F.nullif(kept, F.lit(""))
+
+
 def safe_title(title: Column) -> Column:
     """Title as a file name: letters, digits, space, ``-`` and ``_`` survive,
     spaces become underscores, at most 50 characters."""

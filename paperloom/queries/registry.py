@@ -17,7 +17,7 @@ from paperloom.functions import prompts as P
 from paperloom.functions import text as X
 from paperloom.functions import urls as U
 from paperloom.functions.languages import LANGUAGE_NAMES, language_name
-from paperloom.operators import batches, enrich, metadata, passages, pdfs, qa, records, topics
+from paperloom.operators import batches, enrich, metadata, passages, pdfs, qa, records, titles, topics
 from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.select import Rule, find, find_by_priority, find_nested, attribute, text_of
 from paperloom.plans import csv_jobs
@@ -532,6 +532,48 @@ def metadata_summary(spark, sf_dir):
     return summary.withColumn("avg_citations", F.round("avg_citations", 6))
 
 
+_MISSPELLED = """case p_partkey % 6 when 0 then p_name when 1 then replace(upper(p_name), ' ', ' - ')
+  when 2 then concat(substr(p_name, 1, 4), substr(p_name, 6)) when 3 then concat(substr(p_name, 1, 6), 'q', substr(p_name, 8))
+  when 4 then concat(substr(p_name, 1, 2), 'x', substr(p_name, 3, length(p_name) - 3)) else concat('zzz', p_name) end"""
+
+
+@query(
+    f"""with keyed as (
+          select p_partkey as ord, trim(regexp_replace(lower({_MISSPELLED}), '[^a-z0-9]+', ' ', 'g')) as key from part),
+        catalog as (
+          select place, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as held, p_partkey,
+            1990 + p_partkey % 30 as year, p_partkey % 50 as citations
+          from part, (values (0), (1), (2)) s(place) where p_partkey % 4 <= place),
+        held as (select place, held, min_by(year, p_partkey) as year, min_by(citations, p_partkey) as citations
+          from catalog group by place, held),
+        near as (
+          select k.key, h.held, levenshtein(k.key, h.held) as distance
+          from (select distinct key from keyed) k, (select distinct held from held) h
+          where abs(length(k.key) - length(h.held)) <= 2
+            and levenshtein(k.key, h.held) <= least(2, length(h.held) // 8)),
+        hits as (
+          select key, first({{'y': year, 'c': citations, 'p': place}} order by place, distance, n.held) as hit
+          from near n join held h on n.held = h.held group by key)
+        select ord, cast(hit.y as double) as "Year", cast(coalesce(hit.c, 0) as bigint) as "Citation_Count",
+          case hit.p when 0 then 'semantic_scholar' when 1 then 'crossref' when 2 then 'openalex' else 'not_found' end
+            as "Metadata_Source"
+        from keyed left join hits using (key)"""
+)
+def metadata_titles(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    papers = part.select(F.col("p_partkey").alias("ord"), F.expr(_MISSPELLED).alias("title"))
+
+    def catalog(place):
+        year = (F.lit(1990) + F.col("p_partkey") % 30).alias("year")
+        held = part.where(F.col("p_partkey") % 4 <= place)
+        return held.select(
+            F.col("p_name").alias("title"), year, (F.col("p_partkey") % 50).alias("citation_count"), F.col("p_partkey").alias("rank")
+        )
+
+    found = titles.metadata_by_title(papers, {source: catalog(place) for place, source in enumerate(A.SOURCES)})
+    return found.select("ord", F.col("Year").cast("double"), "Citation_Count", "Metadata_Source")
+
+
 def _digest_service(place, reply):
     """A metadata service that knows the titles whose MD5 has a low digit at ``place``."""
 
