@@ -784,13 +784,16 @@ def classify_papers(spark, sf_dir):
 
 @query(
     f"""select p.ord, p.title, case when h.search_key is null then ''
-         when n.title is null then 'Unclassified' else substr(md5(p.title), 1, 1) end as category
+         when n.title is null then 'Unclassified'
+         when h.batches > 1 and h.groups > 4 then substr(md5(p.title), 1, 1) else substr(md5(p.title), 1, 2) end as category
        from doc_papers p
-         left join (select distinct search_key from doc_papers where not {V.sql_blank("llm_summary")}) h
+         left join (
+           select search_key, count(distinct batch) as batches, count(distinct substr(md5(title), 1, 2)) as groups
+           from batched where entry is not null group by search_key) h
            on p.search_key = h.search_key
          left join (select distinct search_key, title from doc_papers where not {V.sql_blank("llm_summary")}) n
            on p.search_key = n.search_key and p.title = n.title""",
-    ("doc_papers",),
+    ("doc_papers", "batched"),
 )
 def merged_categories(spark, sf_dir):
     done = batches.classify_papers(
