@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.urls import is_arxiv, pdf_filename, pdf_path, pdf_url
-from paperloom.operators.lookup import lookup
+from paperloom.operators.lookup import lookup, prefilter
 
 REUSE, FETCH, NO_ARXIV = "reuse", "fetch", "no_arxiv"
 
@@ -61,8 +61,9 @@ def pdf_todo(targets: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def pdf_reused(targets: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files wanted and already there, with the number of papers using each."""
-    files = targets.where(F.col("pdf_path").isNotNull()).groupBy("pdf_path").agg(F.count(F.lit(1)).alias("papers"))
+    """Files wanted and already there, with the number of papers using each. A
+    filter of the files there keeps most others from being counted."""
+    files = prefilter(targets, manifest, "pdf_path").groupBy("pdf_path").agg(F.count(F.lit(1)).alias("papers"))
     return files.join(manifest, "pdf_path", "left_semi")
 
 

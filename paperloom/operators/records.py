@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import label
 from paperloom.functions.urls import SITE, absolute_url, arxiv_id, listing_url
-from paperloom.operators.lookup import lookup
+from paperloom.operators.lookup import lookup, prefilter
 from paperloom.operators.select import Rule, attribute, find, find_by_priority, find_nested, text_of
 from paperloom.schemas import EXPORT_FIELDS
 from paperloom.sources.durable import cut_lineage
@@ -144,11 +144,12 @@ def records_for_links(links: DataFrame, pages: DataFrame, **options) -> DataFram
     """Records of listed links, in listing order, one per link.
 
     A link with no page becomes an error record. Only linked pages are parsed;
-    of several pages with one url the first counts, chosen among the records,
+    a filter of the listed links at the scan keeps most others out of the count
+    and the shuffle. Of several pages with one url the first counts, chosen among the records,
     which are small, not among the pages.
     """
     urls = links.select("url").distinct()
-    linked = lookup(pages, urls, "url", spread_by=["page_id"], how="left_semi")
+    linked = lookup(prefilter(pages, urls, "url"), urls, "url", spread_by=["page_id"], how="left_semi")
     records = paper_records(linked, **options)
     fields = [name for name in records.columns if name not in ("page_id", "url")]
     first = records.groupBy("url").agg(F.min_by(F.struct(*fields), "page_id").alias("record"))
