@@ -11,8 +11,12 @@ text any language has most n-grams once; its score is the share of all n-grams.
 N-grams are counted per batch in the tasks and summed by key, so what is
 shuffled is bounded by the n-grams of a batch, not by the text; the n-grams of
 one language, which may have most documents, spread over all keys. The filter
-has LOAD rows for each n-gram of the language that has most, ROWS at least, and goes
-to the tasks by broadcast; the different n-grams come to the driver.
+has LOAD rows for each n-gram of the language that has most, ROWS at least, and
+MASKS masks of 64 bits in all at most. Its bit slices are put together in the tasks:
+n-grams become masks of filter rows there, which are OR-ed by key. Only the masks, two
+longs each, come to the driver and go on by broadcast, so both are bounded whatever
+the number of n-grams. All n-grams are in the filter also where it has reached its
+largest size; it is wrong more often then, which the correction takes out of the shares.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 so is every text if nothing was learned. A text with letters and no known n-gram
@@ -40,8 +44,9 @@ UNKNOWN = "und"
 SHARE = 1e-4
 #: Letters of an n-gram; a word's edge counts as a letter. Three fit in one long.
 N = 3
-#: Least rows of the filter, a power of two, rows per n-gram, and rows an n-gram is spread over.
+#: Least rows of the filter, most masks, both powers of two, rows per n-gram, and rows an n-gram is spread over.
 ROWS = 1 << 20
+MASKS = 1 << 24
 LOAD = 8
 PROBES = 3
 BITS = 21
@@ -139,31 +144,66 @@ class Filter:
         return np.array([float(b.mean()) ** PROBES for b in bits])
 
 
+def _size(most: int, bits: int) -> tuple[int, int]:
+    """Rows of the filter and masks in a row, for ``most`` n-grams in one language."""
+    words = max(1, -(-bits // 64))
+    wanted = max(ROWS, 1 << (LOAD * most - 1).bit_length()) if most else ROWS
+    return min(wanted, 1 << (MASKS // words).bit_length() - 1), words
+
+
+def _slices(bit: np.ndarray, gram: np.ndarray, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the masks that are not zero, counted through all rows, and the masks, as longs,
+    for bit ``bit[i]`` set in the rows of ``gram[i]``."""
+    slot = np.concatenate([places * words + bit // 64 for places in _places(gram, rows)])
+    mask = np.tile(np.uint64(1) << (bit % 64).astype(np.uint64), PROBES)
+    order = np.argsort(slot, kind="stable")
+    slot, mask = slot[order], mask[order]
+    first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+    return slot[first], np.bitwise_or.reduceat(mask, first).view(np.int64) if len(slot) else np.zeros(0, np.int64)
+
+
+def _dense(slot: np.ndarray, mask: np.ndarray, rows: int, words: int) -> np.ndarray:
+    masks = np.zeros(rows * words, dtype=np.uint64)
+    masks[slot] = mask.view(np.uint64)
+    return masks.reshape(rows, words)
+
+
 Grams = Iterable[tuple[str, int | np.ndarray]]
 
 
 def build(kept: Grams, languages: list[str], marked: Grams = ()) -> Filter:
-    """The filter of ``(language, n-gram or array of them)``."""
+    """The filter of ``(language, n-gram or array of them)`` at hand; see ``learn`` for those of a table."""
     held: list[list[np.ndarray]] = [[] for _ in range(2 * len(languages))]
     number = {name: i for i, name in enumerate(languages)}
     for first, pairs in ((0, kept), (len(languages), marked)):
         for name, gram in pairs:
             held[first + number[name]].append(np.atleast_1d(np.asarray(gram, dtype=np.int64)))
-    most = max((sum(map(len, parts)) for parts in held), default=0)
-    rows = max(ROWS, 1 << (LOAD * most - 1).bit_length()) if most else ROWS
-    masks = np.zeros((rows, max(1, -(-len(held) // 64))), dtype=np.uint64)
-    for bit, parts in enumerate(held):
-        for gram in parts:
-            for places in _places(gram, rows):
-                masks[places, bit // 64] |= np.uint64(1 << bit % 64)
-    return Filter(tuple(languages), masks)
+    sizes = [sum(map(len, parts)) for parts in held]
+    rows, words = _size(max(sizes, default=0), len(held))
+    every = [gram for parts in held for gram in parts]
+    gram = np.concatenate(every) if every else np.zeros(0, np.int64)
+    bit = np.repeat(np.arange(len(held)), sizes)
+    return Filter(tuple(languages), _dense(*_slices(bit, gram, rows, words), rows, words))
+
+
+def bit_slices(numbered: DataFrame, rows: int, words: int) -> DataFrame:
+    """``(slot, mask)`` of ``(bit, gram)``: the masks of the filter that are not zero."""
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            slot, mask = _slices(frame["bit"].to_numpy(np.int64), frame["gram"].to_numpy(np.int64), rows, words)
+            yield pd.DataFrame({"slot": slot, "mask": mask})
+
+    filled = numbered.mapInPandas(fill, "slot long, mask long")
+    return filled.groupBy("slot").agg(F.bit_or("mask").alias("mask"))
 
 
 def learn(documents: DataFrame, *, text: str = "text", lang: str = "lang", share: float = SHARE) -> Filter:
-    """Counts n-grams in Spark; the different ones of every language come to the driver."""
+    """Counts n-grams and fills the filter in Spark; one row per language and the masks come to the driver."""
     # Totals beside the counts: a window over a language would put all its n-grams in one task.
     counted = cut_lineage(count_grams(documents, text=text, lang=lang), "grams")
-    totals = {row["lang"]: row["n"] for row in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    per_language = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).collect()
+    totals = {row["lang"]: row["n"] for row in per_language}
     sizes = {
         row["lang"]: row["n"]
         for row in documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
@@ -178,10 +218,12 @@ def learn(documents: DataFrame, *, text: str = "text", lang: str = "lang", share
     for i, name in enumerate(languages):
         number = F.when(F.col("lang") == name, F.lit(i)).otherwise(number)
         least = F.when(F.col("lang") == name, F.lit(totals.get(name, 0) * share)).otherwise(least)
-    kept = counted.select(number.cast("int").alias("number"), "gram", (F.col("n") >= least).alias("marked")).toArrow()
-    of, gram, marked = (kept.column(c).to_numpy() for c in ("number", "gram", "marked"))
-    every = [(name, gram[of == i]) for i, name in enumerate(languages)]
-    return build(every, languages, [(name, gram[(of == i) & marked]) for i, name in enumerate(languages)])
+    rows, words = _size(max((row["grams"] for row in per_language), default=0), 2 * len(languages))
+    marked = F.when(F.col("n") >= least, number + len(languages))
+    bits = F.explode(F.array_compact(F.array(number, marked)))
+    held = bit_slices(counted.select(bits.alias("bit"), "gram"), rows, words).toArrow()
+    slot, mask = (held.column(c).to_numpy() for c in ("slot", "mask"))
+    return Filter(tuple(languages), _dense(slot, mask, rows, words))
 
 
 def identify(documents: DataFrame, model: Filter, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from paperloom.llm import language
@@ -73,3 +74,31 @@ def test_query_against_sets(spark, monkeypatch, share):
         assert abs(score - scores[langs.index(lang)]) < 1e-6
     assert sum(len(langs) == 1 for _, _, langs, _ in expected) > 0.8 * len(expected)
     assert len({r[2] for r in found}) == 4
+
+
+@pytest.mark.parametrize("names", [["a", "b"], [f"l{i:02}" for i in range(40)]])
+def test_slices_from_tasks_equal_those_at_hand(spark, monkeypatch, names):
+    monkeypatch.setattr(language, "ROWS", 1 << 8)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("bcdfg") + rng.choice("aeiouäß") + rng.choice("klmnp") for _ in range(30)), rng.choice(names)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts, sizes = defaultdict(Counter), Counter(lang for _, _, lang in rows)
+    for _, text, lang in rows:
+        counts[lang].update(language.grams([text])[0].tolist())
+    order = sorted(sizes, key=lambda lang: (-sizes[lang], lang))
+    often = [(lang, g) for lang in order for g, n in counts[lang].items() if n >= 0.01 * sum(counts[lang].values())]
+    plain = language.build([(lang, g) for lang in order for g in counts[lang]], order, often)
+    found = language.learn(docs, share=0.01)
+    assert found.languages == plain.languages
+    assert found.masks.shape == plain.masks.shape and (found.masks == plain.masks).all()
+
+
+def test_filter_stops_growing_and_still_holds_every_gram(monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 1 << 8)
+    monkeypatch.setattr(language, "MASKS", 1 << 10)
+    gram = np.arange(1000)
+    model = language.build([("a", gram), ("b", gram[:5])], ["a", "b"])
+    assert model.masks.size == 1 << 10
+    held = np.bitwise_and.reduce([model.masks[r] for r in language._places(gram, len(model.masks))])[:, 0]
+    assert (held & np.uint64(1)).all() and (held[:5] & np.uint64(2)).all()
+    assert 0.5 < model.false_positives()[0] < 1 and model.false_positives()[1] < 0.01
