@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.sources.durable import cut_lineage
 
+# Places words are hashed to, and times the centers are moved.
 FEATURES = 1 << 14
+ROUNDS = 5
+# Vectors have this length; weights are whole numbers, so that sums of them do not
+# depend on their order.
+LENGTH = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -35,34 +41,148 @@ def word_weights(docs: DataFrame, text: str = "text") -> DataFrame:
     return used.join(_document_counts(cut), "word").select("word", "n", "docs", weight.alias("weight"))
 
 
-def topic_clusters(
-    docs: DataFrame, num_categories: int = 4, seed: int = 42, features: int = FEATURES, key: str = "doc_id"
-) -> DataFrame:
-    """``(key, cluster, topic)``: k-means over hashed TF-IDF, named by the three
-    heaviest words of each cluster.
+def _places(cut: Column, features: int) -> Column:
+    """The place of each word: the first seven hex digits of its MD5."""
+    return F.transform(
+        cut, lambda word: (F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint") % features).cast("int")
+    )
 
-    Every word counts: words are hashed to ``features`` places, so there is no
-    vocabulary to learn, and the centers, the only thing that comes to the
-    driver, have a fixed size. Names come from the words themselves, counted per
-    cluster in Spark. A cluster without words has an empty name.
+
+VECTOR = T.StructType(
+    [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
+)
+
+
+@F.pandas_udf(VECTOR)
+def _counted(places: pd.Series) -> pd.DataFrame:
+    pairs = [np.unique(each, return_counts=True) for each in places]
+    return pd.DataFrame({"places": [place for place, _ in pairs], "counts": [count for _, count in pairs]})
+
+
+def _weighed(vectors: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, place and whole-number weight of each entry, and which vectors have a length."""
+    sizes = np.fromiter((len(each) for each in vectors["places"]), dtype=np.int64, count=len(vectors))
+    owner = np.repeat(np.arange(len(vectors)), sizes)
+    place = np.concatenate([np.zeros(0, np.int64), *vectors["places"]]).astype(np.int64)
+    weight = np.concatenate([np.zeros(0, np.int64), *vectors["counts"]]) * idf[place]
+    norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(vectors)))
+    scaled = np.rint(LENGTH * weight / np.where(norm > 0, norm, 1.0)[owner]).astype(np.int64)
+    return owner, place, scaled, norm > 0
+
+
+def _products(vectors: pd.DataFrame, idf: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner product of each vector with each center, and which vectors have a length.
+
+    At most the square of ``LENGTH``, so doubles hold the sums exactly.
     """
-    cut = docs.select(key, words(F.col("text")).alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=features).transform(cut)
-    # Kept, so that the passes below do not cut the texts into words again.
-    counts = cut_lineage(hashed, "words")
-    weighted = IDF(inputCol="counts", outputCol="features").fit(counts).transform(counts)
-    model = KMeans(k=num_categories, seed=seed, predictionCol="cluster").fit(weighted.select("features"))
-    clustered = cut_lineage(model.transform(weighted).select(key, "cluster", "words"), "clusters")
-    used = clustered.select("cluster", F.explode("words").alias("word"))
-    used = used.groupBy("cluster", "word").agg(F.count("*").alias("n"))
-    scored = used.join(_document_counts(clustered), "word").select(
-        "cluster", "word", _weight(F.col("n"), F.col("docs"), clustered.count()).alias("weight")
+    owner, place, weight, real = _weighed(vectors, idf)
+    products = [np.bincount(owner, weights=weight * center[place], minlength=len(vectors)) for center in centers]
+    return np.array(products).reshape(len(centers), len(vectors)).T.astype(np.int64), real
+
+
+def _seeds(kept: DataFrame, key: str, idf: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Documents far from each other: each next one has the least greatest product
+    with those before, ties by a hash of its key. One row per pass comes back."""
+    features = len(idf)
+    centers = np.zeros((0, features), dtype=np.int64)
+    while len(centers) < k:
+        chosen = centers
+
+        @F.pandas_udf("long")
+        def nearness(vectors: pd.DataFrame) -> pd.Series:
+            products, real = _products(vectors, idf, chosen)
+            return pd.Series(products.max(axis=1, initial=0)).where(real).astype("Int64")
+
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+        ranked = kept.select(nearness("vector").alias("near"), digest.alias("digest"), "vector").where("near is not null")
+        least = ranked.agg(F.min(F.struct("near", "digest", "vector"))).scalar()
+        row = kept.sparkSession.range(1).select(least.alias("least")).first().least
+        if row is None:  # no document has a word that others lack
+            return np.zeros((k, features), dtype=np.int64)
+        _, place, weight, _ = _weighed(pd.DataFrame([row.vector.asDict()]), idf)
+        center = np.zeros(features, dtype=np.int64)
+        center[place] = weight
+        centers = np.vstack([centers, center])
+    return centers
+
+
+def _moved(kept: DataFrame, idf: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The mean directions of the documents nearest to each center; one without documents stays."""
+    k, features = centers.shape
+
+    def sums(frames):
+        total = np.zeros((k, features), dtype=np.int64)
+        for frame in frames:
+            cluster = _products(frame, idf, centers)[0].argmax(axis=1)
+            owner, place, weight, _ = _weighed(frame, idf)
+            added = np.bincount(cluster[owner] * features + place, weights=weight, minlength=k * features)
+            total += added.astype(np.int64).reshape(k, features)
+        cluster, place = np.nonzero(total)
+        yield pd.DataFrame({"cluster": cluster, "place": place, "total": total[cluster, place]})
+
+    added = kept.select("vector.*").mapInPandas(sums, "cluster int, place int, total long")
+    added = added.groupBy("cluster", "place").agg(F.sum("total").alias("total")).toPandas()
+    total = np.zeros((k, features))
+    total[added["cluster"], added["place"]] = added["total"]
+    norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
+    return np.where(norm > 0, np.rint(LENGTH * total / np.where(norm > 0, norm, 1.0)).astype(np.int64), centers)
+
+
+def _names(clustered: DataFrame, documents: int, top: int = 3) -> DataFrame:
+    """``(cluster, topic)``: the heaviest words of each cluster, from one pass over sorted words."""
+    first = F.transform(
+        "words", lambda word, i: F.struct(word.alias("word"), ((i == 0) | (F.get("words", i - 1) != word)).alias("first"))
     )
+    used = clustered.select("cluster", F.inline(first)).groupBy("cluster", "word")
+    used = used.agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
+    # At most one entry per cluster.
+    per_word = used.groupBy("word").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("cluster", "n")).alias("uses"))
+    scored = per_word.select("word", "docs", F.inline("uses"))
+    scored = scored.select("cluster", "word", F.round(_weight(F.col("n"), F.col("docs"), documents), 6).alias("weight"))
     order = Window.partitionBy("cluster").orderBy(F.desc("weight"), "word")
-    top = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
-    names = top.groupBy("cluster").agg(
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.groupBy("cluster").agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(rank, word))), x -> x.word), ' ')").alias("topic")
     )
+
+
+def topic_clusters(
+    docs: DataFrame,
+    num_categories: int = 4,
+    seed: int = 42,
+    features: int = FEATURES,
+    key: str = "doc_id",
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """``(key, cluster, topic)``: spherical k-means over hashed TF-IDF, named by the
+    three heaviest words of each cluster.
+
+    Every word counts: words are hashed to ``features`` places, so there is no
+    vocabulary to learn, and the centers and document counts per place, the only
+    things that come to the driver, have a fixed size. Weights are whole numbers:
+    the same documents give the same clusters however they lie in partitions.
+    Centers start from documents far from each other. The nearest center has the
+    largest product, ties to the smaller number; documents without a word that
+    others lack are in cluster 0. A cluster without words has an empty name.
+    """
+    cut = docs.select(key, F.array_sort(words(F.col("text"))).alias("words"))
+    # Kept, so that the passes below do not cut the texts into words again.
+    kept = cut_lineage(cut.withColumn("vector", _counted(_places(F.col("words"), features))), "words")
+    total = kept.count()
+    spread_over = kept.select(F.explode("vector.places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    found = spread_over.toPandas()
+    held = np.zeros(features)
+    held[found["place"]] = found["n"]
+    idf = np.log((total + 1.0) / (held + 1.0))
+    centers = _seeds(kept, key, idf, num_categories, seed)
+    for _ in range(rounds):
+        centers = _moved(kept, idf, centers)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.DataFrame) -> pd.Series:
+        return pd.Series(_products(vectors, idf, centers)[0].argmax(axis=1))
+
+    clustered = cut_lineage(kept.select(key, "words", nearest("vector").alias("cluster")), "clusters")
     # One row per cluster, of which there are num_categories.
-    named = clustered.join(F.broadcast(names), "cluster", "left")
+    named = clustered.join(F.broadcast(_names(clustered, total)), "cluster", "left")
     return named.select(key, "cluster", F.coalesce("topic", F.lit("")).alias("topic"))

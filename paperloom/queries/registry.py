@@ -978,6 +978,55 @@ def topic_weights(spark, sf_dir):
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-@query()
+def _topics_sql(k: int = 4, rounds: int = topics.ROUNDS, seed: int = 42) -> str:
+    """Spherical k-means step by step: seeds far from each other, then the rounds."""
+
+    def nearest(name: str, centers: str) -> str:
+        return f"""{name} as materialized (
+          select doc_id, coalesce(arg_max(c, (dot, -c)), 0) as c from (
+            select d.doc_id, s.c, s.dot from (select distinct doc_id from documents) d left join (
+              select v.doc_id, t.c, sum(v.w * t.w) as dot from vectors v join {centers} t on v.place = t.place
+              group by v.doc_id, t.c) s on s.doc_id = d.doc_id)
+          group by doc_id)"""
+
+    parts = [
+        r"""words as materialized (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'),
+            lambda w: w <> '')) as word from documents),
+          total as (select count(*) as docs from documents)""",
+        f"""counts as materialized (select doc_id, cast('0x' || substr(md5(word), 1, 7) as int) % {topics.FEATURES} as place,
+            count(*) as n from words group by all)""",
+        """weights as (select doc_id, place, n * ln((docs + 1e0) / (held + 1e0)) as x
+            from counts join (select place, count(*) as held from counts group by place) using (place) cross join total)""",
+        f"""vectors as materialized (select doc_id, place, cast(round({topics.LENGTH} * x / norm) as bigint) as w
+            from (select *, sqrt(sum(x * x) over (partition by doc_id)) as norm from weights) where norm > 0)""",
+        f"""ordered as (select distinct doc_id, md5(concat('{seed}:', doc_id)) as digest from vectors)""",
+        """seeds1 as materialized (select 0 as c, arg_min(doc_id, digest) as doc_id from ordered)""",
+    ]
+    for i in range(1, k):
+        parts.append(f"""seeds{i + 1} as materialized (select * from seeds{i} union all
+          select {i}, arg_min(doc_id, (near, digest)) from (
+            select o.doc_id, o.digest, coalesce(max(s.dot), 0) as near from ordered o left join (
+              select v.doc_id, t.c, sum(v.w * u.w) as dot from seeds{i} t join vectors u on u.doc_id = t.doc_id
+              join vectors v on v.place = u.place group by v.doc_id, t.c) s on s.doc_id = o.doc_id
+            group by o.doc_id, o.digest))""")
+    parts.append(f"centers0 as materialized (select c, place, w from seeds{k} join vectors using (doc_id))")
+    for r in range(rounds):
+        parts.append(nearest(f"nearest{r}", f"centers{r}"))
+        parts.append(f"""centers{r + 1} as materialized (
+          with sums as (select c, place, sum(w)::double as s from nearest{r} join vectors using (doc_id) group by c, place)
+          select c, place, cast(round({topics.LENGTH} * s / sqrt(sum(s * s) over (partition by c))) as bigint) as w from sums
+          union all select * from centers{r} where c not in (select c from sums))""")
+    parts.append(nearest("clustered", f"centers{rounds}"))
+    return f"""with {", ".join(parts)},
+      names as (select c, string_agg(word, ' ' order by rank) as topic from (
+        select *, row_number() over (partition by c order by weight desc, word) as rank from (
+          select c, word, round(count(*) * ln(((select docs from total) + 1e0) / (any_value(f.docs) + 1e0)), 6) as weight
+          from words join clustered using (doc_id)
+          join (select word, count(distinct doc_id) as docs from words group by word) f using (word) group by c, word))
+        where rank <= 3 group by c)
+      select doc_id, cast(c as int) as cluster, coalesce(topic, '') as topic from clustered left join names using (c)"""
+
+
+@query(_topics_sql())
 def topic_clusters(spark, sf_dir):
     return topics.topic_clusters(spread(V.documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))

@@ -170,6 +170,28 @@ def test_topics(spark):
     assert all(len(topic.split()) == 3 for _, topic in found.values())
 
 
+def test_topics_do_not_depend_on_partitions(spark):
+    rows = [(n, " ".join(f"w{(n * n + i * (n % 3 + 1)) % 37}" for i in range(12)) if n % 11 else None) for n in range(120)]
+    rows += [(200, ""), (201, "w1 " * 5000), (7, rows[7][1])]  # without words, very long, a row twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(topics.topic_clusters(docs.coalesce(1), 3).collect())
+    assert one == sorted(topics.topic_clusters(docs.repartition(5), 3).collect())
+    assert len(one) == len(rows) and len({row.cluster for row in one}) == 3
+    assert {row.cluster for row in one if row.doc_id in (0, 200)} == {0}
+
+
+def test_topics_of_little(spark):
+    def clusters(*texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return sorted(tuple(row) for row in topics.topic_clusters(docs, 3, rounds=1).collect())
+
+    assert clusters() == []
+    assert clusters(None, "?") == [(0, 0, ""), (1, 0, "")]
+    # One word in all documents tells them apart no more than none does.
+    assert clusters("same", "same") == [(0, 0, "same"), (1, 0, "same")]
+    assert [cluster for _, cluster, _ in clusters("a", "a", "b", "c")][:2] in ([0, 0], [1, 1], [2, 2])
+
+
 def test_every_listed_document_is_answered(spark):
     from paperloom.plans.paper_qa import answer_table
 
