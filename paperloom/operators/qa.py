@@ -32,17 +32,20 @@ def number_questions(rows: DataFrame, *keys: str, text: str = "text") -> DataFra
     )
 
 
-def page_text(pages: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
+def page_text(pages: DataFrame, max_pages: int | None = MAX_PAGES, limit: int | None = None) -> DataFrame:
     """``(doc_id, content)``: marked texts of the first pages, empty pages left out.
 
-    Page numbers count empty pages too. The page limit reaches the scan.
+    Page numbers count empty pages too. The page limit reaches the scan. With a
+    ``limit`` only the first so many characters are wanted: each page is cut to
+    them before the shuffle and the joined text once more, so a document moves at
+    most ``limit`` characters per page read, however long its pages are.
     """
     if max_pages is not None and max_pages < 1:
         raise ValueError("max_pages must be positive")
     read = pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)
-    marked = read.select("doc_id", "page_no", _marked_page().alias("piece"))
+    marked = read.select("doc_id", "page_no", truncate(_marked_page(), limit).alias("piece"))
     joined = F.expr("listagg(piece, '\\n\\n') within group (order by page_no)")
-    return marked.groupBy("doc_id").agg(F.coalesce(joined, F.lit("")).alias("content"))
+    return marked.groupBy("doc_id").agg(truncate(F.coalesce(joined, F.lit("")), limit).alias("content"))
 
 
 def _marked_page() -> Column:
@@ -111,7 +114,7 @@ def answer_questions(
     and kept, as prompts and answers both need them.
     """
     listed = (pages if documents is None else documents).select("doc_id").distinct()
-    read = listed.join(page_text(pages, max_pages), "doc_id", "left")
+    read = listed.join(page_text(pages, max_pages, limit), "doc_id", "left")
     contents = cut_lineage(read.select("doc_id", F.coalesce("content", F.lit("")).alias("content")), "contents")
     prompts = qa_prompts(contents, questions, template, limit)
     answered = enrich(prompts, F.col("prompt"), service, ["doc_id", "q_idx"], parallelism, store, max_tokens=QA_BUDGET)

@@ -178,6 +178,11 @@ def export_papers(papers: DataFrame) -> DataFrame:
     return without_errors(papers).select(*EXPORT_FIELDS).na.fill("")
 
 
+def fill_selected(papers: DataFrame, columns: Sequence[str] = ("llm_summary", "abstract")) -> DataFrame:
+    """NULL as the empty string in the named text columns, if there; others stay as they are."""
+    return papers.na.fill("", subset=[name for name in columns if name in papers.columns])
+
+
 def clean_nulls(papers: DataFrame) -> DataFrame:
     """Every column as text, NULL as the empty string."""
     return papers.select([F.col(name).cast("string").alias(name) for name in papers.columns]).na.fill("")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paperloom.functions.prompts import BATCH_TEMPLATE
-from paperloom.functions.urls import SITE
+from paperloom.functions.urls import SITE, papers_file_name
 from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
@@ -23,6 +25,7 @@ from paperloom.operators.records import (
 )
 from paperloom.operators.select import Rule
 from paperloom.sources.durable import cut_lineage
+from paperloom.sources.files import file_name, write_papers
 
 
 @dataclass(frozen=True)
@@ -94,3 +97,11 @@ def paper_table(listing: DataFrame, pages: DataFrame, options: CrawlOptions) ->
     for stage in stages:
         papers = stage(cut_lineage(papers, "papers"))
     return papers
+
+
+def save_papers(papers: DataFrame, folder: str, words: Sequence[str], name: str | None = None) -> str:
+    """Write a run's papers, errors included, under a name made of its words; returns the path."""
+    if not words and name is None:
+        raise ValueError("words or a name are needed")
+    target = name or file_name(papers.sparkSession, papers_file_name(F.array(*[F.lit(word) for word in words])))
+    return write_papers(papers, posixpath.join(folder, target))

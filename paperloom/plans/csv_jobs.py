@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.urls import classified_file_name, translated_file_name
 from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
 from paperloom.sources.durable import cut_lineage
-from paperloom.sources.files import read_papers, write_papers
+from paperloom.sources.files import file_name, read_papers, write_papers
 
 
 def _base(path: str) -> str:
@@ -45,7 +46,7 @@ def translate_csv(
     store: AnswerStore | None = None,
 ) -> str:
     """Translate the abstracts of a paper file; returns the path written."""
-    target = name or f"{_base(source)}_translated_{language.replace('-', '_')}.csv"
+    target = name or file_name(spark, translated_file_name(F.lit(_base(source)), F.lit(language)))
     read = numbered(read_papers(spark, source))
     papers = translate_abstracts(read, service, parallelism=parallelism, language=language, store=store)
     return write_papers(_finished(papers), posixpath.join(folder, target))
@@ -63,7 +64,7 @@ def classify_csv(
     store: AnswerStore | None = None,
 ) -> str:
     """Classify the papers of a file; returns the path written."""
-    target = name or f"{_base(source)}_classified.csv"
+    target = name or file_name(spark, classified_file_name(F.lit(_base(source))))
     papers = numbered(read_papers(spark, source)).withColumn("source_file", F.lit(source))
     done = classify_papers(papers, service, words, num_categories, bucket="source_file", parallelism=parallelism, store=store)
     return write_papers(_finished(done), posixpath.join(folder, target))

@@ -288,7 +288,7 @@ def records_ok(spark, sf_dir):
     ("doc_papers",),
 )
 def fill_selected(spark, sf_dir):
-    return V.doc_papers(spark, sf_dir).na.fill("", subset=["llm_summary", "abstract"])
+    return records.fill_selected(V.doc_papers(spark, sf_dir))
 
 
 _CLEAN = "select cast(ord as varchar) as ord, " + ", ".join(
@@ -897,7 +897,7 @@ _PROMPT = """concat('Text:', chr(10), substr(content, 1, 8000), chr(10), 'Questi
     ("page_text", "questions"),
 )
 def qa_prompts(spark, sf_dir):
-    return qa.qa_prompts(qa.page_text(V.doc_pages(spark, sf_dir)), V.QUESTIONS, V.READING)
+    return qa.qa_prompts(qa.page_text(V.doc_pages(spark, sf_dir), limit=P.TEXT_LIMIT), V.QUESTIONS, V.READING)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,11 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def file_name(spark: SparkSession, name: Column) -> str:
+    """A name of ``paperloom.functions.urls`` for the program, of literal words."""
+    return spark.range(1).select(name.alias("name")).first().name
+
+
 def pdf_listing(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, pdf_filename, length)`` of the PDF files directly in a folder.
 

@@ -201,3 +201,25 @@ def test_every_listed_document_is_answered(spark):
     found = {row.doc_id: row.answer_1 for row in wide.collect()}
     assert found["b"] == found["c"] == qa.NO_TEXT and found["a"] != qa.NO_TEXT
     assert {row.doc_id for row in answer_table(pages, ["q"], lambda: lambda text: str(len(text))).collect()} == {"a", "b"}
+
+
+def test_text_limit_reaches_the_pages(spark):
+    rows = [("a", 1, "x" * 50), ("a", 2, ""), ("a", 3, "y" * 400), ("b", 1, "é" * 5), ("c", 1, None)]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
+    for limit in (1, 15, 64, 66, 80, 81, 1000):
+        cut = dict(qa.page_text(pages, limit=limit).collect())
+        assert cut == {doc: content[:limit] for doc, content in qa.page_text(pages).collect()}
+
+
+def test_answers_for_a_folder(spark, tmp_path):
+    from paperloom.plans.paper_qa import answer_folder, save_answers
+
+    for name in ("a.pdf", "b.pdf", "c.txt"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    pages = spark.createDataFrame([("a.pdf", 1, "text"), ("z.pdf", 1, "gone")], "doc_id string, page_no int, text string")
+    wide = answer_folder(spark, str(tmp_path), pages, ["q"], lambda: lambda text: "told")
+    assert {row.doc_id: row.answer_1 for row in wide.collect()} == {"a.pdf": "told", "b.pdf": qa.NO_TEXT}
+    path = save_answers(wide, str(tmp_path / "out"), "set")
+    assert re.fullmatch(r"paper_qa_set_\d{8}_\d{6}\.csv", path.rsplit("/", 1)[1])
+    with pytest.raises(ValueError):
+        answer_folder(spark, str(tmp_path / "out"), pages, ["q"], lambda: lambda text: "told")

@@ -145,3 +145,20 @@ def test_preview_shows_what_is_there(spark):
     assert [tuple(row) for row in records.preview(papers).collect()] == [
         (1, "t...", "a...", "c", 2020, None, "p"), (2, "u...", "b...", None, None, 3, None)
     ]
+
+
+def test_save_papers_by_words(spark, tmp_path):
+    from paperloom.plans.crawl import save_papers
+
+    papers = spark.createDataFrame([(1, "t", None), (2, None, "page not found")], "ord int, title string, error string")
+    path = save_papers(papers, str(tmp_path), ["graph", "nets"])
+    assert path.endswith("/papers_graph_nets.csv")
+    found = spark.read.csv(path, header=True).orderBy("ord").collect()
+    assert [tuple(row) for row in found] == [("1", "t", None), ("2", None, "page not found")]
+    with pytest.raises(ValueError):
+        save_papers(papers, str(tmp_path), [])
+
+
+def test_fill_selected(spark):
+    papers = spark.createDataFrame([(None, None)], "abstract string, title string")
+    assert records.fill_selected(papers).first() == ("", None)
