@@ -319,3 +319,28 @@ def test_cut_against_all_labellings():
 def test_long_pages():
     for page in ("<div>" * 20_000 + "x", "<p><b>x " * 20_000, "<li>a. <a>b</a>" * 20_000, '<a "' * 20_000, "<!--" * 20_000):
         main_text.main_text(page, np.array(main_text.START))
+
+
+def test_article_text_is_not_taken_for_noise():
+    long = "The keeper of the lamp wrote down each ship that passed, and what it carried."
+    cases = [
+        (f"<article><h1>H</h1><p class='byline'>By Ann Lee</p><p>{long}</p></article><footer>f</footer>", f"H\nBy Ann Lee\n{long}"),
+        (f"<article class='search-results'><h1>H</h1><p>{long}</p></article><footer>f</footer>", f"H\n{long}"),
+        (f"<article><p>{long}</p><p>Thus <math><mi>x</mi></math> holds.</p></article>", f"{long}\nThus x holds."),
+        (f"<p>{long} {long}</p><p>{long}</p><p><a href=x>read the whole series here</a></p>", f"{long} {long}\n{long}\nread the whole series here"),
+        # Outside an article, and for what an article never holds, the signs count.
+        (f"<div class='search'><p>Find a book</div><article><p>{long}</p><div class='comments'><p>{long}</p></div></article>", long),
+        (f"<article><p>{long}</p><div class='comments'><p>{long * 9}</p><p>{long * 4}</p></div></article>", long),
+        (f"<ul><li><a>m</a><li><a>n</a></ul><div class=ad>Buy now. It is good.</div><p>{long} {long}</p><div class=ad>Buy it.</div><p>{long}</p>", f"{long} {long}\n{long}"),
+    ]
+    for weights in (np.array(main_text.START), main_text.fit([PAGE] * 3)):
+        for page, text in cases:
+            assert main_text.main_text(page, weights) == text
+
+
+def test_cut_changes_labels_of_the_classifier_alone():
+    long = "The keeper of the lamp wrote down each ship that passed, and what it carried."
+    found = main_text.blocks(f"<p>{long} {long}</p><p>{long}</p><p><a href=x>read the whole series here</a></p>")
+    weights = np.array(main_text.START)
+    assert [bool(np.array(main_text.features(b)) @ weights > 0) for b in found] == [True, True, False]
+    assert main_text.label(found, weights) == [True, True, True]
