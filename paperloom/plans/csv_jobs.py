@@ -13,7 +13,7 @@ from paperloom.operators.answer_store import AnswerStore
 from paperloom.operators.batches import classify_papers
 from paperloom.operators.enrich import Service, translate_abstracts
 from paperloom.sources.durable import cut_lineage
-from paperloom.sources.files import file_name, read_papers, write_papers
+from paperloom.sources.files import file_name, read_split_papers, write_papers
 
 
 def _base(path: str) -> str:
@@ -24,11 +24,12 @@ def _base(path: str) -> str:
 _OWN = ("ord", "source_file")
 
 
-def numbered(papers: DataFrame) -> DataFrame:
-    """Add ``ord``: unique, in file order, consecutive within a partition. The
-    numbers are written down, as later steps rely on seeing the same ones."""
+def numbered(spark: SparkSession, source: str) -> DataFrame:
+    """The papers of a file or folder, read by many tasks, with ``ord``: unique and in
+    file order. They are written down, as later steps read them more than once."""
+    papers = read_split_papers(spark, source, position="_place")
     aside = papers.withColumnsRenamed({name: f"_file_{name}" for name in _OWN})
-    return cut_lineage(aside.withColumn("ord", F.monotonically_increasing_id()))
+    return cut_lineage(aside.withColumnRenamed("_place", "ord"))
 
 
 def _finished(papers: DataFrame) -> DataFrame:
@@ -47,8 +48,7 @@ def translate_csv(
 ) -> str:
     """Translate the abstracts of a paper file; returns the path written."""
     target = name or file_name(spark, translated_file_name(F.lit(_base(source)), F.lit(language)))
-    read = numbered(read_papers(spark, source))
-    papers = translate_abstracts(read, service, parallelism=parallelism, language=language, store=store)
+    papers = translate_abstracts(numbered(spark, source), service, parallelism=parallelism, language=language, store=store)
     return write_papers(_finished(papers), posixpath.join(folder, target))
 
 
@@ -65,6 +65,6 @@ def classify_csv(
 ) -> str:
     """Classify the papers of a file; returns the path written."""
     target = name or file_name(spark, classified_file_name(F.lit(_base(source))))
-    papers = numbered(read_papers(spark, source)).withColumn("source_file", F.lit(source))
+    papers = numbered(spark, source).withColumn("source_file", F.lit(source))
     done = classify_papers(papers, service, words, num_categories, bucket="source_file", parallelism=parallelism, store=store)
     return write_papers(_finished(done), posixpath.join(folder, target))

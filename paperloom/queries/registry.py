@@ -24,7 +24,7 @@ from paperloom.plans import csv_jobs
 from paperloom.plans.crawl import CrawlOptions, paper_table
 from paperloom.plans.paper_qa import answer_table
 from paperloom.sources.durable import new_path
-from paperloom.sources.files import read_papers, spread, write_papers
+from paperloom.sources.files import read_papers, read_split_papers, spread, write_papers
 from paperloom.sources.html import node_rows, parse_html
 
 
@@ -383,6 +383,17 @@ def csv_other_order(spark, sf_dir):
     return read_papers(spark, _paper_file(spark, sf_dir, "ord"))
 
 
+_LINES = """replace(replace(nullif(abstract, ''), '. ', '.' || chr(10)), ' the ', ' "the", ')"""
+
+
+@query(f"select cast(ord as varchar) as ord, lang, nullif(title, '') as title, {_LINES} as abstract from doc_papers", ("doc_papers",))
+def csv_split(spark, sf_dir):
+    lines = F.replace(F.replace("abstract", F.lit(". "), F.lit(".\n")), F.lit(" the "), F.lit(' "the", '))
+    papers = V.doc_papers(spark, sf_dir).withColumn("abstract", lines)
+    path = write_papers(papers, new_path(spark, "papers-csv"))
+    return read_split_papers(spark, path).select("ord", "lang", "title", "abstract")
+
+
 @query(
     f"""select {_FILE}, cast(ord as varchar) as ord,
          case when not {V.sql_blank("abstract")} then md5(abstract) end as abstract_translate from doc_papers""",

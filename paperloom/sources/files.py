@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from paperloom.operators.qa import number_questions
 from paperloom.operators.records import clean_nulls
 from paperloom.schemas import PAPER_CSV
+from paperloom.sources.split_csv import csv_records
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
@@ -56,9 +57,14 @@ def read_papers(spark: SparkSession, path: str | Sequence[str], schema: T.Struct
     mark is skipped and an empty field is NULL. A missing path raises.
     """
     paths = [path] if isinstance(path, str) else path
-    options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
-    read = [spark.read.csv(one, **options) for one in paths]
-    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), read)
+    read = [spark.read.csv(one, **_CSV) for one in paths]
+    return _arranged(reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), read), schema)
+
+
+_CSV = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+
+
+def _arranged(rows: DataFrame, schema: T.StructType) -> DataFrame:
     known = [
         (F.col(f"`{field.name}`") if field.name in rows.columns else F.lit(None)).cast(field.dataType).alias(field.name)
         for field in schema
@@ -66,6 +72,22 @@ def read_papers(spark: SparkSession, path: str | Sequence[str], schema: T.Struct
     return rows.select(*known, *[F.col(f"`{name}`") for name in rows.columns if name not in schema.names])
 
 
+def read_split_papers(spark: SparkSession, path: str, schema: T.StructType = PAPER_CSV, position: str = "position") -> DataFrame:
+    """The rows of ``read_papers`` with ``position``, their order in the files, last.
+
+    For large files: one file is read by many tasks, quoted line breaks included (see
+    ``csv_records``). All files of a folder need the same header. A file's own column
+    of the name of ``position`` is left out.
+    """
+    names = spark.read.csv(path, **_CSV).columns
+    fields = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    ddl = fields.toDDL()
+    records = csv_records(spark, path)
+    parsed = records.select(F.from_csv("record", ddl, {"escape": '"'}).alias("row"), F.col("position").alias("place"))
+    rows = parsed.select(*[F.col("row").getField(name).alias(name) for name in names if name != position], F.col("place").alias(position))
+    return _arranged(rows, schema)
+
+
 def write_papers(papers: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """All columns to a CSV folder with headers, NULL as an empty field."""
     clean_nulls(papers).write.mode(mode).csv(
