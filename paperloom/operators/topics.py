@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom.sources.durable import cut_lineage
 
@@ -41,30 +43,54 @@ def word_weights(docs: DataFrame, text: str = "text") -> DataFrame:
     return used.join(_document_counts(cut), "word").select("word", "n", "docs", weight.alias("weight"))
 
 
-def _places(cut: Column, features: int) -> Column:
-    """The place of each word: the first seven hex digits of its MD5."""
-    return F.transform(
-        cut, lambda word: (F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint") % features).cast("int")
-    )
-
+def _counted(docs: DataFrame, key: str, features: int) -> DataFrame:
+    """``(key, words, vector)``: each word of a document with its number, and their places and numbers.
 
-VECTOR = T.StructType(
-    [T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
-)
+    Words are sorted in their row and counted by their runs, so nothing is shuffled.
+    The place of a word is the first seven hex digits of its MD5; words may share one.
+    """
+    cut = docs.select(key, F.sort_array(words(F.col("text"))).alias("sorted"), F.lit(0).alias("zero"))
+    last = F.size("sorted") - 1
+    begins = F.filter(
+        F.when(last >= 0, F.sequence("zero", last)).otherwise(F.array().cast("array<int>")),
+        lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)),
+    )
+    runs = cut.select(key, "sorted", begins.alias("begins"))
+    count = F.transform(
+        "begins",
+        lambda begin, i: F.struct(
+            F.get("sorted", begin).alias("word"),
+            (F.coalesce(F.get("begins", i + 1), F.size("sorted")) - begin).alias("n"),
+        ),
+    )
+    counts = runs.select(key, count.alias("words"))
+    place = F.transform(
+        "words", lambda e: (F.conv(F.substring(F.md5(e["word"]), 1, 7), 16, 10).cast("bigint") % features).cast("int")
+    )
+    return counts.select(key, "words", F.struct(place.alias("places"), F.col("words.n").alias("counts")).alias("vector"))
 
 
-@F.pandas_udf(VECTOR)
-def _counted(places: pd.Series) -> pd.DataFrame:
-    pairs = [np.unique(each, return_counts=True) for each in places]
-    return pd.DataFrame({"places": [place for place, _ in pairs], "counts": [count for _, count in pairs]})
+def _slices(vectors: pd.DataFrame, entries: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Rows of about so many entries together, so that little is in memory at once."""
+    ends = np.cumsum(np.fromiter((len(each) for each in vectors["places"]), dtype=np.int64, count=len(vectors)))
+    start = 0
+    while start < len(vectors):
+        held = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, held + entries, side="right")))
+        yield vectors.iloc[start:end]
+        start = end
 
 
 def _weighed(vectors: pd.DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Owner, place and whole-number weight of each entry, and which vectors have a length."""
+    features = len(idf)
     sizes = np.fromiter((len(each) for each in vectors["places"]), dtype=np.int64, count=len(vectors))
-    owner = np.repeat(np.arange(len(vectors)), sizes)
-    place = np.concatenate([np.zeros(0, np.int64), *vectors["places"]]).astype(np.int64)
-    weight = np.concatenate([np.zeros(0, np.int64), *vectors["counts"]]) * idf[place]
+    entry = np.repeat(np.arange(len(vectors)) * features, sizes)
+    entry += np.concatenate([np.zeros(0, np.int64), *vectors["places"]]).astype(np.int64)
+    entry, of = np.unique(entry, return_inverse=True)
+    n = np.bincount(of, weights=np.concatenate([np.zeros(0, np.int64), *vectors["counts"]]), minlength=len(entry))
+    owner, place = entry // features, entry % features
+    weight = n * idf[place]
     norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=len(vectors)))
     scaled = np.rint(LENGTH * weight / np.where(norm > 0, norm, 1.0)[owner]).astype(np.int64)
     return owner, place, scaled, norm > 0
@@ -90,8 +116,11 @@ def _seeds(kept: DataFrame, key: str, idf: np.ndarray, k: int, seed: int) -> np.
 
         @F.pandas_udf("long")
         def nearness(vectors: pd.DataFrame) -> pd.Series:
-            products, real = _products(vectors, idf, chosen)
-            return pd.Series(products.max(axis=1, initial=0)).where(real).astype("Int64")
+            found = [pd.Series([], dtype="Int64")]
+            for few in _slices(vectors):
+                products, real = _products(few, idf, chosen)
+                found.append(pd.Series(products.max(axis=1, initial=0)).where(real).astype("Int64"))
+            return pd.concat(found, ignore_index=True)
 
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
         ranked = kept.select(nearness("vector").alias("near"), digest.alias("digest"), "vector").where("near is not null")
@@ -112,7 +141,7 @@ def _moved(kept: DataFrame, idf: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
     def sums(frames):
         total = np.zeros((k, features), dtype=np.int64)
-        for frame in frames:
+        for frame in chain.from_iterable(map(_slices, frames)):
             cluster = _products(frame, idf, centers)[0].argmax(axis=1)
             owner, place, weight, _ = _weighed(frame, idf)
             added = np.bincount(cluster[owner] * features + place, weights=weight, minlength=k * features)
@@ -129,12 +158,9 @@ def _moved(kept: DataFrame, idf: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def _names(clustered: DataFrame, documents: int, top: int = 3) -> DataFrame:
-    """``(cluster, topic)``: the heaviest words of each cluster, from one pass over sorted words."""
-    first = F.transform(
-        "words", lambda word, i: F.struct(word.alias("word"), ((i == 0) | (F.get("words", i - 1) != word)).alias("first"))
-    )
-    used = clustered.select("cluster", F.inline(first)).groupBy("cluster", "word")
-    used = used.agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
+    """``(cluster, topic)``: the heaviest words of each cluster, from one pass over counted words."""
+    used = clustered.select("cluster", F.inline("words")).groupBy("cluster", "word")
+    used = used.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     # At most one entry per cluster.
     per_word = used.groupBy("word").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("cluster", "n")).alias("uses"))
     scored = per_word.select("word", "docs", F.inline("uses"))
@@ -165,11 +191,10 @@ def topic_clusters(
     largest product, ties to the smaller number; documents without a word that
     others lack are in cluster 0. A cluster without words has an empty name.
     """
-    cut = docs.select(key, F.array_sort(words(F.col("text"))).alias("words"))
     # Kept, so that the passes below do not cut the texts into words again.
-    kept = cut_lineage(cut.withColumn("vector", _counted(_places(F.col("words"), features))), "words")
+    kept = cut_lineage(_counted(docs, key, features), "words")
     total = kept.count()
-    spread_over = kept.select(F.explode("vector.places").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    spread_over = kept.select(F.explode(F.array_distinct("vector.places")).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
     found = spread_over.toPandas()
     held = np.zeros(features)
     held[found["place"]] = found["n"]
@@ -180,7 +205,8 @@ def topic_clusters(
 
     @F.pandas_udf("int")
     def nearest(vectors: pd.DataFrame) -> pd.Series:
-        return pd.Series(_products(vectors, idf, centers)[0].argmax(axis=1))
+        found = [_products(few, idf, centers)[0].argmax(axis=1) for few in _slices(vectors)]
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *found]))
 
     clustered = cut_lineage(kept.select(key, "words", nearest("vector").alias("cluster")), "clusters")
     # One row per cluster, of which there are num_categories.
