@@ -277,6 +277,80 @@ def test_equal_codes_count_once(spark):
     assert [tuple(r) for r in found] == [(99, 3)]
 
 
+def test_first_radius_follows_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(hamming, "DEPTH", 5)
+    vectors = rng.normal(size=(13, 64))[np.arange(2600) % 13] + 0.5 * rng.normal(size=(2600, 64))
+    asked = []
+    search = hamming._round
+    monkeypatch.setattr(hamming, "_round", lambda base, queries, model, k, radius: asked.append(radius) or search(base, queries, model, k, radius))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = hamming.neighbours(table, F.col("vec_id") % 100 < 2).toPandas()
+    assert asked[0] < round(hamming.RADII[0] * 64)
+    hits = 0
+    for query, own in found.groupby("query_id"):
+        scores = vectors @ vectors[query]
+        scores[query] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20]) & set(own.vec_id))
+    assert found.query_id.nunique() == 52 and len(found) == 52 * 20 and hits / len(found) >= 0.9
+    assert hamming.neighbours(table, F.lit(False)).count() == 0
+
+
+def test_first_radius_holds_neighbours_and_codes(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "PROBES", 40)
+    rng = np.random.default_rng(13)
+    vectors = rng.normal(size=(600, 8))
+    codes = (vectors > 0) @ (1 << np.arange(8))
+    counts = np.isin(np.arange(600), np.unique(codes, return_index=True)[1])
+    rows = [(i, bytearray(v.tobytes()), int(c), bool(n)) for i, (v, c, n) in enumerate(zip(vectors, codes, counts))]
+    base = spark.createDataFrame(rows, "vec_id long, vector binary, code long, counts boolean").repartition(3)
+    model = hamming.Codes(8, 1.0, np.zeros((9, 8)), np.zeros(8))
+    apart = np.bitwise_count(codes[:40, None] ^ codes)
+    scores = vectors[:40] @ vectors.T
+    scores[np.arange(40), np.arange(40)] = -np.inf
+    near = np.take_along_axis(apart, np.argsort(-scores, axis=1)[:, :20], axis=1)
+    for wanted in (1, 100, 200):
+        enough = [((apart[:, counts] <= r).sum(axis=1) >= wanted).mean() >= 0.95 and (near <= r).mean() >= 0.95 for r in range(9)]
+        assert hamming.measured(base, base.where("vec_id < 40"), model, 20, wanted) == enough.index(True)
+
+
+def test_tile_finds_what_its_substring_is_first_to_find():
+    rng = np.random.default_rng(14)
+    codes = rng.integers(0, 1 << 32, 4000, dtype=np.uint64)
+    codes[1000:2000] ^= codes[:1000] & np.uint64(0x01010101)
+    cuts = hamming.substrings(32)
+    first, width = cuts[1]
+    for radius, low in ((2, 16), (5, 14), (13, 15), (32, 13)):
+        near = hamming.radii(radius, 2)
+        slot = 1
+        held = codes[codes >> np.uint64(first + low) == slot] if low < width else codes
+        slot = slot if low < width else 0
+        queries = codes[:1200:40]
+        parts = [np.bitwise_count((queries[:, None] ^ held) >> np.uint64(a) & np.uint64((1 << n) - 1)) for a, n in cuts]
+        expected = (parts[0] + parts[1] <= radius) & (parts[0] > near[0]) & (parts[1] <= near[1])
+        reached = np.bitwise_count((queries >> np.uint64(first + low)) ^ np.uint64(slot)) <= near[1] if low < width else np.full(len(queries), True)
+        tile = hamming._Tile(held, first, low)
+        for want, found in zip(expected[reached], tile.probe(queries[reached], 1, slot, cuts, near, radius)):
+            assert sorted(tile.order[found]) == list(np.flatnonzero(want))
+
+
+def test_blocks_of_queries_and_salted_tiles_find_all_codes(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "TILE", 100)
+    monkeypatch.setattr(hamming, "QUERIES", 7)
+    rng = np.random.default_rng(15)
+    codes = rng.integers(0, 1 << 31, 900)
+    codes[:300] = codes[0] ^ (1 << rng.integers(0, 31, 300))
+    one = bytearray(np.ones(2).tobytes())
+    counts = np.isin(np.arange(900), np.unique(codes, return_index=True)[1])
+    base = spark.createDataFrame([(i, one, int(c), bool(n)) for i, (c, n) in enumerate(zip(codes, counts))], "vec_id long, vector binary, code long, counts boolean")
+    queries = spark.createDataFrame([(1000 + i, one, int(c)) for i, c in enumerate(codes[:900:30])], "vec_id long, vector binary, code long")
+    model = hamming.Codes(2, 1.0, np.zeros((3, 32)), np.zeros(32))
+    for radius in (2, 11):
+        found = hamming._round(base, queries, model, 5, radius).groupBy("query_id").agg(F.sum("hits").alias("hits")).collect()
+        ball = (np.bitwise_count(codes[:900:30, None] ^ codes) <= radius)[:, counts].sum(axis=1)
+        assert {r.query_id: r.hits for r in found} == {1000 + i: int(n) for i, n in enumerate(ball) if n}
+
+
 # --- revisits ---------------------------------------------------------------------------
 
 
