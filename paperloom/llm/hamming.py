@@ -11,7 +11,7 @@ in the first index that finds them, and ranked by exact inner products in double
 precision. The first radius is measured on PROBES queries against all rows: the least
 that holds WITHIN of their exact neighbours, and enough codes for as many of them. So
 it shrinks where more rows, or rows nearer to each other, bring neighbours closer.
-Queries with fewer than ``DEPTH * k`` different codes within the radius ask
+Queries with fewer than ``DEPTH * k`` different codes, or ``k`` rows, within the radius ask
 again with larger radii: few vectors are far apart. Rows of one code count once, by the
 row that stands for it, so that a group of equal vectors does not end a search.
 
@@ -396,8 +396,8 @@ def neighbours(
         top = cut_lineage(top.select("query_id", "rank", "vec_id", "score"), "found")
         if number + 1 == len(wider):
             return top if ranked is None else ranked.unionByName(top)
-        ranked_codes = found.groupBy("query_id").agg(F.sum("hits").alias("hits"))
-        full = ranked_codes.where(F.col("hits") >= wanted).select("query_id")
+        ranked_codes = found.groupBy("query_id").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("rows"))
+        full = ranked_codes.where((F.col("hits") >= wanted) & (F.col("rows") >= k)).select("query_id")
         done = top.join(full, "query_id", "left_semi")
         ranked = done if ranked is None else ranked.unionByName(done)
         asking = cut_lineage(asking.join(full, asking["vec_id"] == full["query_id"], "left_anti"), "asking")

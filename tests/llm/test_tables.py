@@ -296,6 +296,15 @@ def test_first_radius_follows_the_vectors(spark, monkeypatch):
     assert hamming.neighbours(table, F.lit(False)).count() == 0
 
 
+def test_few_codes_do_not_end_a_search_short_of_rows(spark):
+    here = np.random.default_rng(16).normal(size=64)
+    rows = [(i, (here if 10 < i <= 20 else -here).tolist()) for i in range(600)]
+    found = hamming.neighbours_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert dict(found.query_id.value_counts()) == {i: 20 for i in range(0, 600, 20)}
+    own = found[found.query_id == 20].sort_values("rank")
+    assert list(own.vec_id) == [*range(11, 20), *range(11)]
+
+
 def test_first_radius_holds_neighbours_and_codes(spark, monkeypatch):
     monkeypatch.setattr(hamming, "PROBES", 40)
     rng = np.random.default_rng(13)
